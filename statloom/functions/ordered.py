@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions.missing import epoch_seconds
+from statloom.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
 COARSE_GRID = 1024
@@ -214,3 +215,20 @@ def exact_quantile(
         F.max(pos - lo).alias("_f"),
     )
     return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
+
+
+def numbered(labels: DataFrame, column: str, out: str) -> DataFrame:
+    """Dense number per distinct label, 0-based in label order, without a global window.
+
+    Labels are range-partitioned; only one row count per partition reaches the driver.
+    """
+    spread = cut_lineage(
+        labels.select(column).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id())
+    )
+    start, offsets = 0, []
+    for r in spread.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        offsets.append((r["_part"], start))
+        start += r["n"]
+    base = labels.sparkSession.createDataFrame(offsets, "_part int, _base long")  # one row per partition
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return spread.join(F.broadcast(base), "_part").select(column, (local + F.col("_base")).alias(out))

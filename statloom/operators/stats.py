@@ -207,7 +207,8 @@ def anova(
             dof.alias("degrees_of_freedom"),
             comparisons.alias("_m"),
         )
-        .withColumn("_p", F.least(t_two_sided_col("t_statistic", "degrees_of_freedom") * F.col("_m"), F.lit(1.0)))
+        .withColumn("_p", t_two_sided_col("t_statistic", "degrees_of_freedom") * F.col("_m"))
+        .withColumn("_p", F.when(F.col("_p") > 1, F.lit(1.0)).otherwise(F.col("_p")))
         .withColumn("p_value", F.round("_p", 6))
         .withColumn("significant", F.col("_p") < alpha)
         .drop("_m", "_p")

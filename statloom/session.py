@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +42,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and ends the lineage of a loop."""
+    """Write the table to the shared folder once and go on from the written copy.
+
+    Ends the lineage of a loop and survives lost executors. Unlike an eager checkpoint it
+    runs the plan only once, and the copy has known sizes for the next joins.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def _work_folder(spark: SparkSession) -> str:
+    """One folder per application under the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_folder(spark).rstrip('/')}/statloom-{app}"
+    return _FOLDERS[app]
