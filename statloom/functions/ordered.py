@@ -104,7 +104,8 @@ def with_buckets(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
         # rows that equal the lower edge of their bucket come first in it
         fine = F.when(F.col(_AXIS).isin(cuts.heavy), F.col("_b2").cast("long")).otherwise(F.lit(FINE_GRID))
     bucket = F.col("_b1").cast("long") * (FINE_GRID + 1) + fine
-    return out.withColumn(BUCKET, bucket).drop(_AXIS, "_axis2", "_b1", "_b2")
+    # missing values sort first
+    return out.withColumn(BUCKET, F.when(F.col(_AXIS).isNull(), -1).otherwise(bucket)).drop(_AXIS, "_axis2", "_b1", "_b2")
 
 
 def _carry_in(cut: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
