@@ -96,7 +96,7 @@ def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None
             break
     spark = df.sparkSession
     parameters = spark.createDataFrame(
-        [(c, float(b[i]), float(a[i]), information(a[i], b[i], 0.0)) for i, c in enumerate(items)], ITEM_SCHEMA
+        [(c, float(b[i]), float(a[i]), float(information(a[i], b[i], 0.0))) for i, c in enumerate(items)], ITEM_SCHEMA
     )
     abilities = eap_abilities(df, {c: (float(a[i]), float(b[i])) for i, c in enumerate(items)}, person_id_column)
     return ProfileResult(abilities, {"item_parameters": parameters, "person_abilities": abilities, "item_information": item_information(parameters)}, parameters)

@@ -256,8 +256,9 @@ def _(t):
 
 
 @query("s3_stream_spend", f"""
-SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, user_id, round(sum({COST}), 4) AS spend, count(*) AS jobs
-FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, user_id, spend, jobs FROM (
+  SELECT date_trunc('day', ts)::TIMESTAMP AS d, user_id, round(sum({COST}), 4) AS spend, count(*) AS jobs FROM events GROUP BY ALL)
+WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(t):
     folder = scratch(t, "spend")
     streams.write_closed(streams.stream_spend(_zoned(t)), f"{folder}/out", f"{folder}/ck").awaitTermination()
@@ -274,9 +275,10 @@ def _plain_windows(df):
 
 
 @query("s4_stream_job_metrics", f"""
-SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, event_type AS profile_id,
-  round(sum({COST}), 4) AS cost, round(sum(value * 60), 4) AS seconds, count(*) AS jobs
-FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, profile_id, cost, seconds, jobs FROM (
+  SELECT date_trunc('day', ts)::TIMESTAMP AS d, event_type AS profile_id, round(sum({COST}), 4) AS cost, round(sum(value * 60), 4) AS seconds, count(*) AS jobs
+  FROM events GROUP BY ALL)
+WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(t):
     folder = scratch(t, "metrics")
     streams.write_closed(streams.stream_job_metrics(_zoned(t)), f"{folder}/out", f"{folder}/ck").awaitTermination()
