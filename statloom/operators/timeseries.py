@@ -301,7 +301,8 @@ def decompose(
     """Trend, seasonal part and residual per series.
 
     Additive: robust loess decomposition. Its smoothers are local, so long series run in
-    pieces whose overlap covers several rounds of smoothing. Multiplicative: centred
+    pieces whose overlap covers several rounds of smoothing, each with its own scale for
+    down-weighting outliers. Multiplicative: centred
     moving averages and mean ratios by phase. Series shorter than two periods stay NULL.
     """
     if model not in ("additive", "multiplicative"):
