@@ -177,7 +177,7 @@ def near_copies(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("bucket,threshold,features", [(500, 0.85, 10_000), (3, 0.85, 10_000), (3, 0.6, 150), (2, 0.9, 10_000)])
+@pytest.mark.parametrize("bucket,threshold,features", [(16, 0.85, 10_000), (3, 0.85, 10_000), (3, 0.6, 150), (2, 0.9, 10_000)])
 def test_similarity_groups_match_all_pairs(spark, bucket, threshold, features):
     docs = near_copies(bucket, 90)
     df = spark.createDataFrame(docs, "id long, body string")
