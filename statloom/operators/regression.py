@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from statloom.functions.dist import normal_two_sided
@@ -81,7 +81,69 @@ def _fit_linear(work: DataFrame, design: dict[str, Column], y: Column) -> dict:
     }
 
 
+def _scaling(work: DataFrame, design: list[Column], y: Column) -> tuple[list[float], list[float], Row]:
+    """Means and deviations of the regressors, and counts of the outcome, in one pass."""
+    row = work.agg(
+        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(design)],
+        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(design)],
+        F.count("*").alias("n"),
+        F.avg(y).alias("p"),
+        F.count_if(~y.isin(0.0, 1.0)).alias("other"),
+    ).first()
+    k = len(design)
+    return [row[f"m{i}"] or 0.0 for i in range(k)], [row[f"s{i}"] or 1.0 for i in range(k)], row
+
+
+def _newton(work: DataFrame, scaled: list[Column], y: Column, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
+    """Newton steps for a logistic model with intercept: coefficients and last X'WX.
+
+    Each step is one aggregation of X'WX and X'(y-p); steps end once they change nothing.
+    """
+    design = [F.lit(1.0), *scaled]
+    beta, xwx = np.zeros(len(design)), np.zeros((len(design), len(design)))
+    for _ in range(max_iter):
+        p = _logit(linear(beta[0], beta[1:], scaled))
+        p = F.least(F.greatest(p, F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
+        w = p * (F.lit(1.0) - p)
+        _, xwx, right, _ = weighted_moments(work, design, (y - p) / w, w)
+        try:
+            step = np.linalg.solve(xwx, right)
+        except np.linalg.LinAlgError:
+            break
+        beta = beta + step
+        if np.max(np.abs(step)) < 1e-10:
+            break
+    return beta, xwx
+
+
 def _fit_logistic(work: DataFrame, design: dict[str, Column], y: Column) -> dict:
+    """Newton steps over SQL sums (k ≤ 30, outcome 0/1), else the Spark ML solver."""
+    if len(design) <= MAX_SQL_COLUMNS:
+        flat = work.select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(design.values())])
+        xs, target = [F.col(f"_x{i}") for i in range(len(design))], F.col("_y")
+        means, scales, row = _scaling(flat, xs, target)
+        if row["other"] == 0:
+            scaled = [(x - F.lit(m)) / F.lit(s) for x, m, s in zip(xs, means, scales)]
+            beta, xwx = _newton(flat, scaled, target, 100)
+            back = np.diag([1.0, *[1.0 / s for s in scales]])
+            back[0, 1:] = [-m / s for m, s in zip(means, scales)]
+            raw = back @ beta
+            errors = np.sqrt(np.maximum(np.diag(back @ np.linalg.pinv(xwx) @ back.T), 0))
+            p = _logit(linear(beta[0], beta[1:], scaled))
+            likelihood = F.sum(F.log(F.when(target == 1, p).otherwise(F.lit(1.0) - p)))
+            deviance = -2.0 * flat.agg(likelihood.alias("l")).first()["l"]
+            n, share = row["n"], row["p"]
+            inside = 0 < share < 1
+            null = -2.0 * n * (share * math.log(share) + (1 - share) * math.log(1 - share)) if inside else 0.0
+            return {
+                "n": n,
+                "intercept": float(raw[0]),
+                "beta": [float(b) for b in raw[1:]],
+                "errors": [float(e) for e in errors],
+                "deviance": deviance,
+                "null_deviance": null,
+                "aic": deviance + 2 * len(beta),
+            }
     data = _assembled(work, design, {"_y": y})
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=100, tol=1e-10
@@ -156,35 +218,17 @@ def regression_glm(
 def logistic_irls(df: DataFrame, target: str, features: list[str], max_iter: int = 25) -> ProfileResult:
     """Plain Newton steps for a logistic model with intercept, starting from zero.
 
-    Each step is one aggregation of X'WX and X'(y-p). The features are standardised for
-    the iteration and the coefficients unscaled at the end, which leaves the fit the same
-    and keeps the system well conditioned. Steps end early once they change nothing.
+    The features are standardised for the iteration and the coefficients unscaled at the
+    end, which leaves the fit the same and keeps the system well conditioned.
     """
     require_columns(df, target=target, features=features)
     y, xs = number(df, target), [number(df, f) for f in features]
     present = all_present(df, [target, *features])
     work = df.filter(present).select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)])
-    row = work.agg(
-        *[F.avg(f"_x{i}").alias(f"m{i}") for i in range(len(xs))],
-        *[F.stddev_pop(f"_x{i}").alias(f"s{i}") for i in range(len(xs))],
-    ).first()
-    means = [row[f"m{i}"] or 0.0 for i in range(len(xs))]
-    scales = [row[f"s{i}"] or 1.0 for i in range(len(xs))]
-    scaled = [(F.col(f"_x{i}") - F.lit(means[i])) / F.lit(scales[i]) for i in range(len(xs))]
-    design = [F.lit(1.0), *scaled]
-    beta = np.zeros(len(design))
-    for _ in range(max_iter):
-        p = _logit(linear(beta[0], beta[1:], scaled))
-        p = F.least(F.greatest(p, F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
-        w = p * (F.lit(1.0) - p)
-        _, xwx, step_rhs, _ = weighted_moments(work, design, (F.col("_y") - p) / w, w)
-        try:
-            step = np.linalg.solve(xwx, step_rhs)
-        except np.linalg.LinAlgError:
-            break
-        beta = beta + step
-        if np.max(np.abs(step)) < 1e-12:
-            break
+    columns = [F.col(f"_x{i}") for i in range(len(xs))]
+    means, scales, _ = _scaling(work, columns, F.col("_y"))
+    scaled = [(c - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, means, scales)]
+    beta, _ = _newton(work, scaled, F.col("_y"), max_iter)
     raw = beta[1:] / np.array(scales)
     intercept = float(beta[0] - raw @ np.array(means))
     score = linear(beta[0], beta[1:], [(x - F.lit(m)) / F.lit(s) for x, m, s in zip(xs, means, scales)])

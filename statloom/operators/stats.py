@@ -114,8 +114,9 @@ def correlations(
         found = [(c, ref, scores[c], None) for c in others]
     else:
         if method == "spearman":
+            values = work
             for c in cols:
-                ranks = average_ranks(work.select(c), c, rank=f"_r_{c}").select(c, f"_r_{c}")
+                ranks = average_ranks(values.select(c), c, rank=f"_r_{c}").select(c, f"_r_{c}")
                 work = work.join(ranks, c)
             work = work.select([F.col(f"_r_{c}").alias(c) for c in cols])
         pairs = _pairs(features, target)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from statloom.functions.dist import chi2_tail, normal_quantile
 from statloom.functions.missing import clean, number
 from statloom.functions.ordered import find_cuts, running_sums
-from statloom.result import ProfileResult, require_columns, require_rows
+from statloom.result import ProfileResult, require_columns, require_count
+from statloom.session import cut_lineage
 
 MIN_GROUP = 5
 
@@ -22,6 +23,12 @@ def _durations(df: DataFrame, duration: str, event: str, group: str) -> DataFram
     ).filter("timeline >= 0")
 
 
+def _time_counts(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
+    """Rows and events per (group, distinct time), written once: all else works on these."""
+    valid = _durations(df, duration, event, group)
+    return cut_lineage(valid.groupBy("group", "timeline").agg(F.count("*").alias("n"), F.sum("event").alias("events")))
+
+
 def kaplan_meier(
     df: DataFrame,
     duration_column: str,
@@ -38,10 +45,9 @@ def kaplan_meier(
     if not 0 < confidence_level < 1:
         raise ValueError("confidence_level must be between 0 and 1 exclusive")
     require_columns(df, duration_column=duration_column, event_column=event_column, group_column=group_column)
-    valid = _durations(df, duration_column, event_column, group_column)
-    require_rows(valid, 10, "survival analysis")
-    work = valid.filter("group is not null")
-    times = work.groupBy("group", "timeline").agg(F.count("*").alias("n"), F.sum("event").alias("events"))
+    every = _time_counts(df, duration_column, event_column, group_column)
+    require_count(every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"], 10, "survival analysis")
+    times = every.filter("group is not null")
     sizes = times.groupBy("group").agg(F.sum("n").alias("size"))
     kept = sizes.filter(F.col("size") >= MIN_GROUP)
     # every curve starts at time zero
@@ -91,9 +97,9 @@ def kaplan_meier(
     tables = {
         "median_survival": median,
         "groups_skipped": skipped,
-        "log_rank_test": logrank(df, duration_column, event_column, group_column, confidence_level, rows_per_bucket),
+        "log_rank_test": _logrank(times, confidence_level, rows_per_bucket),
     }
-    metrics = work.agg(F.count("*").alias("total_rows"), F.count_distinct("group").alias("groups"))
+    metrics = sizes.agg(F.sum("size").alias("total_rows"), F.count("*").alias("groups"))
     return ProfileResult(rows, tables, metrics)
 
 
@@ -105,31 +111,35 @@ def logrank(
     confidence_level: float = 0.95,
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """k-sample log-rank test over all groups.
+    """k-sample log-rank test over all groups."""
+    times = _time_counts(df, duration_column, event_column, group_column).filter("group is not null")
+    return _logrank(times, confidence_level, rows_per_bucket)
+
+
+def _logrank(per_group: DataFrame, confidence_level: float, rows_per_bucket: int | None) -> DataFrame:
+    """The test from (group, timeline, n, events) counts.
 
     One row per distinct time holds the counts of every group; the observed minus
     expected vector and its covariance are sums over those rows, and only the k by k
     system reaches the driver.
     """
-    spark = df.sparkSession
+    spark = per_group.sparkSession
     schema = "test_statistic double, degrees_of_freedom int, p_value double, significant boolean"
-    work = _durations(df, duration_column, event_column, group_column).filter("group is not null")
-    groups = [r[0] for r in work.select("group").distinct().orderBy("group").collect()]
+    totals = per_group.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect()
+    groups, sizes = [r["group"] for r in totals], [r["n"] for r in totals]
     k = len(groups)
     if k < 2:
         return spark.createDataFrame([], schema)
-    per_group = work.groupBy("group", "timeline").agg(F.count("*").alias("n"), F.sum("event").alias("d"))
     pick = lambda g, c: F.coalesce(F.sum(F.when(F.col("group") == F.lit(g), F.col(c))), F.lit(0))
     times = per_group.groupBy("timeline").agg(
         *[pick(g, "n").alias(f"n{i}") for i, g in enumerate(groups)],
-        *[pick(g, "d").alias(f"d{i}") for i, g in enumerate(groups)],
+        *[pick(g, "events").alias(f"d{i}") for i, g in enumerate(groups)],
     )
-    size_row = per_group.groupBy().agg(*[pick(g, "n").alias(f"n{i}") for i, g in enumerate(groups)]).first()
     cuts = find_cuts(per_group.select("timeline"), ["timeline"], rows_per_bucket)
     gone = running_sums(
         times, [], ["timeline"], {f"g{i}": F.col(f"n{i}") for i in range(k)}, inclusive=False, cuts=cuts
     )
-    risk = [F.lit(size_row[f"n{i}"]) - F.col(f"g{i}") for i in range(k)]
+    risk = [F.lit(sizes[i]) - F.col(f"g{i}") for i in range(k)]
     staged = gone.select(
         *[risk[i].alias(f"r{i}") for i in range(k)],
         *[F.col(f"d{i}") for i in range(k)],
