@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,8 +48,10 @@ def _totals_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame
     """Running totals after the previous batch, or None at the start."""
     try:
         versions = spark.read.parquet(folder)
-    except Exception:  # noqa: BLE001 - no version has been written yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no version has been written yet
     latest = versions.filter(F.col("version") < batch_id).agg(F.max("version")).first()[0]
     if latest is None:
         return None
