@@ -17,6 +17,7 @@ from statloom.functions.moments import MAX_SQL_COLUMNS, centred_moments, linear,
 from statloom.functions.ordered import average_ranks
 from statloom.operators.relational import train_test_flag
 from statloom.result import ProfileResult, as_list, numeric_features, quoted, require_columns, require_count
+from statloom.session import cut_lineage
 
 COEFFICIENTS = "variable string, coefficient double, std_error double, z_score double, p_value double"
 MAX_INTERACTION_FEATURES = 5
@@ -119,7 +120,7 @@ def _newton(work: DataFrame, scaled: list[Column], y: Column, max_iter: int) ->
 def _fit_logistic(work: DataFrame, design: dict[str, Column], y: Column) -> dict:
     """Newton steps over SQL sums (k ≤ 30, outcome 0/1), else the Spark ML solver."""
     if len(design) <= MAX_SQL_COLUMNS:
-        flat = work.select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(design.values())])
+        flat = cut_lineage(work.select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(design.values())]))
         xs, target = [F.col(f"_x{i}") for i in range(len(design))], F.col("_y")
         means, scales, row = _scaling(flat, xs, target)
         if row["other"] == 0:
@@ -224,7 +225,8 @@ def logistic_irls(df: DataFrame, target: str, features: list[str], max_iter: int
     require_columns(df, target=target, features=features)
     y, xs = number(df, target), [number(df, f) for f in features]
     present = all_present(df, [target, *features])
-    work = df.filter(present).select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)])
+    # the steps read these few columns many times
+    work = cut_lineage(df.filter(present).select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]))
     columns = [F.col(f"_x{i}") for i in range(len(xs))]
     means, scales, _ = _scaling(work, columns, F.col("_y"))
     scaled = [(c - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, means, scales)]

@@ -184,6 +184,18 @@ def _with_gaps(t):
     return t("lineitem").withColumn("l_quantity", F.expr("nullif(l_quantity, 50)"))
 
 
+@query("c10_numeric_features", """
+SELECT 'l_linenumber' AS feature, round(avg(l_linenumber), 6) AS mean FROM lineitem UNION ALL SELECT 'l_quantity', round(avg(l_quantity), 6) FROM lineitem
+UNION ALL SELECT 'l_discount', round(avg(l_discount), 6) FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax), 6) FROM lineitem""")
+def _(t):
+    from statloom.result import numeric_features
+
+    li = t("lineitem")
+    found = numeric_features(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"])
+    means = li.agg(*[F.avg(c).alias(c) for c in found])
+    return rounded(means.unpivot([], found, "feature", "mean"))
+
+
 @query("c11_complete_cases", """
 SELECT count(*) FILTER (WHERE l_quantity <> 50) AS rows_used, count(*) FILTER (WHERE l_quantity = 50) AS rows_excluded
 FROM lineitem""")

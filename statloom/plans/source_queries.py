@@ -194,6 +194,16 @@ def _(t):
     return t.spark.read.option("header", True).csv(path).agg(F.count("*").alias("exported"))
 
 
+@query("b3_write_manifest", "SELECT 's3://results/' || n_name || '.parquet' AS uri, 'PARQUET' AS format FROM nation")
+def _(t):
+    path = scratch(t, "listed")
+    names = [r["n_name"] for r in t("nation").select("n_name").collect()]  # a manifest is one small document
+    writers.write_manifest(t.spark, path, [f"s3://results/{n}.parquet" for n in names])
+    kind = "fileLocations array<struct<URIs:array<string>>>, globalUploadSettings struct<format:string>"
+    loaded = t.spark.read.schema(kind).json(path).select(F.explode("fileLocations").alias("l"), F.col("globalUploadSettings.format").alias("format"))
+    return loaded.select(F.explode("l.URIs").alias("uri"), "format")
+
+
 @query("b4_append_audit", """
 SELECT CAST(event_id AS VARCHAR) AS job_id, event_type AS profile_id, CAST(user_id AS VARCHAR) AS user_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS params,
   round(CASE WHEN event_type <> 'error' THEN value ELSE 1.5 END, 4) AS cost, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,

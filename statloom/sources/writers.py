@@ -41,7 +41,7 @@ def export_csv(df: DataFrame, path: str, row_limit: int = EXPORT_LIMIT) -> None:
 
 def write_manifest(spark: SparkSession, path: str, uris: list[str], file_format: str = "PARQUET") -> None:
     """A manifest that points to result files."""
-    record = [([([u],) for u in [list(uris)][0]], (file_format,))]
+    record = [([([u],) for u in uris], (file_format,))]
     schema = "fileLocations array<struct<URIs:array<string>>>, globalUploadSettings struct<format:string>"
     spark.createDataFrame(record, schema).coalesce(1).write.mode("overwrite").json(path)
 
