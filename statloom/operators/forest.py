@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -14,6 +14,7 @@ from statloom.functions.missing import all_present, number
 from statloom.operators.regression import classification_report, confusion_counts
 from statloom.operators.relational import train_test_flag
 from statloom.result import ProfileResult, as_list, numeric_features, quoted, require_columns, require_rows
+from statloom.session import work_path
 
 MAX_CLASSES = 20
 MAX_DEPTH, DEFAULT_DEPTH = 30, 10
@@ -72,6 +73,14 @@ def _importances(df: DataFrame, model, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(f, round(v, 6)) for f, v in ranked], "feature string, importance double")
 
 
+def _stored(df: DataFrame, model: RandomForestClassificationModel) -> RandomForestClassificationModel:
+    """The model read back from the shared folder: without the training summary, whose
+    reference to the training data would travel with every scoring task."""
+    path = work_path(df.sparkSession)
+    model.write().save(path)
+    return RandomForestClassificationModel.load(path)
+
+
 def _classify(df, vectors, target, features, common, class_weight) -> ProfileResult:
     labelled = vectors.withColumn("_label", F.col(quoted(target)).cast("string"))
     complete = labelled.filter("_ok")
@@ -85,6 +94,7 @@ def _classify(df, vectors, target, features, common, class_weight) -> ProfileRes
             weight = F.when(F.col("_y") == label, total / (len(counts) * n)).otherwise(weight)
         train, common = train.withColumn("_w", weight), {**common, "weightCol": "_w"}
     model = RandomForestClassifier(**common, predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw").fit(train)
+    model = _stored(df, model)
     scored = model.transform(labelled).withColumn("_prob", vector_to_array("_prob"))
     winner = F.element_at(F.lit(classes), F.col("_p").cast("int") + 1)
     rows = scored.withColumn("predicted_class", F.when(F.col("_ok"), winner)).withColumns(

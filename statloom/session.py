@@ -48,11 +48,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     runs the plan only once, and the copy has known sizes for the next joins.
     """
     spark = df.sparkSession
-    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    path = work_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def work_path(spark: SparkSession) -> str:
+    """A new path in this application's folder under the shared folder."""
+    return f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+
+
 _FOLDERS: dict[str, str] = {}
 
 
