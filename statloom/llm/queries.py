@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import language, token_files
+from statloom.llm import decontamination, language, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -49,3 +49,19 @@ def _(t):
     token_files.write_token_files(t("documents"), path, default_path())
     read = cut_lineage(token_files.read_token_files(t.spark, path, with_ids=False).drop("ids"))
     return token_files.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op9_toxicity")
+def _(t):
+    """Learned from the labels of documents whose CRC-32 mod 5 is not 0, scored for all."""
+    docs, out = t("documents"), language.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(docs, t("labels").filter(~out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted", "evidence", "similarity")
+
+
+@query("op10_decontamination")
+def _(t):
+    """Every document with the benchmark items found in it."""
+    marked = decontamination.mark_documents(t("documents").select("doc_id", "text"), t("benchmark"))
+    return marked.select("doc_id", (~F.col("contaminated")).alias("kept"), "contaminated", "n_items", "items")
