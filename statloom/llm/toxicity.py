@@ -20,13 +20,19 @@ from pyspark.sql import functions as F
 from statloom.llm.arrow import map_rows
 
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
+# The term that every text has: all its words. It lets the cosine see how much of a text the
+# other terms are; texts under SHORTEST words count as that long.
+ALL = ""
+BACKGROUND = 2.0
+SHORTEST = 20
 
 
 def terms(text: str | None) -> Counter:
-    """Words of a text and their beginnings (marked with ``*``) with their counts."""
-    out: Counter = Counter()
+    """Words of a text, their beginnings (marked with ``*``) and all words (``ALL``) with their counts."""
+    out: Counter = Counter({ALL: 0})
     for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        out[ALL] += n
         out[word] += n
         for size in PREFIXES:
             if len(word) >= size:
@@ -62,8 +68,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     Kept are the ``max_terms`` terms whose presence depends most on the label by the
     chi-square statistic, at least ``min_chi2``; so the model has at most ``2 × per_label``
     vectors over ``max_terms`` terms. Labels other than 0 and 1, NULL keys, and keys with
-    contradicting labels are left out. Without examples or such terms the model knows only
-    the share of toxic examples (0 without any).
+    contradicting labels are left out. With examples of one label only, the model knows
+    their share and no vector.
     """
     chosen = F.broadcast(sample(labels, label, key, per_label))
     # a key that stands on several rows gives one example: its smallest text
@@ -71,23 +77,22 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def run(columns):
         for k, y, t in zip(columns["k"], columns["y"], columns["t"]):
-            yield k, y, "", 0
             for term, n in terms(t).items():
                 yield k, y, term, n
 
     counted = map_rows(rows, run, f"k {dict(rows.dtypes)['k']}, y int, term string, n int").persist()
     try:
-        sizes = {r["y"]: r["n"] for r in counted.filter("n = 0").groupBy("y").agg(F.count("*").alias("n")).collect()}
+        sizes = {r["y"]: r["n"] for r in counted.filter(F.col("term") == ALL).groupBy("y").agg(F.count("*").alias("n")).collect()}
         n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
         prior = n1 / (n0 + n1) if n0 + n1 else 0.0
         if not n0 or not n1:
             return _index([], {}, prior, block)
         in1, in0 = F.col("a").cast("double"), F.col("b").cast("double")
         chi2 = (n0 + n1) * F.pow(in1 * n0 - in0 * n1, 2) / ((in1 + in0) * (n0 + n1 - in1 - in0) * float(n0) * float(n1))
-        df = counted.filter("n > 0").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(f"a + b < {n0 + n1}")
+        df = counted.filter(F.col("term") != ALL).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(f"a + b < {n0 + n1}")
         best = df.withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2).orderBy(F.col("chi2").desc(), "term").limit(max_terms)
         idf = {r["term"]: math.log((1 + n0 + n1) / (1 + r["a"] + r["b"])) + 1 for r in best.collect()}
-        picked = counted.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in sorted(idf)], "term string")), "term")
+        picked = counted.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in [ALL, *sorted(idf)]], "term string")), "term")
         vectors: dict = {}
         for r in picked.select("k", "y", "term", "n").collect():
             vectors.setdefault((str(r["k"]), r["y"]), {})[r["term"]] = r["n"]
@@ -97,8 +102,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def unit(counts: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
-    """Weights (1 + log tf) × idf of the known terms, at length one."""
-    raw = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(counts.items()) if t in idf}
+    """Uses per hundred words × idf of the known terms, beside the background, at length one."""
+    words = max(counts[ALL], SHORTEST)
+    raw = {ALL: BACKGROUND} | {t: 100 * n / words * idf[t] for t, n in sorted(counts.items()) if t in idf}
     norm = math.sqrt(sum(w * w for w in raw.values()))
     return {t: w / norm for t, w in raw.items()}
 
@@ -112,7 +118,7 @@ def _index(examples: list[tuple[dict[str, int], int]], idf: dict[str, float], pr
         held[1] += y
     # vectors that share their heaviest terms come to stand in one block, which makes its bounds tight
     order = sorted(merged, key=lambda v: [(t, -w) for t, w in sorted(v, key=lambda x: (-x[1], x[0]))])
-    number = {t: i for i, t in enumerate(sorted(idf))}
+    number = {t: i for i, t in enumerate([ALL, *sorted(idf)])}
     blocks = -(-len(order) // block)
     bounds = np.zeros((len(number), blocks))
     lists: list[tuple[list, list]] = [([], []) for _ in number]
@@ -171,8 +177,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
     The neighbours are all examples at least as similar as the ``k``-th; ties at that place
     all vote. ``evidence`` has the known terms of the text, the heaviest first (at most
-    eight), ``similarity`` that of the nearest example. A NULL or empty text, or one without
-    a known term, gets the toxic share of the examples. Repeated keys give one row each.
+    eight), ``similarity`` that of the nearest example. A NULL or empty text, and one without
+    a known term, is nearest to the examples without such terms; without any example the
+    score is the toxic share, 0. Repeated keys give one row each.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -180,13 +187,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         m = held.value
         answers: dict = {}
         for doc, value in zip(columns["k"], columns["t"]):
-            vector = unit({t: n for t, n in terms(value).items() if t in m.idf}, m.idf)
+            vector = unit(terms(value), m.idf)
             seen = tuple(vector.items())
             if seen not in answers:
                 found, _ = neighbours(m, vector, k)
                 answers[seen] = (vote(m, found, prior_weight), max((f[0] for f in found), default=0.0))
             share, nearest = answers[seen]
-            why = ",".join(sorted(vector, key=lambda t: (-vector[t], t))[:8])
+            why = ",".join([t for t in sorted(vector, key=lambda t: (-vector[t], t)) if t != ALL][:8])
             yield doc, share, int(share >= 0.5), why, nearest
 
     kind = dict(docs.dtypes)[key]
