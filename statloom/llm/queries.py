@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import decontamination, language, token_files, toxicity
+from statloom.llm import decontamination, language, minhash, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -32,6 +32,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS u, doc_id AS v FROM g UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u),
+c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN c USING (doc_id)"""
+
+
+@query("op4_near_duplicates", NEAR_SQL)
+def _(t):
+    """All documents with their component of near copies."""
+    return minhash.near_duplicates(t("documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op5_language")
 def _(t):
     """Learned from the documents whose CRC-32 mod 4 is not 2, predicted for all."""
