@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import decontamination, language, minhash, token_files, toxicity
+from statloom.llm import bpe_chunks, decontamination, language, minhash, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -32,6 +32,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_bpe")
+def _(t):
+    """All documents encoded by shared chunks, and decoded."""
+    return bpe_chunks.encode(t("documents"), default_path())
+
+
 NEAR_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 g AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
