@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe_chunks, decontamination, language, minhash, token_files, toxicity
+from statloom.llm import bpe_chunks, decontamination, language, minhash, quality_rules, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -32,6 +32,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_quality_rules")
+def _(t):
+    """Statistics and verdict of every document."""
+    docs = t("documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, quality_rules.learn_rules(docs, t("labels")))
+    return judged.select("doc_id", *(F.col("_stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
 @query("op3_bpe")
 def _(t):
     """All documents encoded by shared chunks, and decoded."""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.arrow import map_rows
+from statloom.llm.samples import labelled_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -53,15 +54,6 @@ class Model:
     block: int
 
 
-def sample(labels: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` labelled keys of each label, dealt into slots by a hash of the key."""
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)").distinct()
-    # a key with both labels teaches nothing
-    single = known.groupBy("k").agg(F.min("y").alias("y"), F.count("*").alias("n")).filter("n = 1")
-    keyed = single.select("y", F.pmod(F.xxhash64("k"), F.lit(per_label)).alias("slot"), F.struct(F.xxhash64("k", F.lit(1)).alias("h"), "k").alias("m"))
-    return keyed.groupBy("y", "slot").agg(F.min("m").alias("m")).select(F.col("m.k").alias("k"), "y")
-
-
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 4096, max_terms: int = 4096, min_chi2: float = 30.0, block: int = 32) -> Model:
     """Fit on a sample of at most ``per_label`` examples of each label.
 
@@ -71,7 +63,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     contradicting labels are left out. With examples of one label only, the model knows
     their share and no vector.
     """
-    chosen = F.broadcast(sample(labels, label, key, per_label))
+    chosen = F.broadcast(labelled_sample(labels, label, key, per_label))
     # a key that stands on several rows gives one example: its smallest text
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "k").groupBy("k", "y").agg(F.min("t").alias("t"))
 
