@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe_chunks, decontamination, language, minhash, quality_rules, token_files, toxicity
+from statloom.llm import bpe_chunks, decontamination, language, minhash, pii_crf, quality_rules, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -40,6 +40,13 @@ def _(t):
     return judged.select("doc_id", *(F.col("_stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+@query("op2_personal_data")
+def _(t):
+    """Spans of personal data in every document."""
+    docs = t("documents").select("doc_id", "text")
+    return pii_crf.find(docs, pii_crf.learn(docs))
+
+
 @query("op3_bpe")
 def _(t):
     """All documents encoded by shared chunks, and decoded."""

@@ -44,12 +44,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
     """Encode every whole text and write the ids in ascending order of ``key``, one file per range of keys.
 
     A NULL text counts as empty, ``end_id`` ends every document. Documents with a NULL key
-    come first; rows that repeat a key are kept, in the order of their texts. A frame holds
+    come first; rows that repeat a key are kept, in the order of a hash of their texts. A frame holds
     whole documents, at least ``frame_tokens`` ids unless the file ends; a longer document
     is a frame of its own. The number of files follows the shuffle partitions, which
     adaptive execution sizes; an empty table writes no data frame.
     """
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k", "t").sortWithinPartitions("k", "t")
+    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # the sample that cuts the ranges goes through the driver: numbers, no texts
+    ordered = ordered.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record", pa.binary())])

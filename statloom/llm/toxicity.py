@@ -41,6 +41,21 @@ def terms(text: str | None) -> Counter:
     return out
 
 
+def known_terms(text: str | None, idf: dict[str, float], seen: dict[str, tuple]) -> dict[str, int]:
+    """The terms of a text that the model knows, and ``ALL``; ``seen`` keeps the answers for words."""
+    out = {ALL: 0}
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        out[ALL] += n
+        found = seen.get(word)
+        if found is None:
+            if len(seen) >= 200_000:
+                seen.clear()
+            found = seen[word] = tuple(t for t in (word, *(word[:size] + "*" for size in PREFIXES if len(word) >= size)) if t in idf)
+        for term in found:
+            out[term] = out.get(term, 0) + n
+    return out
+
+
 @dataclasses.dataclass
 class Model:
     """Examples as unit vectors in blocks, equal vectors held once with their votes."""
@@ -178,8 +193,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(columns):
         m = held.value
         answers: dict = {}
+        seen_words: dict[str, tuple] = {}
         for doc, value in zip(columns["k"], columns["t"]):
-            vector = unit(terms(value), m.idf)
+            vector = unit(known_terms(value, m.idf, seen_words), m.idf)
             seen = tuple(vector.items())
             if seen not in answers:
                 found, _ = neighbours(m, vector, k)
