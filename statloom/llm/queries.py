@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe_chunks, decontamination, language, minhash, pii_crf, quality_rules, token_files, toxicity
+from statloom.llm import bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, quality_rules, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -80,6 +80,13 @@ def _(t):
     return found.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+@query("op6_quality_classifier")
+def _(t):
+    """Perplexity of every document under a model of the documents labelled good."""
+    found = ngram_quality.classify(t("documents"), t("labels").filter("quality = 1"))
+    return found.select("doc_id", "n_chars", "perplexity", "limit", "kept")
+
+
 @query("op8_token_files")
 def _(t):
     """All documents written as token files in the shared folder, and what the files hold."""
