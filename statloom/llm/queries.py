@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, quality_rules, token_files, toxicity
+from statloom.llm import bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, preference, quality_rules, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -87,6 +87,32 @@ def _(t):
     return found.select("doc_id", "n_chars", "perplexity", "limit", "kept")
 
 
+PAIR_SQL = """
+WITH t AS (SELECT conv_id AS conv, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, max(CASE WHEN role = 'assistant' THEN pos END) OVER (PARTITION BY conv) AS reply, max(pos) OVER (PARTITION BY conv) AS last FROM t),
+b AS (SELECT k.*, o.text AS other, o.conv IS NOT NULL AND k.reply IS NOT NULL AS swaps FROM k LEFT JOIN (SELECT * FROM k WHERE pos = reply) o ON o.conv = k.conv + 1),
+s AS (SELECT conv, 'chosen' AS side, pos, role, text FROM b UNION ALL
+  SELECT conv, 'rejected', pos, role, CASE WHEN swaps AND pos = reply THEN other ELSE text END FROM b WHERE swaps OR pos <> last),
+d AS (SELECT conv, min(pos) AS diff FROM (SELECT conv, pos FROM s GROUP BY conv, pos HAVING count(*) <> 2 OR min((coalesce(role, ''), coalesce(text, ''))) <> max((coalesce(role, ''), coalesce(text, '')))) GROUP BY conv),
+r AS (SELECT s.*, pos < coalesce(diff, 2147483647) AS prompt, '<|' || replace(coalesce(role, 'unknown'), '|>', '') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS said FROM s LEFT JOIN d USING (conv)),
+p AS (SELECT *, head || said AS drawn, coalesce(sum(length(head || said)) OVER (PARTITION BY conv, side, prompt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r)
+SELECT conv AS pair_id, count(*) FILTER (WHERE prompt AND side = 'chosen') AS n_prompt_turns,
+  coalesce(string_agg(drawn, '' ORDER BY pos) FILTER (WHERE prompt AND side = 'chosen'), '') AS prompt,
+  coalesce(string_agg(drawn, '' ORDER BY pos) FILTER (WHERE NOT prompt AND side = 'chosen'), '') AS chosen,
+  coalesce(string_agg(drawn, '' ORDER BY pos) FILTER (WHERE NOT prompt AND side = 'rejected'), '') AS rejected,
+  coalesce(string_agg((start + length(head)) || ':' || (start + length(drawn)), ',' ORDER BY pos) FILTER (WHERE NOT prompt AND side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((start + length(head)) || ':' || (start + length(drawn)), ',' ORDER BY pos) FILTER (WHERE NOT prompt AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+FROM p GROUP BY conv"""
+
+
+@query("op7_preference_pairs", PAIR_SQL)
+def _(t):
+    """Every conversation against itself with the last reply of the next one."""
+    found = preference.format_pairs(preference.swapped_replies(t("conversations")))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(c)
+    return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", listed("chosen_mask"), listed("rejected_mask"))
+
+
 @query("op8_token_files")
 def _(t):
     """All documents written as token files in the shared folder, and what the files hold."""
