@@ -3,18 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from statloom.llm import bpe_chunks, decontamination, minhash, pii_crf, quality_rules
+from statloom.llm.vocabulary import default_path
 from statloom.session import cut_lineage
 
-STAGES: list = []
 
-# Rolling-hash chunks and learned rules have no SQL form; the tests hold the stages against brute force.
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned rules keep."""
+    rules = quality_rules.learn_rules(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).filter("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.deduplicate(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked, and their new lengths."""
+    masked = pii_crf.redact(docs, pii_crf.learn(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and hashes of the ids of every document."""
+    return bpe_chunks.encode(docs, default_path())
+
+
+STAGES = [
+    ("quality_rules", apply_rules),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("personal_data", mask_personal_data),
+    ("bpe", to_tokens),
+]
+
+# Learned rules and a learned field have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each on what the one before it kept."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs

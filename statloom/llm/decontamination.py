@@ -221,5 +221,12 @@ def mark_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", **opt
     found = cut_lineage(find_passages(docs, items, key=key, **options)).select(F.col(key).alias("_key"), "item").distinct()
     per_doc = found.groupBy("_key").agg(F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda i: i.cast("string")), ",").alias("_items"))
     plain_docs = docs.drop("contaminated", "n_items", "items")
-    joined = plain_docs.join(per_doc, F.col(key).eqNullSafe(F.col("_key")) & F.col("_n").isNotNull(), "left")
-    return joined.select(*plain_docs.columns, F.col("_n").isNotNull().alias("contaminated"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_items"), F.coalesce("_items", F.lit("")).alias("items"))
+    joined = plain_docs.join(per_doc, plain_docs[key].eqNullSafe(per_doc["_key"]), "left")
+    n, found_items = per_doc["_n"], per_doc["_items"]
+    return joined.select(*(plain_docs[c] for c in plain_docs.columns), n.isNotNull().alias("contaminated"), F.coalesce(n, F.lit(0)).cast("long").alias("n_items"), F.coalesce(found_items, F.lit("")).alias("items"))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the documents in which a test item was found; all columns stay."""
+    found = cut_lineage(find_passages(docs, items, key=key, **options)).select(F.col(key).alias("_key")).distinct()
+    return docs.join(found, docs[key].eqNullSafe(found["_key"]), "left_anti")
