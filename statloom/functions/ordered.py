@@ -20,34 +20,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions.missing import epoch_seconds
+from statloom.functions.totals import attach_totals
 from statloom.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
 COARSE_GRID = 1024
 FINE_GRID = 16384
+SAMPLE_PER_BUCKET = 16
 BUCKET = "_bucket"
 _AXIS = "_axis"
 
 
-def order_axis(df: DataFrame, name: str) -> Column:
-    """A numeric or date column as a double that sorts the same way."""
+def order_axis(df: DataFrame, name: str) -> Column | None:
+    """A numeric or date column as a double that sorts the same way; None for other types."""
     kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType) or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampNTZType, T.TimestampType)):
+        return None
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        return epoch_seconds(F.col(name))
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(F.col(name)) / F.lit(1e6)
-    raise ValueError(f"'{name}' must be a number or a date to order by")
+    return epoch_seconds(F.col(name))
 
 
 @dataclass
 class Cuts:
-    """Bucket edges on the first order column, and inside its heaviest values."""
+    """Bucket edges on the first order column, and finer ones for its heaviest values.
+
+    ``inner`` holds one row: edges of the order columns in ``within``, in two levels. With
+    a first column that is no number or date there are no ``edges``, and ``inner`` cuts all
+    rows.
+    """
 
     edges: list[float]
     heavy: list[float]
-    inner: list[float]
+    within: list[str]
+    inner: DataFrame | None
+
+    @property
+    def single(self) -> bool:
+        return not self.edges and self.inner is None
 
 
 def _quantiles(df: DataFrame, axis: Column, rows_per_bucket: int) -> list[float]:
@@ -70,20 +82,41 @@ def _quantiles(df: DataFrame, axis: Column, rows_per_bucket: int) -> list[float]
     return [found["q"][round(i * grid / wanted) - 1] for i in range(1, wanted)]
 
 
+def _sampled_edges(df: DataFrame, columns: list[str], rows_per_bucket: int) -> DataFrame | None:
+    """Edges for columns of any orderable types, from the rows with the smallest hashes.
+
+    The sample is the same whatever the partitioning, and its size follows the number of
+    buckets, at most ``FINE_GRID``. Edges come as one row with an array of edges and, for
+    each of its gaps, the array of edges inside, so that a search looks at few of them.
+    """
+    wanted = min(FINE_GRID, df.count() // rows_per_bucket + 1)
+    if wanted <= 1:
+        return None
+    # a column may hold few values per row of the table, so all columns enter the hash
+    sampled = df.select(F.struct(*columns).alias("s"), F.xxhash64(*df.columns).alias("h")).orderBy("h").limit(SAMPLE_PER_BUCKET * wanted)
+    rows = [r["s"] for r in sampled.orderBy("s").collect()]
+    edges = list(dict.fromkeys(rows[len(rows) * i // wanted] for i in range(1, wanted)))
+    step = max(1, round(len(edges) ** 0.5))
+    nested = [edges[i : i + step] for i in range(0, len(edges), step)]
+    kind = T.ArrayType(sampled.schema["s"].dataType)
+    schema = T.StructType([T.StructField("_cut_first", kind), T.StructField("_cut_groups", T.ArrayType(kind))])
+    return df.sparkSession.createDataFrame([([g[0] for g in nested], nested)], schema)
+
+
 def find_cuts(df: DataFrame, order: list[str], rows_per_bucket: int | None = None) -> Cuts:
     """Choose bucket edges: about ``rows_per_bucket`` rows each, at most ``FINE_GRID`` buckets.
 
     Only the edges reach the driver. Values so frequent that they fill a bucket are cut
-    further along the second order column.
+    further along the other order columns.
     """
     size = rows_per_bucket or ROWS_PER_BUCKET
     axis = order_axis(df, order[0])
+    if axis is None:
+        return Cuts([], [], order, _sampled_edges(df, order, size))
     edges = _quantiles(df, axis, size)
     heavy = sorted({e for e in edges if edges.count(e) > 1})
-    inner = []
-    if heavy and len(order) > 1:
-        inner = sorted(set(_quantiles(df.filter(axis.isin(heavy)), order_axis(df, order[1]), size)))
-    return Cuts(sorted(set(edges)), heavy, inner)
+    inner = _sampled_edges(df.filter(axis.isin(heavy)), order[1:], size) if heavy and order[1:] else None
+    return Cuts(sorted(set(edges)), heavy, order[1:], inner)
 
 
 def _cut(df: DataFrame, axis: str, edges: list[float], out: str) -> DataFrame:
@@ -93,19 +126,30 @@ def _cut(df: DataFrame, axis: str, edges: list[float], out: str) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=axis, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def _place(place: Column) -> Column:
+    """How many edges a row reaches, by the two levels of ``_sampled_edges``."""
+    reached = lambda edges: F.size(F.filter(edges, lambda e: place >= e))
+    group = F.greatest(reached(F.col("_cut_first")) - 1, F.lit(0))
+    step = F.size(F.get("_cut_groups", F.lit(0)))
+    return (group * step + reached(F.get("_cut_groups", group))).cast("long")
+
+
 def with_buckets(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
     """Add a bucket number that grows with the order columns."""
-    if not cuts.edges:
+    if cuts.single:
         return df.withColumn(BUCKET, F.lit(0).cast("long"))
-    out = _cut(df.withColumn(_AXIS, order_axis(df, order[0])), _AXIS, cuts.edges, "_b1")
+    axis = order_axis(df, order[0])
+    if axis is None:
+        return attach_totals(df, cuts.inner).withColumn(BUCKET, _place(F.struct(*cuts.within))).drop("_cut_first", "_cut_groups")
+    out = _cut(df.withColumn(_AXIS, axis), _AXIS, cuts.edges, "_b1")
     fine = F.lit(0)
-    if cuts.inner:
-        out = _cut(out.withColumn("_axis2", order_axis(df, order[1])), "_axis2", cuts.inner, "_b2")
+    if cuts.inner is not None:
+        out = attach_totals(out, cuts.inner)
         # rows that equal the lower edge of their bucket come first in it
-        fine = F.when(F.col(_AXIS).isin(cuts.heavy), F.col("_b2").cast("long")).otherwise(F.lit(FINE_GRID))
+        fine = F.when(F.col(_AXIS).isin(cuts.heavy), _place(F.struct(*cuts.within))).otherwise(F.lit(FINE_GRID))
     bucket = F.col("_b1").cast("long") * (FINE_GRID + 1) + fine
     # missing values sort first
-    return out.withColumn(BUCKET, F.when(F.col(_AXIS).isNull(), -1).otherwise(bucket)).drop(_AXIS, "_axis2", "_b1", "_b2")
+    return out.withColumn(BUCKET, F.when(F.col(_AXIS).isNull(), -1).otherwise(bucket)).drop(_AXIS, "_b1", "_cut_first", "_cut_groups")
 
 
 def _carry_in(cut: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,7 +182,7 @@ def running_sums(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1
     )
     local = {n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}
-    if not cuts.edges:  # the whole table fits one bucket
+    if cuts.single:  # the whole table fits one bucket
         return cut.withColumns(local).select(*df.columns, *sums)
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, BUCKET).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
@@ -163,7 +207,7 @@ def previous_row(
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     picked = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
     found = F.lag(picked).over(inside)
-    if cuts.edges:
+    if not cuts.single:
         across = Window.partitionBy(*keys).orderBy(BUCKET)
         last = cut.groupBy(*keys, BUCKET).agg(F.max_by(picked, F.struct(*order)).alias("_last"))
         cut = _carry_in(cut, last.select(*keys, BUCKET, F.lag("_last").over(across).alias("_carry")), keys)

@@ -25,7 +25,6 @@ OTHER_THRESHOLD = 3.0
 # Words that classify retrieved text, with class and confidence, in order of precedence.
 KEYWORD_CLASSES = [("instrument|calibration", "instrument_error", 0.8), ("noise|artifact", "known_noise", 0.7)]
 WITH_SOURCES, WITHOUT_SOURCES, NO_LOOKUP = ("reported_effect", 0.75), ("novel_candidate", 0.6), ("novel_candidate", 0.5)
-MAX_SOURCES = 5
 
 
 def average_path(n: float) -> float:
@@ -67,14 +66,19 @@ def _grow(seed: int, sample: int, limit: int):
 
 
 def _sampled(vectors: DataFrame, n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """Rows for every tree: about 1.5 times the sample size, trimmed when a tree is built."""
+    """Rows for every tree: about 1.5 times the sample size, trimmed when a tree is built.
+
+    Equal rows are counted first, and a hash of the values and the tree decides how many of
+    them a tree takes, so the draw is the same in every partitioning and in a repeated task.
+    """
     per_tree = min(1.0, OVERSAMPLE * sample / n)
-    if per_tree * trees <= 1.0:
-        # large table: one draw decides whether and where a row goes
-        drawn = vectors.withColumn("pick", F.rand(seed)).filter(F.col("pick") < per_tree * trees)
-        return drawn.withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
-    spread = vectors.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return spread.withColumn("pick", F.rand(seed)).filter(F.col("pick") < per_tree)
+    share = lambda *c: F.pmod(F.xxhash64(F.lit(seed), F.col("x"), *c), F.lit(1 << 30)) / float(1 << 30)
+    taken = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.floor(F.col("c") * per_tree + share(t)).alias("copies"))
+    )
+    spread = vectors.groupBy("x").agg(F.count("*").alias("c")).select("x", F.explode(F.filter(taken, lambda d: d["copies"] > 0)).alias("d"))
+    copies = spread.select("x", "d.tree", F.explode(F.sequence(F.lit(1).cast("long"), F.col("d.copies"))).alias("copy"))
+    return copies.select("x", "tree", share("tree", "copy").alias("pick"))
 
 
 def isolation_scores(df: DataFrame, features: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> tuple[int, DataFrame]:
@@ -163,7 +167,7 @@ def classify_anomalies(
             out = out.when(F.col("_content").rlike(pattern), F.lit(value[i]))
         return out.when(F.size(F.coalesce("_sources", F.array())) > 0, F.lit(WITH_SOURCES[i])).otherwise(F.lit(WITHOUT_SOURCES[i]))
 
-    cited = F.array_join(F.slice(F.coalesce("_sources", F.array()), 1, MAX_SOURCES), "; ")
+    cited = F.array_join(F.coalesce("_sources", F.array()), "; ")
     return staged.select(
         *[quoted(c) for c in df.columns],
         F.col("_flag").alias("is_anomaly"),

@@ -176,11 +176,12 @@ def _density_test(work: DataFrame, n: int, low: float, high: float, cutoff: floa
     center = F.lit(low) + (F.col("bin") + 0.5) * F.lit(width)
     above = F.col("center") >= F.lit(cutoff)
     bins = bins.withColumn("center", center)
+    squared = F.pow(F.col("n").cast("double"), F.lit(2.0))
     row = bins.agg(
         F.coalesce(F.sum(F.when(above, F.col("n"))), F.lit(0)).alias("sa"),
         F.coalesce(F.sum(F.when(~above, F.col("n"))), F.lit(0)).alias("sb"),
-        F.coalesce(F.sum(F.when(above, F.col("n") * F.col("n")).cast("double")), F.lit(0.0)).alias("qa"),
-        F.coalesce(F.sum(F.when(~above, F.col("n") * F.col("n")).cast("double")), F.lit(0.0)).alias("qb"),
+        F.coalesce(F.sum(F.when(above, squared)), F.lit(0.0)).alias("qa"),
+        F.coalesce(F.sum(F.when(~above, squared)), F.lit(0.0)).alias("qb"),
     ).first()
     kb = sum(1 for i in range(k) if low + (i + 0.5) * width < cutoff)  # k is about √n
     ka = k - kb

@@ -47,9 +47,12 @@ def assign_centers(df: DataFrame, xs: list[Column], centers: list[list[float]],
 
 
 def kmeans(
-    df: DataFrame, features: list[str] | None = None, k: int = 5, standardize: bool = True, seed: int = 42
+    df: DataFrame, features: list[str] | None = None, k: int = 5, standardize: bool = True, seed: int = 42, max_iter: int = 300
 ) -> ProfileResult:
-    """Cluster id and distance per row; incomplete rows keep NULLs."""
+    """Cluster id and distance per row; incomplete rows keep NULLs.
+
+    Rounds go on until the centres stay; ``converged`` is false where ``max_iter`` ended them.
+    """
     if k < 2:
         raise ValueError("k must be at least 2")
     features = as_list(features) or numeric_features(df)
@@ -63,7 +66,7 @@ def kmeans(
     data = VectorAssembler(inputCols=names, outputCol="_v").transform(
         df.filter(present).select([x.alias(c) for c, x in zip(names, xs)])
     )
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_p").fit(data.select("_v"))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="_p").fit(data.select("_v"))
     centers = [[float(v) for v in c] for c in model.clusterCenters()]
     rows = assign_centers(df, xs, centers, present)
     summary = model.summary
@@ -76,8 +79,8 @@ def kmeans(
         "cluster_sizes": rows.filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n")),
     }
     metrics = spark.createDataFrame(
-        [(k, standardize, float(summary.trainingCost), int(summary.numIter), n)],
-        "k int, standardized boolean, inertia double, n_iter int, rows_used long",
+        [(k, standardize, float(summary.trainingCost), int(summary.numIter), n, summary.numIter < max_iter)],
+        "k int, standardized boolean, inertia double, n_iter int, rows_used long, converged boolean",
     )
     return ProfileResult(rows, tables, metrics)
 

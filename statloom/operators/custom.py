@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from statloom.result import ProfileResult, as_list, require_columns
 
-MAX_GROUP_ROWS = 5_000_000
-
 
 def custom_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> ProfileResult:
     """Apply a function from DataFrame to DataFrame; anything else it returns is an error."""
@@ -37,16 +35,16 @@ def custom_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sc
 
 
 def custom_grouped(
-    df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_group_rows: int | None = None
 ) -> ProfileResult:
     """Run a pandas function per group.
 
-    A group has to fit one task, so group sizes are checked first and an oversized group
-    is an error, with its key.
+    A group has to fit one task. With ``max_group_rows`` the sizes are checked first, and
+    a larger group is an error, with its key.
     """
     keys = as_list(keys)
     require_columns(df, keys=keys)
-    large = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_group_rows).limit(3).collect()
+    large = max_group_rows and df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_group_rows).limit(3).collect()
     if large:
         raise ValueError(f"groups too large for one task: {[r.asDict() for r in large]}")
     return ProfileResult(df.groupBy(*keys).applyInPandas(fn, schema))

@@ -16,20 +16,14 @@ from statloom.operators.relational import train_test_flag
 from statloom.result import ProfileResult, as_list, numeric_features, quoted, require_columns, require_rows
 from statloom.session import work_path
 
-MAX_CLASSES = 20
-MAX_DEPTH, DEFAULT_DEPTH = 30, 10
+MAX_DEPTH = 30  # the library grows no deeper
 SEED = 42
 
 
 def _task(df: DataFrame, target: str) -> str:
-    """Text targets and integer targets with few values are classes."""
+    """Text, boolean and integer targets are classes, others are values."""
     kind = df.schema[target].dataType
-    if isinstance(kind, (T.StringType, T.BooleanType)):
-        return "classify"
-    if isinstance(kind, T.IntegralType):
-        few = df.select(target).dropna().distinct().limit(MAX_CLASSES + 1).count()
-        return "classify" if few <= MAX_CLASSES else "regress"
-    return "regress"
+    return "classify" if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType)) else "regress"
 
 
 def random_forest(
@@ -47,7 +41,9 @@ def random_forest(
     """Forest trained on the train rows, scoring all complete rows, evaluated on the test rows.
 
     Adds ``predicted_class`` with one probability column per class, or
-    ``predicted_value``. Depth is 10 unless given (30 at most).
+    ``predicted_value``. The type of the target decides the task unless ``task`` names it.
+    Trees grow as deep as the library lets them, 30 levels, unless ``max_depth`` is given.
+    Classes keep their share among the test rows.
     """
     features = as_list(features) or numeric_features(df, [target])
     require_columns(df, target=target, features=features)
@@ -56,8 +52,10 @@ def random_forest(
     task = task or _task(df, target)
     if task not in ("classify", "regress"):
         raise ValueError("task must be 'classify' or 'regress'")
-    depth = min(max_depth or DEFAULT_DEPTH, MAX_DEPTH)
-    split = train_test_flag(df, id_columns or [target, *features], test_size, seed, "_test")
+    depth = MAX_DEPTH if max_depth is None else max_depth
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"max_depth must be between 1 and {MAX_DEPTH}")
+    split = train_test_flag(df, id_columns or [target, *features], test_size, seed, "_test", target if task == "classify" else None)
     names = [f"_f{i}" for i in range(len(features))]
     staged = split.withColumns({n: number(df, f) for n, f in zip(names, features)}).withColumn("_ok", present)
     # incomplete rows are scored with zeros and blanked afterwards

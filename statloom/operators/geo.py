@@ -169,7 +169,7 @@ def spatial_aggregate(
     if "median" in functions:
         for m in metrics:
             values = assigned.select(*keys, number(df, m).alias("_v"))
-            summary = summary.join(exact_quantile(values, "_v", keys, 0.5, f"{m}_median").drop("polygon_label"), "polygon_id", "left")
+            summary = summary.join(exact_quantile(values, "_v", keys, 0.5, f"{m}_median"), keys, "left")
     valid = number(df, lat_column).isNotNull() & number(df, lon_column).isNotNull()
     counts = rows.agg(
         F.count_if(valid).alias("n_points_total"),
@@ -242,7 +242,8 @@ def isochrone(
 ) -> ProfileResult:
     """Nearest origin by great-circle distance and whether it is within reach.
 
-    ``order_column`` decides ties (label by default). Origins counted as few are tried
+    ``order_column`` decides ties (label by default). Origins without both coordinates
+    are no origins; ``tables["origins"]`` counts them. Origins counted as few are tried
     on every row; many origins are searched through cells on the sphere.
     """
     require_columns(df, lat_column=lat_column, lon_column=lon_column)
@@ -253,6 +254,7 @@ def isochrone(
         F.col(quoted(label_column)).cast("string").alias("_olabel"),
         F.col(quoted(order_column or label_column)).alias("_order"),
     )
+    listed = listed.filter("_olat IS NOT NULL AND _olon IS NOT NULL")
     points = df.withColumns({"_y": number(df, lat_column), "_x": number(df, lon_column)})
     valid = F.col("_y").isNotNull() & F.col("_x").isNotNull()
     n_origins = listed.limit(broadcast_origins + 1).count()
@@ -284,7 +286,8 @@ def isochrone(
         "pct_within_catchment",
         F.coalesce(F.round(F.try_divide("n_within_catchment", "n_valid_coordinates"), 4), F.lit(0.0)),
     )
-    return ProfileResult(rows, {}, metrics)
+    n_listed = origins.agg(F.count("*").alias("n_origins"), F.count_if(number(origins, "lat").isNull() | number(origins, "lon").isNull()).alias("n_origins_dropped"))
+    return ProfileResult(rows, {"origins": n_listed}, metrics)
 
 
 def geo_enrich(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.missing import number
+from statloom.functions.missing import moment, number
 from statloom.functions.ordered import find_cuts, previous_row, running_sums
 from statloom.result import ProfileResult, numeric_features, require_columns
 from statloom.session import cut_lineage
@@ -18,7 +18,8 @@ def lineage_gaps(jobs: DataFrame, keys: list[str] = (), rows_per_bucket: int | N
 
     ``stage`` counts jobs from 0. With ``keys`` every key is a chain of its own.
     """
-    keys, order = list(keys), ["started_at", "job_id"]
+    keys, order = list(keys), ["_at", "job_id"]
+    jobs = jobs.withColumn("_at", moment(jobs, "started_at"))
     cuts = find_cuts(jobs, order, rows_per_bucket)
     staged = running_sums(jobs, keys, order, {"stage": F.lit(1)}, inclusive=False, cuts=cuts)
     linked = previous_row(staged, keys, order, {"previous_result": "result_uri"}, cuts=cuts)
@@ -42,6 +43,7 @@ def provenance(
     lookback_days: int = 365,
     max_depth: int = 1,
     as_of: str | None = None,
+    rows_per_bucket: int | None = None,
 ) -> ProfileResult:
     """Jobs that read or wrote an artifact, the files they touched, and breaks in the chain.
 
@@ -57,7 +59,7 @@ def provenance(
     jobs = history.select(*HISTORY, *optional)
     if as_of:
         end = F.lit(as_of).cast("timestamp_ntz")
-        start = F.col("started_at").cast("timestamp_ntz")
+        start = moment(jobs, "started_at")
         jobs = jobs.filter((start <= end) & (start >= end - F.expr(f"interval {int(lookback_days)} days")))
     found = jobs.filter((F.col("source_uri") == artifact) | (F.col("result_uri") == artifact))
     for _ in range(max_depth - 1):
@@ -66,8 +68,9 @@ def provenance(
         if wider.count() == found.count():
             break
         found = wider
-    cuts = find_cuts(found, ["started_at", "job_id"])
-    numbered = running_sums(found, [], ["started_at", "job_id"], {"step": F.lit(1)}, cuts=cuts)
+    timed = found.withColumn("_at", moment(found, "started_at"))
+    cuts = find_cuts(timed, ["_at", "job_id"], rows_per_bucket)
+    numbered = running_sums(timed, [], ["_at", "job_id"], {"step": F.lit(1)}, cuts=cuts).drop("_at")
     activities = numbered.withColumn("id", F.concat(F.lit("activity:"), F.col("job_id").cast("string")))
     roles = F.array(
         F.struct(F.col("source_uri").alias("uri"), F.lit("input").alias("role")),
@@ -105,7 +108,7 @@ def provenance(
     )
     tables = {
         "entities": entities,
-        "gaps": lineage_gaps(found),
+        "gaps": lineage_gaps(found, rows_per_bucket=rows_per_bucket),
         "prov_document": document,
         "markdown": activities.select("step", line.alias("line")).orderBy("step"),
     }

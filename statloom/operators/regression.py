@@ -20,7 +20,6 @@ from statloom.result import ProfileResult, as_list, numeric_features, quoted, re
 from statloom.session import cut_lineage
 
 COEFFICIENTS = "variable string, coefficient double, std_error double, z_score double, p_value double"
-MAX_INTERACTION_FEATURES = 5
 PROBABILITY_FLOOR = 1e-10
 
 
@@ -34,7 +33,7 @@ def _prepare(df: DataFrame, target: str, features: list[str] | None) -> list[str
 
 def _designs(df: DataFrame, features: list[str], include_interactions: bool) -> dict[str, Column]:
     design = {f: number(df, f) for f in features}
-    if include_interactions and len(features) <= MAX_INTERACTION_FEATURES:
+    if include_interactions:
         for i, a in enumerate(features):
             for b in features[i + 1 :]:
                 design[f"{a}_x_{b}"] = number(df, a) * number(df, b)
@@ -344,7 +343,7 @@ def regression_logistic(
     scaled = {
         f: (number(df, f) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i, f in enumerate(features)
     }
-    split = train_test_flag(work, id_columns or [target, *features], test_size, seed, "_test")
+    split = train_test_flag(work, id_columns or [target, *features], test_size, seed, "_test", target)
     train = _assembled(split.filter("not _test"), scaled, {"_y": y})
     counts = {r["_y"]: r["n"] for r in train.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -359,7 +358,7 @@ def regression_logistic(
         "predicted_class", F.when(present, (F.col("predicted_prob") >= threshold).cast("int"))
     )
     tested = (
-        train_test_flag(rows.filter(present), id_columns or [target, *features], test_size, seed, "_test")
+        train_test_flag(rows.filter(present), id_columns or [target, *features], test_size, seed, "_test", target)
         .filter("_test")
         .withColumn("_y", y)
     )

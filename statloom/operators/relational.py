@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.missing import all_present, number
+from statloom.functions.ordered import exact_quantile
 from statloom.result import ProfileResult, as_list, quoted, require_columns
 
 JOIN_TYPES = ("inner", "left", "right", "full")
@@ -80,7 +81,7 @@ def run_many(
     df: DataFrame,
     operators: dict[str, Callable[[DataFrame], ProfileResult]],
     requested: list[str] | None = None,
-    limit: int = 10,
+    limit: int | None = None,
 ) -> tuple[dict[str, ProfileResult], dict[str, str], DataFrame]:
     """Run several operators on one input; returns results, errors and the shared input.
 
@@ -88,7 +89,7 @@ def run_many(
     unpersists the third item when all results have been used.
     """
     wanted = list(operators) if requested is None else list(requested)
-    if len(wanted) > limit:
+    if limit is not None and len(wanted) > limit:
         raise ValueError(f"at most {limit} operators per run")
     shared = df.persist(StorageLevel.MEMORY_AND_DISK)
     results, errors = {}, {}
@@ -166,16 +167,24 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> D
 
 
 def train_test_flag(
-    df: DataFrame, id_columns: list[str], test_size: float = 0.2, seed: int = 42, flag: str = "is_test"
+    df: DataFrame, id_columns: list[str], test_size: float = 0.2, seed: int = 42, flag: str = "is_test", stratify: str | None = None
 ) -> DataFrame:
     """Mark a deterministic share of rows as test rows.
 
     The mark depends on the row's id and the seed alone, so it survives retries and
-    repartitioning and keeps the share within every class.
+    repartitioning. With ``stratify`` every class keeps the share, by the exact quantile of
+    its rows' marks: a class of one row has it for training. Rows without a class are not
+    test rows.
     """
-    require_columns(df, id_columns=id_columns)
-    spread = F.pmod(F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in as_list(id_columns)]), F.lit(1_000_000))
-    return df.withColumn(flag, spread < int(test_size * 1_000_000))
+    require_columns(df, id_columns=id_columns, stratify=stratify) if stratify else require_columns(df, id_columns=id_columns)
+    mark = F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in as_list(id_columns)])
+    if stratify is None:
+        return df.withColumn(flag, F.pmod(mark, F.lit(1_000_000)) < int(test_size * 1_000_000))
+    share = F.pmod(mark, F.lit(1 << 52))  # exact as a double
+    marks = df.select(F.col(quoted(stratify)).alias("_class"), share.alias("_mark")).filter("_class IS NOT NULL")
+    limits = exact_quantile(marks, "_mark", ["_class"], test_size, "_limit")
+    joined = df.withColumn("_mark", share).join(limits, F.col(quoted(stratify)) == F.col("_class"), "left")
+    return joined.withColumn(flag, F.coalesce(F.col("_mark") < F.col("_limit"), F.lit(False))).drop("_mark", "_class", "_limit")
 
 
 def excluded_count(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -87,11 +87,13 @@ def correlations(
     features: list[str] | None = None,
     target: str | None = None,
     method: str = "pearson",
-    top_n: int = 20,
+    top_n: int | None = None,
     bin_edges: dict[str, list[float]] | None = None,
 ) -> ProfileResult:
     """Ranked correlations of feature pairs, or of features with a target, on complete rows.
 
+    All pairs come back unless ``top_n`` asks for the strongest only.
+
     Spearman runs the same formula on average ranks. Mutual information is estimated on
     quantile bins (or the given edges), not by nearest neighbours.
     """
@@ -133,7 +135,7 @@ def correlations(
     spark = df.sparkSession
     schema = "feature_a string, feature_b string, correlation double, p_value double, rank int"
     metrics = spark.createDataFrame(
-        [(method, n, len(top), top_n)], "method string, rows_used long, pairs_computed int, top_n int"
+        [(method, n, len(found), top_n)], "method string, rows_used long, pairs_computed int, top_n int"
     )
     return ProfileResult(spark.createDataFrame(top, schema), {}, metrics)
 
@@ -237,7 +239,10 @@ def chi_square(
     by_row = cells.groupBy("row_value").agg(F.sum("observed").alias("_r"))
     by_col = cells.groupBy("col_value").agg(F.sum("observed").alias("_c"))
     totals = cells.agg(F.sum("observed").alias("_n"), F.sum("_rows").alias("_rows"))
-    shape = by_row.agg(F.count("*").alias("_nr")).crossJoin(by_col.agg(F.count("*").alias("_nc")))  # one row each
+    inverse = lambda c: F.sum(F.try_divide(F.lit(1.0), F.col(c)))
+    shape = by_row.agg(F.count("*").alias("_nr"), inverse("_r").alias("_ir")).crossJoin(
+        by_col.agg(F.count("*").alias("_nc"), inverse("_c").alias("_ic"))
+    )  # one row each
     # every combination of the margins is a cell of the result
     grid = by_row.crossJoin(by_col).join(cells.drop("_rows"), ["row_value", "col_value"], "left")
     full = attach_totals(attach_totals(grid, totals), shape).withColumns(
@@ -246,17 +251,24 @@ def chi_square(
             "expected": F.try_divide(F.col("_r") * F.col("_c"), F.col("_n")),
         }
     )
+    # the statistic needs the observed cells only: an empty cell adds its expected count, and
+    # the four cells of a 2×2 table are all off by the same amount
+    seen = attach_totals(attach_totals(cells.drop("_rows").join(by_row, "row_value").join(by_col, "col_value"), totals), shape)
+    seen = seen.withColumn("expected", F.try_divide(F.col("_r") * F.col("_c"), F.col("_n")))
     gap = F.abs(F.col("observed") - F.col("expected"))
-    two_by_two = (F.col("_nr") == 2) & (F.col("_nc") == 2)
-    corrected = F.when(two_by_two, gap - F.least(gap, F.lit(0.5))).otherwise(gap)
+    two_by_two = (F.max("_nr") == 2) & (F.max("_nc") == 2)
+    off = F.max(gap)
+    corrected = off - F.least(off, F.lit(0.5))
+    plain = F.sum(F.try_divide(gap * gap, F.col("expected"))) + (F.max("_n") - F.sum("expected"))
+    chi2 = F.when(two_by_two, corrected * corrected * F.max("_n") * F.max("_ir") * F.max("_ic")).otherwise(plain)
     v = F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.least("_nr", "_nc") - 1)))
     test = (
-        full.agg(
+        seen.agg(
             F.max("_rows").alias("_rows"),
             F.max("_nr").alias("_nr"),
             F.max("_nc").alias("_nc"),
             F.floor(F.max("_n")).alias("n"),
-            F.sum(F.try_divide(corrected * corrected, F.col("expected"))).alias("chi2"),
+            chi2.alias("chi2"),
         )
         .filter("_rows >= 5")
         .withColumn("degrees_of_freedom", (F.col("_nr") - 1) * (F.col("_nc") - 1))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.dist import chi2_tail, normal_quantile
 from statloom.functions.missing import clean, number
-from statloom.functions.ordered import find_cuts, running_sums
+from statloom.functions.ordered import BUCKET, find_cuts, running_sums, with_buckets
 from statloom.result import ProfileResult, require_columns, require_count
 from statloom.session import cut_lineage
 
 MIN_GROUP = 5
+# Times whose risk sets of all groups are held at once.
+TIMES_AT_ONCE = 1024
 
 
 def _durations(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
@@ -36,8 +39,9 @@ def kaplan_meier(
     group_column: str,
     confidence_level: float = 0.95,
     rows_per_bucket: int | None = None,
+    log_rank: bool = True,
 ) -> ProfileResult:
-    """Survival curves per group with exponential Greenwood bands, and the log-rank test.
+    """Survival curves per group with exponential Greenwood bands, and the log-rank test unless ``log_rank`` is off.
 
     Rows collapse to one per (group, distinct time) first; all running totals work on
     those. Groups under five members are left out of the curves and listed.
@@ -97,8 +101,9 @@ def kaplan_meier(
     tables = {
         "median_survival": median,
         "groups_skipped": skipped,
-        "log_rank_test": _logrank(times, confidence_level, rows_per_bucket),
     }
+    if log_rank:
+        tables["log_rank_test"] = _logrank(times, confidence_level, rows_per_bucket)
     metrics = sizes.agg(F.sum("size").alias("total_rows"), F.count("*").alias("groups"))
     return ProfileResult(rows, tables, metrics)
 
@@ -119,49 +124,64 @@ def logrank(
 def _logrank(per_group: DataFrame, confidence_level: float, rows_per_bucket: int | None) -> DataFrame:
     """The test from (group, timeline, n, events) counts.
 
-    One row per distinct time holds the counts of every group; the observed minus
-    expected vector and its covariance are sums over those rows, and only the k by k
-    system reaches the driver.
+    Expected events of a group are its members' cumulative hazards, read off one running
+    sum over all times. The covariance comes from blocks of times, each of which adds up
+    the products of the groups' risk sets in one task. Only vectors and the matrix over
+    the groups, and the groups' risk sets where a block begins, reach the driver.
     """
     spark = per_group.sparkSession
     schema = "test_statistic double, degrees_of_freedom int, p_value double, significant boolean"
-    totals = per_group.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect()
-    groups, sizes = [r["group"] for r in totals], [r["n"] for r in totals]
-    k = len(groups)
-    if k < 2:
+    overall = per_group.groupBy("timeline").agg(F.sum("n").alias("n"), F.sum("events").alias("d"))
+    total = per_group.agg(F.sum("n").alias("n"), F.count_distinct("group").alias("k")).first()
+    if total["k"] < 2:
         return spark.createDataFrame([], schema)
-    pick = lambda g, c: F.coalesce(F.sum(F.when(F.col("group") == F.lit(g), F.col(c))), F.lit(0))
-    times = per_group.groupBy("timeline").agg(
-        *[pick(g, "n").alias(f"n{i}") for i, g in enumerate(groups)],
-        *[pick(g, "events").alias(f"d{i}") for i, g in enumerate(groups)],
-    )
-    cuts = find_cuts(per_group.select("timeline"), ["timeline"], rows_per_bucket)
-    gone = running_sums(
-        times, [], ["timeline"], {f"g{i}": F.col(f"n{i}") for i in range(k)}, inclusive=False, cuts=cuts
-    )
-    risk = [F.lit(sizes[i]) - F.col(f"g{i}") for i in range(k)]
-    staged = gone.select(
-        *[risk[i].alias(f"r{i}") for i in range(k)],
-        *[F.col(f"d{i}") for i in range(k)],
-        sum((risk[i] for i in range(1, k)), risk[0]).alias("r"),
-        sum((F.col(f"d{i}") for i in range(1, k)), F.col("d0")).alias("d"),
-    ).filter("d > 0")
-    share = lambda i: F.col(f"r{i}") / F.col("r")
-    factor: Column = F.when(F.col("r") > 1, F.col("d") * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
-    aggs = [F.sum(F.col(f"d{i}") - F.col("d") * share(i)).alias(f"z{i}") for i in range(k)]
-    aggs += [
-        F.sum(factor * share(i) * ((F.lit(1.0) if i == j else F.lit(0.0)) - share(j))).alias(f"v{i}_{j}")
-        for i in range(k - 1)
-        for j in range(i, k - 1)
-    ]
-    row = staged.agg(*aggs).first()
-    if row["z0"] is None:
-        return spark.createDataFrame([(0.0, k - 1, 1.0, False)], schema)
-    z = np.array([row[f"z{i}"] for i in range(k - 1)])
-    v = np.zeros((k - 1, k - 1))
-    for i in range(k - 1):
-        for j in range(i, k - 1):
-            v[i, j] = v[j, i] = row[f"v{i}_{j}"]
-    statistic = float(z @ np.linalg.pinv(v) @ z)
+    cuts = find_cuts(overall.select("timeline"), ["timeline"], rows_per_bucket)
+    r, d = F.lit(total["n"]) - F.col("gone"), F.col("d")
+    factor = F.when((r > 1) & (d > 0), d * (r - d) / (r - 1)).otherwise(F.lit(0.0))
+    risk = running_sums(overall, [], ["timeline"], {"gone": F.col("n")}, inclusive=False, cuts=cuts)
+    steps = risk.select("timeline", (d / r).alias("hazard"), (factor / r).alias("spread"), (factor / (r * r)).alias("w"))
+    hazards = cut_lineage(running_sums(steps, [], ["timeline"], {"h": F.col("hazard"), "a": F.col("spread")}, cuts=cuts))
+    members = cut_lineage(with_buckets(per_group.join(hazards.select("timeline", "h", "a", "w"), "timeline"), ["timeline"], cuts))
+    found = members.groupBy("group").agg(
+        F.sum("events").alias("o"), F.sum(F.col("n") * F.col("h")).alias("e"), F.sum(F.col("n") * F.col("a")).alias("v"), F.sum("n").alias("size")
+    ).orderBy("group").collect()
+    if not sum(g["o"] for g in found):
+        return spark.createDataFrame([(0.0, len(found) - 1, 1.0, False)], schema)
+    k = len(found)
+    place = spark.createDataFrame([(g["group"], i) for i, g in enumerate(found)], "group " + per_group.schema["group"].dataType.simpleString() + ", g int")
+    placed = members.join(place, "group").select(BUCKET, "timeline", "w", "g", "n")
+    # who is still at risk where a block of times begins
+    inside = {}
+    for row in placed.groupBy(BUCKET, "g").agg(F.sum("n").alias("n")).collect():
+        inside.setdefault(row[BUCKET], np.zeros(k))[row["g"]] = row["n"]
+    at_start, left = {}, np.array([float(g["size"]) for g in found])
+    for bucket in sorted(inside):
+        at_start[bucket], left = left, left - inside[bucket]
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(block[BUCKET].iloc[0])
+        risk, out = at_start[bucket].copy(), np.zeros((k, k))
+        times, where = np.unique(block["timeline"].to_numpy(), return_inverse=True)
+        w, g, n = np.zeros(len(times)), block["g"].to_numpy(), block["n"].to_numpy()
+        w[where] = block["w"].to_numpy()
+        order = np.argsort(where, kind="stable")
+        bounds = np.searchsorted(where[order], np.arange(0, len(times) + TIMES_AT_ONCE, TIMES_AT_ONCE))
+        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            rows, first = order[lo:hi], i * TIMES_AT_ONCE
+            gone = np.zeros((min(TIMES_AT_ONCE, len(times) - first), k))
+            np.add.at(gone, (where[rows] - first, g[rows]), n[rows])
+            before = risk - (np.cumsum(gone, axis=0) - gone)
+            out += before.T @ (before * w[first : first + len(gone), None])
+            risk = risk - gone.sum(axis=0)
+        i, j = np.triu_indices(k)
+        return pd.DataFrame({"i": i, "j": j, "q": out[i, j]})
+
+    cells = placed.groupBy(BUCKET).applyInPandas(products, "i int, j int, q double").groupBy("i", "j").agg(F.sum("q").alias("q")).collect()
+    v = np.zeros((k, k))
+    for c in cells:
+        v[c["i"], c["j"]] = v[c["j"], c["i"]] = -c["q"]
+    v[np.diag_indices(k)] += [g["v"] for g in found]
+    z = np.array([g["o"] - g["e"] for g in found])[:-1]
+    statistic = float(z @ np.linalg.pinv(v[:-1, :-1]) @ z)
     p = chi2_tail(statistic, k - 1)
     return spark.createDataFrame([(statistic, k - 1, p, bool(p < 1 - confidence_level))], schema)

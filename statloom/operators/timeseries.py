@@ -124,9 +124,7 @@ def _numbered_rows(df: DataFrame, date: str, value: str, group: str | None, id_c
     """Rows with series key, value and position in date order (id decides equal dates)."""
     key = F.col(quoted(group)).cast("string") if group else F.lit("all")
     staged = df.withColumns({"_series": key, "_ds": moment(df, date), "_y": number(df, value), "_id": F.col(quoted(id_column))})
-    # a numeric id can cut a date that holds very many rows
-    fine = isinstance(staged.schema["_id"].dataType, T.NumericType)
-    cuts = find_cuts(staged, ["_ds", "_id"] if fine else ["_ds"], rows_per_bucket)
+    cuts = find_cuts(staged, ["_ds", "_id"], rows_per_bucket)
     placed = running_sums(staged, ["_series"], ["_ds", "_id"], {"_pos": F.lit(1).cast("long")}, inclusive=False, cuts=cuts)
     return placed, cuts
 
@@ -139,7 +137,7 @@ def _neighbours(placed: DataFrame, cuts: Cuts) -> DataFrame:
     backward = Window.partitionBy("_series", BUCKET).orderBy("_pos").rowsBetween(0, Window.unboundedFollowing)
     prev, after = F.last(known, ignorenulls=True).over(forward), F.first(known, ignorenulls=True).over(backward)
     out = cut.withColumns({"_prev": prev, "_next": after})
-    if cuts.edges:
+    if not cuts.single:
         ends = cut.filter("_y is not null").groupBy("_series", BUCKET).agg(
             F.min(F.struct("_pos", "_y")).alias("_first"), F.max(F.struct("_pos", "_y")).alias("_last")
         )

@@ -187,18 +187,18 @@ def _(t):
     return meta.join(data)
 
 
-@query("b2_export_csv", "SELECT least(count(*), 1000000) AS exported FROM lineitem")
+@query("b2_export_csv", "SELECT count(*) AS exported FROM lineitem")
 def _(t):
     path = scratch(t, "export")
     writers.export_csv(t("lineitem"), path)
     return t.spark.read.option("header", True).csv(path).agg(F.count("*").alias("exported"))
 
 
-@query("b3_write_manifest", "SELECT 's3://results/' || n_name || '.parquet' AS uri, 'PARQUET' AS format FROM nation")
+@query("b3_write_manifest", "SELECT 's3://results/' || o_orderkey || '.parquet' AS uri, 'PARQUET' AS format FROM orders")
 def _(t):
     path = scratch(t, "listed")
-    names = [r["n_name"] for r in t("nation").select("n_name").collect()]  # a manifest is one small document
-    writers.write_manifest(t.spark, path, [f"s3://results/{n}.parquet" for n in names])
+    uris = t("orders").select(F.concat(F.lit("s3://results/"), F.col("o_orderkey").cast("string"), F.lit(".parquet")))
+    writers.write_manifest(t.spark, path, uris)
     kind = "fileLocations array<struct<URIs:array<string>>>, globalUploadSettings struct<format:string>"
     loaded = t.spark.read.schema(kind).json(path).select(F.explode("fileLocations").alias("l"), F.col("globalUploadSettings.format").alias("format"))
     return loaded.select(F.explode("l.URIs").alias("uri"), "format")

@@ -168,10 +168,12 @@ def _(t):
 
 @query("e8_observed_wide", """
 SELECT o_orderstatus AS row_value, count(*) FILTER (WHERE o_orderpriority = '1-URGENT')::DOUBLE AS "1-URGENT",
+  count(*) FILTER (WHERE o_orderpriority = '2-HIGH')::DOUBLE AS "2-HIGH", count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM')::DOUBLE AS "3-MEDIUM",
+  count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED')::DOUBLE AS "4-NOT SPECIFIED",
   count(*) FILTER (WHERE o_orderpriority = '5-LOW')::DOUBLE AS "5-LOW" FROM orders GROUP BY 1""")
 def _(t):
     table = stats.chi_square(t("orders"), "o_orderstatus", "o_orderpriority").tables["observed"]
-    return stats.contingency_wide(table, "observed", ["1-URGENT", "5-LOW"])
+    return stats.contingency_wide(table, "observed")
 
 
 # --- regression -------------------------------------------------------------------------
@@ -369,7 +371,7 @@ s AS (SELECT *, CASE WHEN sum(CASE WHEN d > 0 AND d >= n THEN 1 ELSE 0 END) OVER
 @query("i1_kaplan_meier", KM + """
 SELECT g AS "group", t AS timeline, round(s, 6) AS survival_probability, n AS at_risk, d AS events FROM s""")
 def _(t):
-    rows = survival.kaplan_meier(_durations(t), "duration", "event", "grp").rows
+    rows = survival.kaplan_meier(_durations(t), "duration", "event", "grp", log_rank=False).rows
     return rounded(rows.drop("survival_lower", "survival_upper"))
 
 
@@ -378,14 +380,14 @@ SELECT g AS "group", t AS timeline,
   round(CASE WHEN s > 0 AND s < 1 THEN exp(-exp(ln(-ln(s)) + 1.959963984540054 * sqrt(v) / ln(s))) ELSE s END, 6) AS survival_lower,
   round(CASE WHEN s > 0 AND s < 1 THEN exp(-exp(ln(-ln(s)) - 1.959963984540054 * sqrt(v) / ln(s))) ELSE s END, 6) AS survival_upper FROM s""")
 def _(t):
-    rows = survival.kaplan_meier(_durations(t), "duration", "event", "grp").rows
+    rows = survival.kaplan_meier(_durations(t), "duration", "event", "grp", log_rank=False).rows
     return rounded(rows.select("group", "timeline", "survival_lower", "survival_upper"))
 
 
 @query("i3_median_survival", KM + """
 SELECT g AS "group", coalesce(min(t) FILTER (WHERE s <= 0.5), 'infinity'::DOUBLE) AS median_survival FROM s GROUP BY g""")
 def _(t):
-    return survival.kaplan_meier(_durations(t), "duration", "event", "grp").tables["median_survival"]
+    return survival.kaplan_meier(_durations(t), "duration", "event", "grp", log_rank=False).tables["median_survival"]
 
 
 @query("i4_logrank", "WITH " + DURATIONS.format(g="l_linestatus") + """,

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.functions.ordered import numbered
 from statloom.result import ProfileResult, as_list, quoted, require_columns
+from statloom.session import cut_lineage
 
 # Nesting depth of the coordinates of each geometry type (fixed values).
 DEPTH = {
@@ -70,9 +72,11 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
     A file holds one FeatureCollection; with ``lines`` every line holds a
     FeatureCollection or a single Feature, and large files split across tasks.
-    ``feature_id`` is the position in its collection.
+    ``feature_id`` is the position in its collection, ``place`` sorts like the features
+    stand in the files.
     """
-    text = spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "doc")
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path, wholetext=not lines).select(F.col("value").alias("doc"), where.alias("place"))
     doc = F.from_json("doc", "type string, crs string, features array<string>")
     parsed = text.filter(F.trim("doc") != "").withColumn("d", doc)
     features = F.when(F.col("d.type") == "FeatureCollection", F.col("d.features"))
@@ -80,9 +84,9 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         features = features.when(F.col("d.type") == "Feature", F.array("doc"))
     one = F.from_json("feature", "properties string, geometry string")
     return (
-        parsed.select(F.col("d.crs").alias("crs"), F.posexplode(features).alias("feature_id", "feature"))
+        parsed.select(F.col("d.crs").alias("crs"), "place", F.posexplode(features).alias("feature_id", "feature"))
         .withColumn("f", one)
-        .select("feature_id", "crs", "f.properties", "f.geometry")
+        .select("feature_id", F.struct("place.*", "feature_id").alias("place"), "crs", "f.properties", "f.geometry")
         .withColumn("geometry_type", F.get_json_object("geometry", "$.type"))
     )
 
@@ -140,13 +144,18 @@ def ingest_geojson(
 
 
 def read_polygons(spark: SparkSession, path: str, label_property: str = "name", lines: bool = False) -> DataFrame:
-    """Polygon features as (polygon_id, polygon_label, rings) for the spatial join."""
-    features = read_features(spark, path, lines).filter(F.col("geometry_type").isin("Polygon", "MultiPolygon"))
+    """Polygon features as (polygon_id, polygon_label, rings) for the spatial join.
+
+    ``polygon_id`` numbers all features over files, lines and collections.
+    """
+    # written once: the places must not change between the numbering and the join
+    every = cut_lineage(read_features(spark, path, lines))
+    features = every.join(numbered(every, "place", "number"), "place").filter(F.col("geometry_type").isin("Polygon", "MultiPolygon"))
     rings = F.when(F.col("geometry_type") == "Polygon", _coordinates(3)).otherwise(F.flatten(_coordinates(4)))
     label = F.get_json_object("properties", f"$.{label_property}")
     return features.select(
-        F.col("feature_id").alias("polygon_id"),
-        F.coalesce(label, F.concat(F.lit("polygon_"), F.col("feature_id"))).alias("polygon_label"),
+        F.col("number").cast("int").alias("polygon_id"),
+        F.coalesce(label, F.concat(F.lit("polygon_"), F.col("number"))).alias("polygon_label"),
         F.transform(
             rings, lambda r: F.transform(r, lambda p: F.struct(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y")))
         ).alias("rings"),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.operators.relational import union_all
 from statloom.result import ProfileResult, as_list
+from statloom.session import cut_lineage
 
 FORMATS = ("CSV", "TSV", "JSON", "PARQUET")
 
@@ -19,6 +17,14 @@ def list_files(spark: SparkSession, paths: list[str]) -> list[str]:
     return [r["path"] for r in found.collect()]
 
 
+def _first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, header): the first line of every file that has one, in one pass over all of them."""
+    where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")]
+    lines = spark.read.text(paths).select("value", *where).filter("at = 0")
+    # numbers grow along a file's first block
+    return cut_lineage(lines.groupBy("path").agg(F.min_by("value", "n").alias("header")))
+
+
 def read_delimited(
     spark: SparkSession,
     paths: list[str],
@@ -36,25 +42,22 @@ def read_delimited(
     if not isinstance(delimiter, str) or len(delimiter) != 1:
         raise ValueError(f"invalid delimiter {delimiter!r}: must be a single character")
     reader = spark.read.option("sep", delimiter).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-    skipped: list[tuple[str, str]] = []
+    skipped = spark.createDataFrame([], "path string, header string")
     if header:
-        files = list_files(spark, paths)
-        first_line = lambda f: spark.read.text(f).head()
-        with ThreadPoolExecutor(8) as pool:  # one short read per file
-            heads = list(pool.map(first_line, files))
-        present = [(f, h["value"]) for f, h in zip(files, heads) if h is not None]
-        if not present:
+        heads = _first_lines(spark, paths)
+        first = heads.orderBy("path").first()
+        if first is None:
             raise ValueError("source files are empty")
-        expected = present[0][1]
-        skipped = [(f, h) for f, h in present if h != expected]
-        paths = [f for f, h in present if h == expected]
+        same = F.col("header") == F.lit(first["header"])
+        skipped = heads.filter(~same)
+        if not skipped.isEmpty():
+            paths = [r["path"] for r in heads.filter(same).select("path").orderBy("path").collect()]
         reader = reader.option("header", True)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", infer)
     df = reader.csv(paths)
     if not header and not schema:
         df = df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
-    tables = {"skipped": spark.createDataFrame(skipped, "path string, header string")}
-    return ProfileResult(df, tables)
+    return ProfileResult(df, {"skipped": skipped})
 
 
 def read_json_lines(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
@@ -103,5 +106,5 @@ def read_manifest(spark: SparkSession, path: str) -> ProfileResult:
     if kind == "JSON":
         return ProfileResult(read_json_lines(spark, uris))
     if kind == "PARQUET":
-        return ProfileResult(union_all([read_parquet(spark, [u]) for u in uris]))
+        return ProfileResult(spark.read.option("mergeSchema", True).parquet(*uris))
     raise ValueError(f"unsupported manifest file format: {kind}; supported formats: {FORMATS}")

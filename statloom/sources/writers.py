@@ -7,10 +7,7 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.result import ProfileResult, require_columns
-
-EXPORT_LIMIT = 1_000_000
-
+from statloom.result import ProfileResult, quoted, require_columns
 
 def write_result(result: ProfileResult, path: str, sources: int = 1, join_type: str | None = None) -> dict:
     """Write rows as Parquet with a metadata record beside them.
@@ -34,16 +31,28 @@ def write_result(result: ProfileResult, path: str, sources: int = 1, join_type:
     return metadata
 
 
-def export_csv(df: DataFrame, path: str, row_limit: int = EXPORT_LIMIT) -> None:
-    """The first rows as CSV with a header (the limit is the export's contract)."""
-    df.limit(row_limit).write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, row_limit: int | None = None, order: list[str] | None = None) -> None:
+    """All rows as CSV with a header, or the first ``row_limit`` of them by ``order``.
+
+    Without an order the first rows are those by all columns, so a limit always means the
+    same rows.
+    """
+    if row_limit is not None:
+        df = df.orderBy(*(order or df.columns)).limit(row_limit)
+    df.write.mode("overwrite").option("header", True).csv(path)
+
 
+def write_manifest(spark: SparkSession, path: str, uris: DataFrame | list[str], file_format: str = "PARQUET") -> None:
+    """A manifest that points to result files, one JSON line per file.
 
-def write_manifest(spark: SparkSession, path: str, uris: list[str], file_format: str = "PARQUET") -> None:
-    """A manifest that points to result files."""
-    record = [([([u],) for u in uris], (file_format,))]
-    schema = "fileLocations array<struct<URIs:array<string>>>, globalUploadSettings struct<format:string>"
-    spark.createDataFrame(record, schema).coalesce(1).write.mode("overwrite").json(path)
+    ``uris`` is a DataFrame whose first column names the files; executors write its lines,
+    so a manifest may name any number of them. A short list will do too.
+    """
+    if not isinstance(uris, DataFrame):
+        uris = spark.createDataFrame([(u,) for u in uris], "uri string")
+    location = F.array(F.struct(F.array(F.col(quoted(uris.columns[0])).cast("string")).alias("URIs")))
+    settings = F.struct(F.lit(file_format).alias("format"))
+    uris.select(location.alias("fileLocations"), settings.alias("globalUploadSettings")).write.mode("overwrite").json(path)
 
 
 AUDIT_COLUMNS = [

@@ -6,15 +6,15 @@ stops (``availableNow``), or keeps running with a trigger of the caller's choice
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from statloom.functions.ordered import running_sums
 from statloom.operators.ledger import ALERT_THRESHOLD, BUDGET_LIMIT, billed_cost, month_of
 
 
@@ -44,64 +44,41 @@ def run_incremental(
     return writer.trigger(availableNow=True).start()
 
 
-def _totals_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Running totals after the previous batch, or None at the start."""
-    try:
-        versions = spark.read.parquet(folder)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # no version has been written yet
-    latest = versions.filter(F.col("version") < batch_id).agg(F.max("version")).first()[0]
-    if latest is None:
-        return None
-    return versions.filter(F.col("version") == latest).drop("version")
+def merged(spark: SparkSession, sink: str, keys: list[str], sums: list[str]) -> DataFrame:
+    """What the batches of ``run_incremental`` wrote, one row per key: batches add up."""
+    return spark.read.parquet(sink).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def stream_budget_alerts(
     jobs: DataFrame,
-    sink: str,
-    state: str,
-    checkpoint: str,
     limit: float = BUDGET_LIMIT,
     threshold: float = ALERT_THRESHOLD,
     user_column: str = "user_id",
     started_column: str = "started_at",
     id_column: str = "job_id",
-) -> StreamingQuery:
+) -> DataFrame:
     """One alert per user and month, at the job that crosses the threshold.
 
-    State is a table of totals per (user, month), one version per batch in the shared
-    folder. Inside a batch the running totals are cut along time like in the batch
-    operator, so one busy user does not pile up in one task. A repeated batch reads the
-    version before it and overwrites its own output.
+    The stream's own state keeps the total of every (user, month). Jobs of a batch count in
+    the order of their start, ids deciding ties; batches count as they come.
     """
-    keys = [user_column, "month"]
-    mark = F.lit(float(limit) * threshold)
+    mark = float(limit) * threshold
+    records = jobs.select(
+        user_column, month_of(started_column).alias("month"), F.col(id_column), F.col(started_column).alias("_at"), billed_cost(jobs).alias("job_cost")
+    )
+    kinds = dict(records.dtypes)
+    out = f"`{user_column}` {kinds[user_column]}, month string, `{id_column}` {kinds[id_column]}, spend_before double, spend_after double"
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        records = batch.select(
-            user_column, id_column, started_column, month_of(started_column).alias("month"), billed_cost(batch).alias("job_cost")
-        ).persist()
-        before = _totals_before(spark, state, batch_id)
-        added = records.groupBy(*keys).agg(F.sum("job_cost").alias("added"))
-        if before is None:
-            before = added.select(*keys, F.lit(0.0).alias("spend")).limit(0)
-        running = running_sums(records, keys, [started_column, id_column], {"_run": F.col("job_cost")}, inclusive=False)
-        joined = running.join(before, keys, "left").withColumn("spend_before", F.coalesce("spend", F.lit(0.0)) + F.col("_run"))
-        alerts = joined.withColumn("spend_after", F.col("spend_before") + F.col("job_cost")).filter(
-            (F.col("spend_before") < mark) & (F.col("spend_after") >= mark)
-        )
-        columns = [user_column, "month", id_column, "spend_before", "spend_after"]
-        alerts.select(*columns).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        merged = before.join(added, keys, "full").select(
-            *keys, (F.coalesce("spend", F.lit(0.0)) + F.coalesce("added", F.lit(0.0))).alias("spend")
-        )
-        merged.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
-        records.unpersist()
-
-    return jobs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def crossing(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spend = state.get[0] if state.exists else 0.0
+        rows = pd.concat(list(batches)).sort_values(["_at", id_column], kind="stable")
+        after = spend + rows["job_cost"].to_numpy().cumsum()
+        state.update((float(after[-1]),))
+        before = after - rows["job_cost"].to_numpy()
+        for i in ((before < mark) & (after >= mark)).nonzero()[0]:
+            yield pd.DataFrame([(*key, rows[id_column].iloc[i], before[i], after[i])], columns=[user_column, "month", id_column, "spend_before", "spend_after"])
+
+    return records.groupBy(user_column, "month").applyInPandasWithState(crossing, out, "spend double", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_spend(
@@ -143,6 +120,17 @@ def stream_job_metrics(
     )
 
 
+def closing_record(jobs: DataFrame, started_column: str, after: str = "10 days") -> DataFrame:
+    """One row that is empty but for a time ``after`` the last one.
+
+    Appended to a source that ends, it moves the watermark past all windows of the jobs, so
+    that a last run writes those still open.
+    """
+    last = jobs.agg((F.max(started_column) + F.expr(f"INTERVAL {after}")).alias("_last"))
+    kinds = dict(jobs.dtypes)
+    return last.select(*[(F.col("_last") if c == started_column else F.lit(None)).cast(kinds[c]).alias(c) for c in jobs.columns])
+
+
 def write_closed(result: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Append windows to Parquet files once the watermark has passed them."""
     return (

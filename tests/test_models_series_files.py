@@ -161,7 +161,7 @@ def test_hypothesis_thresholds(spark):
     papers = spark.createDataFrame([("x", "an ARTIFACT of noise", ["s1", "s2", "s3", "s4", "s5", "s6"])], "k string, content string, sources array<string>")
     result = anomaly.anomaly_hypothesis(spark.createDataFrame(pdf), ["a"], "behavioral", literature=papers, literature_keys=["k"])
     row = result.rows.filter("a = 60").first()
-    assert row["is_anomaly"] and row["anomaly_class"] == "known_noise" and row["supporting_citations"] == "s1; s2; s3; s4; s5"
+    assert row["is_anomaly"] and row["anomaly_class"] == "known_noise" and row["supporting_citations"] == "s1; s2; s3; s4; s5; s6"
     assert result.metrics.first()["z_threshold"] == 2.5
     alone = anomaly.anomaly_hypothesis(spark.createDataFrame(pdf), ["a"]).rows.filter("is_anomaly").first()
     assert alone["anomaly_class"] == "novel_candidate" and alone["confidence"] == 0.5
@@ -274,7 +274,7 @@ def test_stream_alerts_over_several_files(spark, tmp_path):
     for part in range(3):  # files arrive in time order
         all_jobs.filter(f"job_id >= {part * 20} and job_id < {part * 20 + 20}").coalesce(1).write.mode("append").parquet(str(folder))
         stream = streams.job_stream(spark, str(folder), all_jobs.schema, per_batch=1)
-        streams.stream_budget_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "ck"), 100.0).awaitTermination()
+        streams.write_closed(streams.stream_budget_alerts(stream, 100.0), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     want = ledger.budget_alerts(all_jobs, 100.0).rows
     assert rows(got, "user_id", "job_id", "spend_after") == rows(want, "user_id", "job_id", "spend_after")
