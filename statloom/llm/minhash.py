@@ -3,7 +3,8 @@
 Documents with equal shingle sets form one class, and only classes are compared. A class is
 first checked against the smallest class of each band bucket. Where a bucket still holds
 several components, its other members are compared with each other by signature, block by
-block inside tasks. Whatever passes is confirmed on the full sets of the texts.
+block inside tasks. Whatever passes is confirmed on the full sets of the texts; pairs of a
+group never become rows.
 """
 
 from __future__ import annotations
@@ -98,6 +99,11 @@ def _sketches(columns):
         yield h1, h2, doc, len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if some else None, signature(shingles) if some else None
 
 
+def similar(a: set, b: set, similarity: int) -> bool:
+    common = len(a & b)
+    return 100 * common >= similarity * (len(a) + len(b) - common)
+
+
 def _row_hashes(text: str, key: str):
     return F.xxhash64(F.col(key), F.col(text)).alias("h1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("h2")
 
@@ -120,10 +126,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     return map_rows(both.withColumn("floor", F.lit(floor)), _estimates, "u long, v long")
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, t): one text of every class that occurs in the pairs."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = classes.select("node", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2")).join(nodes, "node")
+def _texts_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, t): one text of each of the classes."""
+    wanted = classes.select("node", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2")).join(nodes.distinct(), "node")
     rows = docs.select(*_row_hashes(text, key), F.col(text).alias("t")).join(wanted, ["h1", "h2"])
     return cut_lineage(rows.groupBy("h1", "h2", "node").agg(F.min("t").alias("t")).select("node", "t"))
 
@@ -136,47 +141,73 @@ def _confirm(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
         for u, v, a, b in zip(columns["u"], columns["v"], columns["a"], columns["b"]):
             if v not in held:
                 held = {v: shingle_set(b)}
-            one = shingle_set(a)
-            common = len(one & held[v])
-            if 100 * common >= similarity * (len(one) + len(held[v]) - common):
+            if similar(shingle_set(a), held[v], similarity):
                 yield u, v
 
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("t").alias("b")), "v")
     return map_rows(both, run, "u long, v long")
 
 
-def _across(columns):
-    """Likely pairs between components inside a block, or between two blocks, of a bucket."""
-    for members, lo, hi, floor in zip(columns["members"], columns["lo"], columns["hi"], columns["floor"]):
-        left = [m for m in members if m["part"] == lo]
-        right = left if lo == hi else [m for m in members if m["part"] == hi]
-        if not left or not right:
-            continue
-        matrix = np.frombuffer(b"".join(m["sig"] for m in right), "<u4").reshape(len(right), HASHES)
-        nodes, roots = np.array([m["node"] for m in right]), np.array([m["root"] for m in right])
-        for m in left:
-            other = (roots != m["root"]) & ((nodes > m["node"]) | (lo != hi))
-            if other.any():
-                near = np.flatnonzero(other)
-                agree = (matrix[near] == np.frombuffer(m["sig"], "<u4")).mean(axis=1)
-                for i in near[agree >= floor]:
-                    yield max(m["node"], int(nodes[i])), min(m["node"], int(nodes[i]))
-
-
-def _remaining(members: DataFrame, roots: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
-    """Likely pairs that the bucket leaders did not connect.
-
-    Only buckets whose members other than the leader lie in several components are left; a
-    large one is dealt into blocks, and every two of its blocks meet in one row.
+def _across(similarity: int, floor: float):
+    """Links between components inside a block, or between two blocks, of a bucket.
+
+    Pairs are looked at in the order of their estimates, only in the first bucket that they
+    share, and only while no link found here has joined their components.
+    """
+
+    def run(columns):
+        for members, lo, hi, band in zip(columns["members"], columns["lo"], columns["hi"], columns["band"]):
+            left = [m for m in members if m["part"] == lo]
+            right = left if lo == hi else [m for m in members if m["part"] == hi]
+            if not left or not right:
+                continue
+            matrix = np.frombuffer(b"".join(m["sig"] for m in right), "<u4").reshape(len(right), HASHES)
+            nodes, roots = np.array([m["node"] for m in right]), np.array([m["root"] for m in right])
+            likely = []
+            for i, m in enumerate(left):
+                near = np.flatnonzero((roots != m["root"]) & ((nodes > m["node"]) | (lo != hi)))
+                equal = matrix[near] == np.frombuffer(m["sig"], "<u4")
+                agree = equal.mean(axis=1)
+                first = equal.reshape(len(near), HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
+                hit = (agree >= floor) & (first == band)
+                likely += zip((-agree[hit]).tolist(), [i] * int(hit.sum()), near[hit].tolist())
+            parent, sets = {}, {}
+
+            def head(x):
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            def shingles(m):
+                if m["node"] not in sets:
+                    sets[m["node"]] = shingle_set(m["t"])
+                return sets[m["node"]]
+
+            for _, i, j in sorted(likely):
+                a, b = head(left[i]["root"]), head(right[j]["root"])
+                if a != b and similar(shingles(left[i]), shingles(right[j]), similarity):
+                    parent[a] = b
+                    yield left[i]["node"], right[j]["node"]
+
+    return run
+
+
+def _remaining(members: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, similarity: int) -> DataFrame:
+    """Links that the bucket leaders did not find.
+
+    Only buckets whose members other than the leader lie in several components are left. A
+    large one is dealt into blocks, every two of which meet in one row with signatures and
+    texts, so pairs never become rows before they are confirmed.
     """
     placed = members.filter("node <> leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).filter("a <> b").select("bucket", "m")
-    mixed = cut_lineage(mixed.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m"))
-    rows = cut_lineage(placed.select("bucket", "node", "root")).join(mixed, "bucket").join(classes.select("node", "sig"), "node")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = F.struct("node", "root", "sig", "part")
-    blocks = dealt.groupBy("bucket", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi")).agg(F.collect_list(member).alias("members"))
-    return map_rows(blocks.filter(F.size("members") > 1).withColumn("floor", F.lit(floor)), _across, "u long, v long").distinct()
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).filter("a <> b")
+    mixed = cut_lineage(mixed.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    rows = cut_lineage(placed.select("bucket", "band", "node", "root").join(mixed, "bucket"))
+    known = classes.select("node", "sig").join(_texts_of(rows.select("node"), docs, classes, text, key), "node")
+    dealt = rows.join(known, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    member = F.struct("node", "root", "part", "sig", "t")
+    blocks = dealt.groupBy("bucket", "band", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi")).agg(F.collect_list(member).alias("members"))
+    return map_rows(blocks.filter(F.size("members") > 1), _across(similarity, similarity / 100 - SLACK), "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -220,18 +251,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     step = 4 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.xxhash64(b, F.substr("sig", b * step + 1, F.lit(step))))
-    bands = classes.select("node", F.explode(band).alias("bucket"))
+    bands = classes.select("node", F.posexplode(band).alias("band", "bucket"))
     heads = cut_lineage(bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader"))
     members = cut_lineage(bands.join(heads, "bucket"))
     floor = similarity / 100 - SLACK
     pairs = members.filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = cut_lineage(_likely(pairs, classes, floor))
-    edges = cut_lineage(_confirm(pairs, _texts_of(pairs, docs, classes, text, key), similarity))
-    roots = cut_lineage(components(edges))
-    rest = cut_lineage(_remaining(members, roots, classes, floor))
-    if not rest.isEmpty():
-        found = _confirm(rest, _texts_of(rest, docs, classes, text, key), similarity)
-        roots = cut_lineage(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)))
+    texts = _texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), docs, classes, text, key)
+    roots = cut_lineage(components(_confirm(pairs, texts, similarity)))
+    more = cut_lineage(_remaining(members, roots, classes, docs, text, key, similarity))
+    if not more.isEmpty():
+        roots = cut_lineage(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
 
     smallest = cut_lineage(roots.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("head")))
     linked = cut_lineage(roots.join(smallest, "root").select("node", "head"))
