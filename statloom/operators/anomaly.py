@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.functions.missing import all_present
+from statloom.functions.missing import all_present, number
 from statloom.functions.ordered import exact_quantile
 from statloom.functions.totals import attach_totals
 from statloom.operators.cluster import scaled_columns
@@ -72,12 +72,12 @@ def _sampled(vectors: DataFrame, n: int, trees: int, sample: int, seed: int) ->
     them a tree takes, so the draw is the same in every partitioning and in a repeated task.
     """
     per_tree = min(1.0, OVERSAMPLE * sample / n)
-    share = lambda *c: F.pmod(F.xxhash64(F.lit(seed), F.col("x"), *c), F.lit(1 << 30)) / float(1 << 30)
+    share = lambda *c: F.pmod(F.xxhash64(F.lit(seed), F.col("raw"), *c), F.lit(1 << 30)) / float(1 << 30)
     taken = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.floor(F.col("c") * per_tree + share(t)).alias("copies"))
     )
-    spread = vectors.groupBy("x").agg(F.count("*").alias("c")).select("x", F.explode(F.filter(taken, lambda d: d["copies"] > 0)).alias("d"))
-    copies = spread.select("x", "d.tree", F.explode(F.sequence(F.lit(1).cast("long"), F.col("d.copies"))).alias("copy"))
+    spread = vectors.groupBy("raw").agg(F.count("*").alias("c"), F.any_value("x").alias("x")).select("raw", "x", F.explode(F.filter(taken, lambda d: d["copies"] > 0)).alias("d"))
+    copies = spread.select("raw", "x", "d.tree", F.explode(F.sequence(F.lit(1).cast("long"), F.col("d.copies"))).alias("copy"))
     return copies.select("x", "tree", share("tree", "copy").alias("pick"))
 
 
@@ -92,7 +92,8 @@ def isolation_scores(df: DataFrame, features: list[str], trees: int = TREES, sam
     present = all_present(df, features)
     size = min(sample, n)
     limit = math.ceil(math.log2(max(size, 2)))
-    vectors = df.filter(present).select(F.array(*xs).alias("x"))
+    # the draw goes by the given values: scaled ones differ in the last bit with the layout
+    vectors = df.filter(present).select(F.array(*[number(df, f) for f in features]).alias("raw"), F.array(*xs).alias("x"))
     drawn = cut_lineage(_sampled(vectors, n, trees, size, seed))
     grown = drawn.groupBy("tree").applyInPandas(
         _grow(seed, size, limit),

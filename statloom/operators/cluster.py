@@ -26,19 +26,29 @@ def scaled_columns(df: DataFrame, features: list[str], standardize: bool = True)
     ]
 
 
+# Differences written out one by one at most.
+UNROLLED = 128
+
+
 def assign_centers(df: DataFrame, xs: list[Column], centers: list[list[float]], present: Column) -> DataFrame:
     """Add the nearest centre (first wins ties) and the Euclidean distance to it.
 
     Centres are literals in the expression, so scoring is one projection without a join.
     """
-    squares = [
-        F.struct(
-            sum(((x - F.lit(float(c))) * (x - F.lit(float(c))) for x, c in zip(xs, center)), F.lit(0.0)).alias("d"),
-            F.lit(i).alias("i"),
-        )
-        for i, center in enumerate(centers)
-    ]
-    best = squares[0] if len(squares) == 1 else F.least(*squares)
+    def square(x: Column, c: Column) -> Column:
+        return (x - c) * (x - c)
+
+    if len(xs) * len(centers) <= UNROLLED:
+        squares = [
+            F.struct(sum((square(x, F.lit(float(c))) for x, c in zip(xs, center)), F.lit(0.0)).alias("d"), F.lit(i).alias("i"))
+            for i, center in enumerate(centers)
+        ]
+        best = squares[0] if len(squares) == 1 else F.least(*squares)
+    else:
+        # the same sums as array expressions: unrolled they would outgrow compiled code
+        listed = F.array(*[F.array(*[F.lit(float(c)) for c in center]) for center in centers])
+        total = lambda c: F.aggregate(F.zip_with(F.array(*xs), c, square), F.lit(0.0), lambda a, b: a + b)
+        best = F.array_min(F.transform(listed, lambda c, i: F.struct(total(c).alias("d"), i.alias("i"))))
     return (
         df.withColumn("_best", F.when(present, best))
         .withColumns({"cluster_id": F.col("_best.i"), "cluster_distance": F.sqrt("_best.d")})
