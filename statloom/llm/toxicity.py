@@ -63,17 +63,18 @@ class Model:
     idf: dict[str, float]
     number: dict[str, int]
     bounds: np.ndarray  # term × block: the largest weight
-    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: vector numbers ascending, weights
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: vector numbers ascending, weights, blocks
     votes: np.ndarray  # vector × (examples, toxic examples)
     prior: float
     block: int
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 4096, max_terms: int = 4096, min_chi2: float = 30.0, block: int = 32) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 4096, max_terms: int = 4096, min_chi2: float = 30.0, min_odds: float = 4.0, block: int = 32) -> Model:
     """Fit on a sample of at most ``per_label`` examples of each label.
 
     Kept are the ``max_terms`` terms whose presence depends most on the label by the
-    chi-square statistic, at least ``min_chi2``; so the model has at most ``2 × per_label``
+    chi-square statistic, at least ``min_chi2``, and changes the odds at least by the factor
+    ``min_odds`` (in large samples the faintest dependence is certain); so the model has at most ``2 × per_label``
     vectors over ``max_terms`` terms. Labels other than 0 and 1, NULL keys, and keys with
     contradicting labels are left out. With examples of one label only, the model knows
     their share and no vector.
@@ -97,7 +98,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         in1, in0 = F.col("a").cast("double"), F.col("b").cast("double")
         chi2 = (n0 + n1) * F.pow(in1 * n0 - in0 * n1, 2) / ((in1 + in0) * (n0 + n1 - in1 - in0) * float(n0) * float(n1))
         df = counted.filter(F.col("term") != ALL).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(f"a + b < {n0 + n1}")
-        best = df.withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2).orderBy(F.col("chi2").desc(), "term").limit(max_terms)
+        odds = F.abs(F.log((in1 + 0.5) * (n0 - in0 + 0.5) / ((n1 - in1 + 0.5) * (in0 + 0.5))))
+        best = df.withColumn("chi2", chi2).filter((F.col("chi2") >= min_chi2) & (odds >= math.log(min_odds))).orderBy(F.col("chi2").desc(), "term").limit(max_terms)
         idf = {r["term"]: math.log((1 + n0 + n1) / (1 + r["a"] + r["b"])) + 1 for r in best.collect()}
         picked = counted.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in [ALL, *sorted(idf)]], "term string")), "term")
         vectors: dict = {}
@@ -135,7 +137,7 @@ def _index(examples: list[tuple[dict[str, int], int]], idf: dict[str, float], pr
             lists[i][0].append(v)
             lists[i][1].append(w)
             bounds[i, v // block] = max(bounds[i, v // block], w)
-    postings = [(np.array(a, dtype=np.int64), np.array(b)) for a, b in lists]
+    postings = [(np.array(a, dtype=np.int64), np.array(b, dtype=float), np.array(a, dtype=np.int64) // block) for a, b in lists]
     return Model(idf, number, bounds, postings, np.array([merged[v] for v in order]).reshape(len(order), 2), prior, block)
 
 
@@ -146,21 +148,26 @@ def neighbours(model: Model, vector: dict[str, float], k: int) -> tuple[list[tup
     at = [(model.number[t], w) for t, w in vector.items()]
     bound = sum(w * model.bounds[i] for i, w in at)
     found: list[tuple[float, int]] = []
-    floor, opened = 0.0, 0
-    for b in np.argsort(-bound, kind="stable"):
-        if bound[b] <= 0 or bound[b] < floor - 1e-9:
+    floor, opened, wave = 0.0, 0, 1
+    order = np.argsort(-bound, kind="stable")
+    while opened < len(order):
+        # blocks are opened in waves, each twice as large as the one before
+        batch = order[opened : opened + wave]
+        batch = batch[(bound[batch] > 0) & (bound[batch] >= floor - 1e-9)]
+        if not len(batch):
             break
-        opened += 1
-        first = b * model.block
-        sums = np.zeros(model.block)
+        opened, wave = opened + len(batch), wave * 2
+        chosen = np.zeros(len(bound), dtype=bool)
+        chosen[batch] = True
+        sums = np.zeros(len(model.votes))
         for i, w in at:
-            numbers, weights = model.postings[i]
-            lo, hi = np.searchsorted(numbers, (first, first + model.block))
-            sums[numbers[lo:hi] - first] += w * weights[lo:hi]
-        found += [(float(sums[j]), int(first + j)) for j in np.flatnonzero(sums >= max(floor - 1e-9, 1e-12))]
+            numbers, weights, of_block = model.postings[i]
+            inside = chosen[of_block]
+            sums[numbers[inside]] += w * weights[inside]
+        found += [(float(sums[v]), int(v)) for v in np.flatnonzero(sums >= max(floor - 1e-9, 1e-12))]
         found.sort(reverse=True)
         seen = 0
-        for n, (similarity, v) in enumerate(found):
+        for similarity, v in found:
             seen += int(model.votes[v, 0])
             if seen >= k:
                 floor = similarity
