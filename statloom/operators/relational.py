@@ -105,13 +105,23 @@ def run_many(
 
 
 def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns only in A or only in B and columns whose type changed."""
+    """Columns only in A or only in B and columns whose type changed, with the values they hold on each side."""
     ta = {f.name: f.dataType.simpleString() for f in a.schema}
     tb = {f.name: f.dataType.simpleString() for f in b.schema}
     rows = [(c, "only_in_a", ta[c], None) for c in sorted(set(ta) - set(tb))]
     rows += [(c, "only_in_b", None, tb[c]) for c in sorted(set(tb) - set(ta))]
     rows += [(c, "type_change", ta[c], tb[c]) for c in sorted(set(ta) & set(tb)) if ta[c] != tb[c]]
-    return a.sparkSession.createDataFrame(rows, "column string, change string, type_a string, type_b string")
+    changes = a.sparkSession.createDataFrame(rows, "column string, change string, type_a string, type_b string")
+    for df, types, n in ((a, ta, "values_a"), (b, tb, "values_b")):
+        held = [r[0] for r in rows if r[0] in types]
+        if not held:
+            changes = changes.withColumn(n, F.lit(None).cast("long"))
+            continue
+        # one pass per side, one row per changed column
+        counts = df.agg(*[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(held)])
+        listed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias(n)) for i, c in enumerate(held)])
+        changes = changes.join(counts.select(F.inline(listed)), "column", "left")
+    return changes
 
 
 def snapshot_diff(a: DataFrame, b: DataFrame, multiset: bool = False) -> ProfileResult:

@@ -154,8 +154,11 @@ def _(t):
 @query("c8_schema_diff", """
 SELECT column_name AS "column", CASE WHEN column_name = 'order_year' THEN 'only_in_b' ELSE 'type_change' END AS change,
   CASE WHEN column_name = 'o_custkey' THEN 'bigint' END AS type_a,
-  CASE WHEN column_name = 'o_custkey' THEN 'string' ELSE 'int' END AS type_b
-FROM (VALUES ('order_year'), ('o_custkey')) v(column_name) WHERE (SELECT count(*) FROM orders) > 0""")
+  CASE WHEN column_name = 'o_custkey' THEN 'string' ELSE 'int' END AS type_b,
+  CASE WHEN column_name = 'o_custkey' THEN (SELECT count(o_custkey) FROM orders WHERE o_orderkey % 10 <> 0) END AS values_a,
+  CASE WHEN column_name = 'o_custkey' THEN (SELECT count(o_custkey) FROM orders WHERE o_orderkey % 7 <> 0)
+    ELSE (SELECT count(o_orderdate) FROM orders WHERE o_orderkey % 7 <> 0) END AS values_b
+FROM (VALUES ('order_year'), ('o_custkey')) v(column_name)""")
 def _(t):
     a, b = _snapshots(t)
     return R.schema_diff(a, b.withColumn("o_custkey", F.col("o_custkey").cast("string")))
@@ -213,9 +216,11 @@ def _(t):
     return rounded(df.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity_scaled", "l_tax_scaled"))
 
 
-@query("c13_train_test_split")
+@query("c13_train_test_split", """
+WITH s AS (SELECT o_orderstatus, count(*) AS n, CAST(ceil((count(*) - 1) * 0.2::DOUBLE) AS BIGINT) AS k FROM orders GROUP BY 1)
+SELECT o_orderstatus, true AS is_test, k AS n FROM s UNION ALL SELECT o_orderstatus, false, n - k FROM s""")
 def _(t):
-    df = R.train_test_flag(t("orders"), ["o_orderkey"], 0.2)
+    df = R.train_test_flag(t("orders"), ["o_orderkey"], 0.2, stratify="o_orderstatus")
     return df.groupBy("o_orderstatus", "is_test").agg(F.count("*").alias("n"))
 
 
