@@ -129,6 +129,8 @@ def isolation_forest(
     """
     features = as_list(features) or numeric_features(df)
     require_columns(df, features=features)
+    if df.filter(all_present(df, features)).isEmpty():
+        return _no_scores(df, return_scores)
     n, scored = isolation_scores(df, features, seed=seed)
     scores = cut_lineage(scored.select("anomaly_score"))
     threshold = exact_quantile(scores, "anomaly_score", q=contamination, out="t").first()["t"]
@@ -144,6 +146,13 @@ def isolation_forest(
     return ProfileResult(rows, {}, metrics)
 
 
+def _no_scores(df: DataFrame, return_scores: bool) -> ProfileResult:
+    """The result without a complete row: the same columns, no score."""
+    extra = {"is_anomaly": F.lit(None).cast("boolean")} | ({"anomaly_score": F.lit(None).cast("double")} if return_scores else {})
+    metrics = df.agg(F.lit(0).cast("long").alias("rows_used"), F.count("*").alias("rows_excluded"), F.lit(0).cast("long").alias("anomalies_detected"))
+    return ProfileResult(df.withColumns(extra), {}, metrics.withColumn("anomaly_rate", F.lit(None).cast("double")))
+
+
 def classify_anomalies(
     df: DataFrame, flag: Column, literature: DataFrame | None = None, literature_keys: list[str] | None = None
 ) -> DataFrame:

@@ -70,6 +70,9 @@ def kmeans(
     if len(features) < 2:
         raise ValueError("k-means requires at least 2 numeric feature columns")
     n, xs = scaled_columns(df, features, standardize)
+    spark = df.sparkSession
+    if not n:
+        return _no_clusters(df, k, standardize)
     require_count(n, k, f"{k} clusters")
     present = all_present(df, features)
     names = [f"_x{i}" for i in range(len(xs))]
@@ -80,7 +83,6 @@ def kmeans(
     centers = [[float(v) for v in c] for c in model.clusterCenters()]
     rows = assign_centers(df, xs, centers, present)
     summary = model.summary
-    spark = df.sparkSession
     tables = {
         "centers": spark.createDataFrame(
             [(i, f, v) for i, c in enumerate(centers) for f, v in zip(features, c)],
@@ -95,6 +97,18 @@ def kmeans(
     return ProfileResult(rows, tables, metrics)
 
 
+def _no_clusters(df: DataFrame, k: int, standardize: bool) -> ProfileResult:
+    """The result without a complete row: the same columns, no cluster."""
+    rows = df.withColumns({"cluster_id": F.lit(None).cast("int"), "cluster_distance": F.lit(None).cast("double")})
+    spark = df.sparkSession
+    tables = {
+        "centers": spark.createDataFrame([], "cluster_id int, feature string, value double"),
+        "cluster_sizes": spark.createDataFrame([], "cluster_id int, n long"),
+    }
+    schema = "k int, standardized boolean, inertia double, n_iter int, rows_used long, converged boolean"
+    return ProfileResult(rows, tables, spark.createDataFrame([(k, standardize, 0.0, 0, 0, True)], schema))
+
+
 def kmeans_assign(
     df: DataFrame, features: list[str], centers: list[list[float]], standardize: bool = True
 ) -> ProfileResult:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions.ordered import previous_row, running_sums
-from statloom.operators import anomaly, causal, geo, ledger, lineage, relational, survival, text, timeseries
+from statloom.operators import anomaly, causal, cluster, geo, ledger, lineage, relational, survival, text, timeseries
 from statloom.sources import ingest, readers, writers
 from tests.helpers import rows
 
@@ -154,3 +154,17 @@ def test_headers_are_read_in_one_pass(spark, tmp_path):
         return n_jobs
 
     assert count(4) == count(24)
+
+
+def test_empty_input_gives_empty_results(spark):
+    df = spark.createDataFrame([], "id int, a double, b double, g string, t double, e int")
+    assert survival.kaplan_meier(df, "t", "e", "g").rows.count() == 0
+    found = cluster.kmeans(df, ["a", "b"], k=3)
+    assert found.rows.columns[-2:] == ["cluster_id", "cluster_distance"] and found.metrics.first()["rows_used"] == 0
+    scored = anomaly.isolation_forest(df, ["a", "b"])
+    assert scored.rows.columns[-2:] == ["is_anomaly", "anomaly_score"] and scored.metrics.first()["anomalies_detected"] == 0
+    missing = spark.createDataFrame([(1, None, None), (2, None, 1.0)], "id int, a double, b double")
+    assert cluster.kmeans(missing, ["a", "b"]).rows.filter("cluster_id IS NULL").count() == 2
+    assert anomaly.isolation_forest(missing, ["a", "b"]).metrics.first()["rows_excluded"] == 2
+    with pytest.raises(ValueError):
+        cluster.kmeans(spark.createDataFrame([(1.0, 2.0)], "a double, b double"), ["a", "b"], k=3)
