@@ -19,7 +19,6 @@ from statloom.session import cut_lineage
 
 PAD = "\x02"
 PIECE = 1 << 20  # characters worked on at once
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -32,19 +31,37 @@ class Pieces:
         self.docs = np.repeat([n for n, _, _ in parts], lengths)
         # behind each context of order - 1 characters come the characters of the part
         ends = np.arange(lengths.sum()) + np.repeat((np.arange(len(parts)) + 1) * (order - 1), lengths)
-        points = np.frombuffer(self.text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        codes = np.zeros(len(ends), dtype=np.uint64)
+        points = np.frombuffer(self.text.encode("utf-32-le"), dtype="<u4")
+        present = np.bincount(points) if len(points) else np.zeros(0, dtype=np.int64)
+        self._alphabet = np.flatnonzero(present)
+        size = len(self._alphabet)
+        place = np.zeros(len(present), dtype=np.int64)
+        place[self._alphabet] = np.arange(size)
+        letters = place[points]
+        #: n-grams as numbers in the base of the alphabet, which can be read back
+        self._exact = size**order < 1 << 63
+        codes = np.zeros(len(ends), dtype=np.int64)
         for back in range(order - 1, -1, -1):
-            codes = codes * _MULTIPLY + points[ends - back]
-            codes ^= codes >> np.uint64(29)
+            if not self._exact and back:
+                # too many characters for that: shorter n-grams are numbered first
+                codes = np.unique(codes * size + letters[ends - back], return_inverse=True)[1]
+            else:
+                codes = codes * size + letters[ends - back]
         self._ends, self._codes = ends, codes
 
-    def distinct(self, inverse: bool = False):
-        """(distinct n-grams, how often each occurs, which of them ends at every character)."""
-        _, first, *rest, counts = np.unique(self._codes, return_index=True, return_inverse=inverse, return_counts=True)
-        at = (self._ends[first] - self.order + 1).tolist()
-        text, n = self.text, self.order
-        return [text[i : i + n] for i in at], counts, rest[0] if inverse else None
+    def distinct(self):
+        """(distinct n-grams, how often each occurs, which of them ends at every character, when called)."""
+        n = self.order
+        if self._exact:
+            ordered = np.sort(self._codes)
+            first = np.flatnonzero(np.diff(ordered, prepend=-1))
+            found, counts = ordered[first], np.diff(first, append=len(ordered))
+            digits = found[:, None] // len(self._alphabet) ** np.arange(n - 1, -1, -1) % max(len(self._alphabet), 1) if len(found) else np.zeros((0, n), int)
+            text, at = self._alphabet[digits].astype("<u4").tobytes().decode("utf-32-le"), range(0, n * len(found), n)
+        else:
+            found, first, counts = np.unique(self._codes, return_index=True, return_counts=True)
+            text, at = self.text, (self._ends[first] - n + 1).tolist()
+        return [text[i : i + n] for i in at], counts, lambda: np.searchsorted(found, self._codes)
 
 
 def pieces(texts: list[str], order: int):
@@ -65,11 +82,34 @@ def pieces(texts: list[str], order: int):
         yield Pieces(held, order)
 
 
+def plain(value: str | bytes | None) -> str:
+    """A text, packed or not."""
+    if isinstance(value, bytes):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(value).decode()
+    return value or ""
+
+
+def packed(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The columns and ``z``, the text as a zstandard frame (NULL where empty), for a shuffle."""
+    kinds = dict(df.dtypes)
+
+    def run(found):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        for *held, value in zip(*(found[c] for c in columns), found[text]):
+            yield *held, packer.compress(value.encode()) if value else None
+
+    return map_rows(df.select(*columns, text), run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", z binary")
+
+
 def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """(gram, c) over whole texts; each task sums its own n-grams before the shuffle."""
+    """(gram, c) over whole texts, packed or not; each task sums its own n-grams before the shuffle."""
 
     def run(columns):
-        for part in pieces([t for t in columns["t"] if t], order):
+        for part in pieces([plain(t) for t in columns["t"] if t], order):
             grams, counts, _ = part.distinct()
             yield from zip(grams, counts.tolist())
 
@@ -127,12 +167,12 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 5) -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = 4) -> Model:
     """Counts over all of ``docs``; NULL and empty texts add nothing, repeated rows count again."""
     return Model(count_grams(docs, text, order), order)
 
 
-def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1 << 23) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1 << 24) -> DataFrame:
     """The columns ``keep`` with n_chars and perplexity per character of every row's whole text.
 
     A block holds about ``block_chars`` characters. NULL and empty texts have no perplexity.
@@ -143,16 +183,8 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[
     names = [f"k{i}" for i in range(len(keep))]
     order = model.order
 
-    def pack(columns):
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=3)
-        for *held, block, value in zip(*(columns[n] for n in names), columns["block"], columns["t"]):
-            yield *held, block, packer.compress(value.encode()) if value else None
-
-    kept = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, keep))
     dealt = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.pmod(F.xxhash64(*keep, text), F.lit(blocks)).cast("int").alias("block"), F.col(text).alias("t"))
-    packed = map_rows(dealt, pack, f"{kept}, block int, z binary")
+    kept = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, keep))
 
     def ask(table: pa.Table) -> pa.Table:
         wanted: set[str] = set()
@@ -166,16 +198,16 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[
         texts = _unpacked(docs_of)
         sums = np.zeros(len(texts))
         for part in pieces(texts, order):
-            grams, _, which = part.distinct(inverse=True)
+            grams, _, which = part.distinct()
             values = np.array([log[g] for g in grams])
-            sums += np.bincount(part.docs, values[which], len(texts))
+            sums += np.bincount(part.docs, values[which()], len(texts))
         out = {c: docs_of.column(c) for c in names}
         size = [len(t) for t in texts]
         out["n_chars"] = pa.array(size, pa.int64())
         out["perplexity"] = pa.array([float(np.exp(-s / n)) if n else None for s, n in zip(sums, size)], pa.float64())
         return pa.table(out)
 
-    grouped = packed.groupBy("block")
+    grouped = packed(dealt, "t", [*names, "block"]).groupBy("block")
     known = model.probabilities(count_grams(docs, text, order).select("gram"))
     # requests and scoring share one exchange of the packed texts
     answers = grouped.applyInArrow(ask, "block int, gram string").join(known, "gram")
@@ -184,10 +216,7 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[
 
 
 def _unpacked(table: pa.Table) -> list[str]:
-    import zstandard
-
-    unpacker = zstandard.ZstdDecompressor()
-    return [unpacker.decompress(z).decode() if z else "" for z in table.column("z").to_pylist()]
+    return [plain(z) for z in table.column("z").to_pylist()]
 
 
 def thresholds(scored: DataFrame, lang: str, spread: float) -> DataFrame:
@@ -225,13 +254,14 @@ class _Bitmap:
         return df.withColumn("_slot", self.slot(F.col(key))).mapInArrow(run, df.schema)
 
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is among ``trusted``; a bitmap of the keys keeps the other texts out of the shuffle."""
+def trusted_texts(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, z): packed texts whose key is among ``trusted``; a bitmap of the keys keeps the others out of the shuffle."""
     keys = trusted.select(key).filter(F.col(key).isNotNull()).distinct()
-    return _Bitmap(keys, key).filter(docs, key).join(keys, key, "left_semi")
+    likely = _Bitmap(keys, key).filter(docs.select(key, text), key)
+    return packed(likely, text, [key]).join(keys, key, "left_semi")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", order: int = 5, spread: float = 3.0, allowance: float = 3.0, apart: int = 5) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", order: int = 4, spread: float = 3.0, allowance: float = 3.0, apart: int = 5) -> DataFrame:
     """(key, lang, n_chars, perplexity, limit, kept) for every row of ``docs``.
 
     ``trusted`` has the keys of documents of known quality. One in ``apart`` of them, by the
@@ -245,7 +275,7 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     rows = docs.select(F.col(key).alias("doc"), F.col(lang).alias("lang"), F.col(text).alias("t"))
     known = trusted.select(F.col(key).alias("doc")).filter("doc IS NOT NULL").distinct()
     held_out = F.crc32(F.col("doc").cast("string").cast("binary")) % apart == 0
-    model = train(trusted_texts(rows.select("doc", "t"), known.filter(~held_out), "doc"), "t", order)
+    model = train(trusted_texts(rows, known.filter(~held_out), "t", "doc"), "z", order)
     scored = cut_lineage(perplexities(rows, model, "t", ("doc", "lang")))
     sure = scored.join(known.filter(held_out), "doc", "left_semi")
     limits = cut_lineage(thresholds(sure, "lang", spread))

@@ -75,18 +75,13 @@ def statistics(text: Column) -> Column:
     return let(F.filter(F.split(value, BLANK + "+"), lambda w: w != ""), counts)
 
 
-def with_statistics(docs: DataFrame, text: str = "text", out: str = "_stats") -> DataFrame:
-    return docs.withColumn(out, statistics(F.col(text)))
-
-
-def base_failed(stats: str = "_stats") -> Column:
-    s = F.col(stats)
+def base_failed(s: Column) -> Column:
+    """Too few words, or too many of them repeated, by a struct of ``statistics``."""
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
 
-def features(stats: str = "_stats") -> dict[str, Column]:
+def features(s: Column) -> dict[str, Column]:
     """What the rules look at: sizes and shares, 0 where there is nothing to divide by."""
-    s = F.col(stats)
     share = lambda a, b: F.when(s[b] > 0, s[a] / s[b]).otherwise(F.lit(0.0))
     return {
         "n_words": s["n_words"].cast("double"),
@@ -141,9 +136,11 @@ def learn_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     """
     chosen = labelled_sample(labels, label, key, per_label)
     weights = {r["y"]: r["n"] for r in labels.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    joined = with_statistics(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k"), "t")
-    values = features()
-    rows = cut_lineage(joined.filter(~base_failed()).select("k", "y", *(values[f].alias(f) for f in FEATURES)))
+    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    # written before anything refers to the struct, or a filter would count the words again
+    measured = cut_lineage(joined.select("k", "y", statistics(F.col("t")).alias("s")))
+    values = features(F.col("s"))
+    rows = cut_lineage(measured.filter(~base_failed(F.col("s"))).select("k", "y", *(values[f].alias(f) for f in FEATURES)))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return []
@@ -232,20 +229,26 @@ def _prune(rows: DataFrame, both, conditions: list) -> tuple[list, float, int]:
     return conditions[: best[1]], best[2], best[3]
 
 
-def verdict(rules: list[Rule], stats: str = "_stats") -> Column:
+def verdict(rules: list[Rule], s: Column) -> Column:
     """True unless a rule rejects: the list as one conditional expression, the first rule that holds decides."""
-    values = features(stats)
+    values = features(s)
     out = None
     for rule in rules:
         out = F.when(rule.column(values), F.lit(False)) if out is None else out.when(rule.column(values), F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def keep(rules: list[Rule], text: str = "text") -> Column:
+    """Whether a text passes the base rules and the learned ones, as one expression to filter by."""
+    return let(statistics(F.col(text)), lambda s: ~base_failed(s) & verdict(rules, s))
+
+
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text", out: str = "_stats") -> DataFrame:
     """``docs`` with the statistics struct ``out`` and the columns base_failed and kept.
 
     Columns of these names are replaced. A NULL, empty or blank text has no word and fails
     the base rules; repeated rows each get their verdict; an empty table stays empty.
     """
-    measured = with_statistics(docs, text, out)
-    return measured.withColumn("base_failed", base_failed(out)).withColumn("kept", ~F.col("base_failed") & verdict(rules, out))
+    judged = let(statistics(F.col(text)), lambda s: F.struct(s.alias("s"), base_failed(s).alias("failed"), (~base_failed(s) & verdict(rules, s)).alias("kept")))
+    both = docs.withColumn(out, judged)
+    return both.withColumns({"base_failed": F.col(out)["failed"], "kept": F.col(out)["kept"], out: F.col(out)["s"]})

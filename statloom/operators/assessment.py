@@ -74,7 +74,7 @@ def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None
     """
     items = as_list(item_columns)
     if len(items) < 5:
-        raise ValueError("item_columns requires at least 5 columns")
+        raise ValueError("an item response model needs five or more items")
     require_columns(df, item_columns=items)
     require_rows(df, 100, "item response analysis")
     answers = F.array(*[(number(df, c) > 0).cast("int") for c in items])

@@ -235,7 +235,7 @@ def causal_did(
     require_columns(df, outcome_var=outcome_var, treatment_group_var=treatment_group_var, time_var=time_var)
     pre, post = as_list(pre_period), as_list(post_period)
     if not pre or not post:
-        raise ValueError("pre_period and post_period are required")
+        raise ValueError("name at least one period before and one after the treatment")
     listed = list(dict.fromkeys([str(p) for p in [*pre, *post]]))
     pre, post = [str(p) for p in pre], [str(p) for p in post]
     time = F.col(quoted(time_var)).cast("string")
@@ -251,7 +251,7 @@ def causal_did(
     # at most (listed periods + 1) cells per treatment value, checked to be binary
     found = grouped.limit(2 * (len(listed) + 1) + 1).collect()
     if any(r["_d"] not in (0.0, 1.0) for r in found):
-        raise ValueError("treatment_group_var must be binary (0/1)")
+        raise ValueError("the treatment group column must be binary: 0 and 1")
     cells = {(r["_p"], int(r["_d"])): (r["n"], r["m"], r["v"]) for r in found}
     before = [p for p in [*listed, None] if p not in post]
     pair = lambda times: (_cell_sum(cells, times, 1), _cell_sum(cells, times, 0))

@@ -164,6 +164,7 @@ def peer_benchmark(
             )
         )
         tables["focal_institution_summary"] = rows.filter("is_focal").select(focal)
+    # fixed value: part of the result
     note = f"Focal institution '{focal_id}' not found in dataset"
     found = F.lit(None).cast("string")
     summary = spark.range(1).select(F.lit(stats["n_peers"]).alias("n_peers"), found.alias("note"))
@@ -222,7 +223,7 @@ def intersectionality(
     """Disparate impact ratio per cell of several group columns, small cells suppressed."""
     groups = as_list(group_columns)
     if len(groups) < 2:
-        raise ValueError("group_columns requires at least 2 columns")
+        raise ValueError("intersections need two or more group columns")
     require_columns(df, metric_column=metric_column, group_columns=groups)
     if not isinstance(df.schema[metric_column].dataType, T.NumericType):
         raise ValueError(f"metric_column '{metric_column}' must be numeric")

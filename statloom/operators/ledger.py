@@ -312,6 +312,7 @@ def failure_summary(
     """
     code = F.coalesce(F.col(code_column), F.lit("UnknownError"))
     filled = lambda c: F.when(c != "", c)
+    # the default sentence is a fixed value: it is part of the result
     message = F.coalesce(
         filled(F.get_json_object(F.col(cause_column), "$.errorMessage")),
         filled(F.col(cause_column)),

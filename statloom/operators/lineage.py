@@ -53,7 +53,7 @@ def provenance(
     """
     artifact = artifact_uri.strip()
     if not artifact:
-        raise ValueError("artifact_uri is required")
+        raise ValueError("the lineage of nothing: give the URI of an artifact")
     require_columns(history, columns=HISTORY)
     optional = [c for c in ("completed_at", "user_id") if c in history.columns]
     jobs = history.select(*HISTORY, *optional)
@@ -151,6 +151,7 @@ def reproducibility_check(reported: DataFrame, computed: DataFrame, tolerance: f
         .when(numbers, F.when(delta <= tolerance, "match").otherwise("discrepancy"))
         .otherwise(F.when(same_text, "match").otherwise("discrepancy"))
     )
+    # fixed values: these sentences are part of the result
     error = F.when(text.isNull(), F.lit("No 'value' field in manuscript entry")).when(
         ~known, F.concat(F.lit("Metric '"), F.col("metric"), F.lit("' not found in computed output"))
     )

@@ -337,7 +337,7 @@ def regression_logistic(
     require_count(stats["n"], 20, "logistic regression")
     classes = [r[0] for r in work.select(F.col(quoted(target))).distinct().limit(3).collect()]
     if len(classes) != 2:
-        raise ValueError(f"target column must have exactly 2 unique values (got {sorted(map(str, classes))})")
+        raise ValueError(f"a logistic target has 2 unique values, not {sorted(map(str, classes))}")
     low, high = sorted(classes)
     y = (F.col(quoted(target)) == F.lit(high)).cast("double")
     scaled = {

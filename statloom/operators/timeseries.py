@@ -306,7 +306,7 @@ def decompose(
     if model not in ("additive", "multiplicative"):
         raise ValueError("model must be 'additive' or 'multiplicative'")
     if period is not None and period < 2:
-        raise ValueError("period must be at least 2")
+        raise ValueError("a season has two or more steps")
     require_columns(df, columns=[date_column, value_column, id_column])
     placed, cuts = _numbered_rows(df, date_column, value_column, group_column, id_column, rows_per_bucket)
     sizes = placed.groupBy("_series").agg(F.count("*").alias("_n"), F.count("_y").alias("_known"))

@@ -40,7 +40,7 @@ def read_delimited(
     """
     paths = as_list(paths)
     if not isinstance(delimiter, str) or len(delimiter) != 1:
-        raise ValueError(f"invalid delimiter {delimiter!r}: must be a single character")
+        raise ValueError(f"a delimiter is one character, not {delimiter!r}")
     reader = spark.read.option("sep", delimiter).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
     skipped = spark.createDataFrame([], "path string, header string")
     if header:
@@ -98,7 +98,7 @@ def read_manifest(spark: SparkSession, path: str) -> ProfileResult:
     kind = (rows[0]["format"] or "CSV").upper()
     delimiter = rows[0]["delimiter"] or ("\t" if kind == "TSV" else ",")
     if len(delimiter) != 1:
-        raise ValueError(f"invalid delimiter {delimiter!r}: must be a single character")
+        raise ValueError(f"a delimiter is one character, not {delimiter!r}")
     has_header = (rows[0]["containsHeader"] or "TRUE").upper() == "TRUE"
     uris = [r["uri"] for r in rows]
     if kind in ("CSV", "TSV"):
