@@ -72,6 +72,7 @@ def _sampled(vectors: DataFrame, n: int, trees: int, sample: int, seed: int) ->
     them a tree takes, so the draw is the same in every partitioning and in a repeated task.
     """
     per_tree = min(1.0, OVERSAMPLE * sample / n)
+    vectors = vectors if "raw" in vectors.columns else vectors.withColumn("raw", F.col("x"))
     share = lambda *c: F.pmod(F.xxhash64(F.lit(seed), F.col("raw"), *c), F.lit(1 << 30)) / float(1 << 30)
     taken = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.floor(F.col("c") * per_tree + share(t)).alias("copies"))
