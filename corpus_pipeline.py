@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned rules keep."""
     rules = quality_rules.learn_rules(docs, _table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).filter("kept").select(*docs.columns)
+    return docs.filter(quality_rules.keep(rules))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
