@@ -18,7 +18,7 @@ from statloom.llm.arrow import map_rows
 from statloom.session import cut_lineage
 
 PAD = "\x02"
-PIECE = 1 << 20  # characters worked on at once
+PIECE = 1 << 18  # characters worked on at once
 
 
 class Pieces:
@@ -106,12 +106,17 @@ def packed(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """(gram, c) over whole texts, packed or not; each task sums its own n-grams before the shuffle."""
+    """(gram, c) over whole texts, packed or not; each batch sums its own n-grams before they become rows."""
 
     def run(columns):
-        for part in pieces([plain(t) for t in columns["t"] if t], order):
-            grams, counts, _ = part.distinct()
-            yield from zip(grams, counts.tolist())
+        total: dict[str, int] = {}
+        # texts are unpacked a few at a time
+        for i in range(0, len(columns["t"]), 64):
+            for part in pieces([plain(t) for t in columns["t"][i : i + 64] if t], order):
+                grams, counts, _ = part.distinct()
+                for gram, n in zip(grams, counts.tolist()):
+                    total[gram] = total.get(gram, 0) + n
+        yield from total.items()
 
     return map_rows(docs.select(F.col(text).alias("t")), run, "gram string, c long", 20_000).groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -172,7 +177,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 4) -> Model:
     return Model(count_grams(docs, text, order), order)
 
 
-def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1 << 24) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1 << 23) -> DataFrame:
     """The columns ``keep`` with n_chars and perplexity per character of every row's whole text.
 
     A block holds about ``block_chars`` characters. NULL and empty texts have no perplexity.
