@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.totals import attach_totals
-from statloom.llm.arrow import map_rows
+from statloom.llm.arrow import in_batches, map_rows
 from statloom.session import cut_lineage
 
 PAD = "\x02"
 PIECE = 1 << 18  # characters worked on at once
+HELD = 1 << 18  # n-grams summed up in a task before they become rows
 
 
 class Pieces:
@@ -102,23 +103,30 @@ def packed(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
         for *held, value in zip(*(found[c] for c in columns), found[text]):
             yield *held, packer.compress(value.encode()) if value else None
 
-    return map_rows(df.select(*columns, text), run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", z binary")
+    return map_rows(df.select(*columns, text), run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", z binary", 256, 256)
 
 
 def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
     """(gram, c) over whole texts, packed or not; each batch sums its own n-grams before they become rows."""
 
-    def run(columns):
-        total: dict[str, int] = {}
-        # texts are unpacked a few at a time
-        for i in range(0, len(columns["t"]), 64):
-            for part in pieces([plain(t) for t in columns["t"][i : i + 64] if t], order):
-                grams, counts, _ = part.distinct()
-                for gram, n in zip(grams, counts.tolist()):
-                    total[gram] = total.get(gram, 0) + n
-        yield from total.items()
+    schema = pa.schema([("gram", pa.string()), ("c", pa.int64())])
 
-    return map_rows(docs.select(F.col(text).alias("t")), run, "gram string, c long", 20_000).groupBy("gram").agg(F.sum("c").alias("c"))
+    def run(batches):
+        total: dict[str, int] = {}
+        for batch in batches:
+            # texts are unpacked a few at a time
+            for at in range(0, batch.num_rows, 64):
+                texts = [plain(t) for t in batch.column(0).slice(at, 64).to_pylist() if t]
+                for part in pieces(texts, order):
+                    grams, counts, _ = part.distinct()
+                    for gram, n in zip(grams, counts.tolist()):
+                        total[gram] = total.get(gram, 0) + n
+                if len(total) > HELD:
+                    yield from in_batches(total.items(), schema, 20_000)
+                    total = {}
+        yield from in_batches(total.items(), schema, 20_000)
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -246,24 +254,26 @@ class _Bitmap:
     def slot(self, key):
         return F.pmod(F.xxhash64(key), F.lit(self.slots))
 
-    def filter(self, df: DataFrame, key: str) -> DataFrame:
-        """The rows whose key may be in the set, before they are shuffled to a join."""
+    def packed(self, df: DataFrame, text: str, key: str) -> DataFrame:
+        """(key, z) of the rows whose key may be in the set, before they are shuffled to a join."""
         held = df.sparkSession.sparkContext.broadcast(self.words)
 
-        def run(batches):
-            for batch in batches:
-                slots = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-                hit = held.value[slots >> 6] >> (slots & 63) & 1 == 1
-                yield batch.filter(pa.array(hit)).select(range(batch.num_columns - 1))
+        def run(columns):
+            import zstandard
+
+            packer = zstandard.ZstdCompressor(level=3)
+            for k, value, slot in zip(columns["k"], columns["t"], columns["slot"]):
+                if held.value[slot >> 6] >> (slot & 63) & 1:
+                    yield k, packer.compress(value.encode()) if value else None
 
-        return df.withColumn("_slot", self.slot(F.col(key))).mapInArrow(run, df.schema)
+        narrow = df.select(F.col(key).alias("k"), F.col(text).alias("t"), self.slot(F.col(key)).alias("slot"))
+        return map_rows(narrow, run, f"`{key}` {dict(df.dtypes)[key]}, z binary", 256, 256)
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, z): packed texts whose key is among ``trusted``; a bitmap of the keys keeps the others out of the shuffle."""
     keys = trusted.select(key).filter(F.col(key).isNotNull()).distinct()
-    likely = _Bitmap(keys, key).filter(docs.select(key, text), key)
-    return packed(likely, text, [key]).join(keys, key, "left_semi")
+    return _Bitmap(keys, key).packed(docs, text, key).join(keys, key, "left_semi")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", order: int = 4, spread: float = 3.0, allowance: float = 3.0, apart: int = 5) -> DataFrame:
