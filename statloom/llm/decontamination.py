@@ -211,22 +211,92 @@ def _finder(held, error_rate: float):
     return run
 
 
-def mark_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def _blocks(items: DataFrame, item_text: str, item_key: str, block_chars: int) -> list[list[tuple]]:
+    found = ([(k, t) for k, t in block if t] for block in blocks_of(items, item_text, item_key, block_chars))
+    return [block for block in found if block]
+
+
+def _items_of(held, error_rate: float):
+    """text -> the keys of the items in it, each once."""
+    kept: list = []
+
+    def run(value: str | None) -> set:
+        if not value or not held.value:
+            return set()
+        if not kept:
+            kept.extend(search([t for _, t in held.value], error_rate))
+        return {held.value[hit[0]][0] for hit in matches(plain(value), *kept)}
+
+    return run
+
+
+def _digest(docs: DataFrame, text: str):
+    return F.sha2(docs[text].cast("binary"), 256)
+
+
+def _by_text(docs: DataFrame, items: DataFrame, text: str, **options) -> DataFrame:
+    """(_text, item), distinct: the items found, by the digest of the text that holds them."""
+    rows = docs.select(_digest(docs, text).alias("_text"), docs[text].alias("t"))
+    return cut_lineage(find_passages(rows, items, text="t", key="_text", **options)).select("_text", "item").distinct()
+
+
+def mark_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text", item_key: str = "item_id", error_rate: float = 0.1, block_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with contaminated, n_items and items (ascending, comma-joined).
 
-    What was found is written once, then joined by key, where adaptive execution broadcasts
-    it as long as it is small; NULL keys count as one key, and documents that share a key
-    share the answer. Columns of ``docs`` with these names are replaced.
+    Every row is judged by its own text: rows that share a key, or have none, get separate
+    answers, and ``key`` plays no part. One block of items is searched in one pass that
+    marks the rows; what several blocks find is written once, then joined by the digest of
+    the text. Columns of ``docs`` with these names are replaced.
     """
-    found = cut_lineage(find_passages(docs, items, key=key, **options)).select(F.col(key).alias("_key"), "item").distinct()
-    per_doc = found.groupBy("_key").agg(F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda i: i.cast("string")), ",").alias("_items"))
     plain_docs = docs.drop("contaminated", "n_items", "items")
-    joined = plain_docs.join(per_doc, plain_docs[key].eqNullSafe(per_doc["_key"]), "left")
-    n, found_items = per_doc["_n"], per_doc["_items"]
-    return joined.select(*(plain_docs[c] for c in plain_docs.columns), n.isNotNull().alias("contaminated"), F.coalesce(n, F.lit(0)).cast("long").alias("n_items"), F.coalesce(found_items, F.lit("")).alias("items"))
+    blocks = _blocks(items, item_text, item_key, block_chars)
+    if len(blocks) > 1:
+        found = _by_text(plain_docs, items, text, item_text=item_text, item_key=item_key, error_rate=error_rate, block_chars=block_chars)
+        per_text = found.groupBy("_text").agg(F.count("*").alias("_n"), F.collect_set("item").alias("_items"))
+        joined = plain_docs.join(per_text, _digest(plain_docs, text) == per_text["_text"], "left")
+        columns, n, held = [plain_docs[c] for c in plain_docs.columns], F.coalesce(per_text["_n"], F.lit(0)).cast("long"), per_text["_items"]
+    else:
+        joined = _marked(plain_docs, text, docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else []), items.schema[item_key].dataType, error_rate)
+        columns, n, held = [joined[c] for c in plain_docs.columns], F.size("items").cast("long"), joined["items"]
+    listed = F.coalesce(F.array_join(F.transform(F.array_sort(held), lambda i: i.cast("string")), ","), F.lit(""))
+    return joined.select(*columns, (n > 0).alias("contaminated"), n.alias("n_items"), listed.alias("items"))
+
+
+def _marked(docs: DataFrame, text: str, held, kind, error_rate: float) -> DataFrame:
+    """``docs`` and ``items``, the keys of the items in every text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, StructField, StructType
+
+    added = StructType([StructField("items", ArrayType(kind))])
+    target = to_arrow_schema(added).field(0).type
+    find = _items_of(held, error_rate)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [list(find(t)) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, target)], names=[*batch.schema.names, "items"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_text: str = "text", item_key: str = "item_id", error_rate: float = 0.1, block_chars: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose own text holds a test item; all columns stay.
+
+    Rows that share a key, or have none, are judged one by one; ``key`` plays no part.
+    """
+    blocks = _blocks(items, item_text, item_key, block_chars)
+    if len(blocks) > 1:
+        found = _by_text(docs, items, text, item_text=item_text, item_key=item_key, error_rate=error_rate, block_chars=block_chars).select("_text").distinct()
+        return docs.join(found, _digest(docs, text) == found["_text"], "left_anti")
+    find = _items_of(docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else []), error_rate)
+
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.filter(pa.array([not find(t) for t in values], pa.bool_()))
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents in which a test item was found; all columns stay."""
-    found = cut_lineage(find_passages(docs, items, key=key, **options)).select(F.col(key).alias("_key")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["_key"]), "left_anti")
+    return docs.mapInArrow(run, docs.schema)

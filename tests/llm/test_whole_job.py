@@ -2,7 +2,7 @@
 
 import random
 
-from statloom.llm import ngram_quality
+from statloom.llm import decontamination, ngram_quality
 from tests.llm.conftest import prose
 from tests.llm.test_learned import brute_perplexity
 
@@ -17,3 +17,18 @@ def test_models_take_characters_with_four_before_them(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(trusted)], "doc_id long, text string, lang string")
     default, five = (ngram_quality.classify(docs, docs.select("doc_id"), **o).orderBy("doc_id").collect() for o in ({}, {"order": 5}))
     assert default == five
+
+
+def test_only_rows_whose_own_text_holds_an_item_are_contaminated(spark):
+    passage = "the copper window of the harbour market opens at seven"
+    clean, dirty = "stone lamp garden river", f"before it {passage} and after"
+    rows = [(1, clean), (1, dirty), (1, None), (None, clean), (None, dirty), (None, None), (2, dirty), (3, clean), (3, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(5, passage), (6, "no document has this sentence about winter engines")], "item_id long, text string")
+    order = lambda found: sorted(found, key=str)
+    # the items in one block, and in several
+    for size in (1_000_000, 40):
+        left = [tuple(r) for r in decontamination.remove_contaminated(docs, bench, block_chars=size).collect()]
+        assert order(left) == order([r for r in rows if r[1] != dirty])
+        marked = [tuple(r) for r in decontamination.mark_documents(docs, bench, block_chars=size).collect()]
+        assert order(marked) == order([(*r, r[1] == dirty, int(r[1] == dirty), "5" if r[1] == dirty else "") for r in rows])
