@@ -7,12 +7,15 @@ sample, on variants of them that the patterns miss, and on damaged copies that a
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import hashlib
+import itertools
 import math
 import random
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,20 +287,71 @@ def variants(text: str, spans: list[Span], rng: random.Random) -> list[tuple[str
     return out
 
 
+def excerpts_of(text: str, width: int) -> Iterator[tuple[str, str, list[Span]]]:
+    """(kind, excerpt, its base spans) around every base span of a text; kind "" for stretches that hold a digit or at-sign but no span."""
+    base = base_spans(text)
+    starts = [s[0] for s in base]
+    ends = list(itertools.accumulate((s[1] for s in base), max))
+    for start, end, kind in base:
+        # no candidate is as long as that
+        if end - start > 4 * width:
+            continue
+        a = max(0, start - 48)
+        b = min(len(text), max(a + width, end + 1))
+        # a span that the excerpt cuts off teaches nothing
+        near = base[bisect.bisect_left(starts, a) : bisect.bisect_left(starts, b)]
+        inside = [(s - a, e - a, k) for s, e, k in near if (s > a or not a) and (e < b or b == len(text) == e)]
+        yield kind, text[a:b], inside
+    for start, end in regions(text):
+        for a in range(start, end, width):
+            b = min(len(text), a + width)
+            before = bisect.bisect_left(starts, b)
+            if not before or ends[before - 1] <= a:
+                yield "", text[a:b], []
+
+
+def sample(docs: DataFrame, text: str = "text", excerpts: int = 2048, width: int = 160) -> list[tuple[str, list[Span]]]:
+    """At most ``excerpts`` excerpts around base spans of each kind, and as many without any, from all texts.
+
+    Every base span anywhere in a text has its excerpt; hash slots of each kind choose among
+    them, so order and partitioning do not matter.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        least: dict[tuple[str, int], tuple[bytes, str, str]] = {}
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                for kind, x, spans in excerpts_of(value, width):
+                    digest = hashlib.blake2b(x.encode(), digest_size=16).digest()
+                    slot = kind, int.from_bytes(digest[:8], "big") % excerpts
+                    found = digest[8:], x, listed(spans)
+                    if slot not in least or found < least[slot]:
+                        least[slot] = found
+        rows = [(kind, slot, *found) for (kind, slot), found in least.items()]
+        for at in range(0, len(rows), 1024):
+            columns = list(zip(*rows[at : at + 1024]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string()))], names=["kind", "slot", "h", "x", "spans"])
+
+    rows = docs.select(F.col(text).alias("t")).filter("t RLIKE '[0-9@]'").mapInArrow(run, "kind string, slot int, h binary, x string, spans string")
+    slots = rows.groupBy("kind", "slot").agg(F.min(F.struct("h", "x", "spans")).alias("m"))
+    out = []
+    for x, spans in sorted({(r[0], r[1]) for r in slots.select("m.x", "m.spans").collect()}):
+        parts = [s.split(":") for s in spans.split(",") if s]
+        out.append((x, [(int(a), int(b), kind) for kind, a, b in parts]))
+    return out
+
+
 def learn(docs: DataFrame, text: str = "text", excerpts: int = 2048, width: int = 160) -> Field | None:
-    """The field fitted on at most ``excerpts`` excerpts of ``width`` characters.
+    """The field fitted on at most ``excerpts`` excerpts of ``width`` characters for each kind, and as many without spans.
 
-    An excerpt lies around the first digit or at-sign of a text; hash slots choose the texts,
-    so order and partitioning do not matter. None where no excerpt holds a base span.
+    A kind without one base span in all of ``docs`` has no positive example: its base
+    spans would still be found, but the field adds none to them. None where no text of
+    ``docs`` holds a base span of any kind; then the patterns alone remain.
     """
-    place = F.regexp_instr(F.col(text), F.lit("[0-9@]"))
-    around = docs.select(F.col(text).alias("t"), place.alias("p")).filter("p > 0").select(F.substr("t", F.greatest(F.col("p") - 48, F.lit(1)), F.lit(width)).alias("x"))
-    slots = around.groupBy(F.pmod(F.xxhash64("x"), F.lit(excerpts)).alias("slot")).agg(F.min(F.struct(F.xxhash64("x", F.lit(1)).alias("h"), "x")).alias("m"))
-    texts = sorted(r[0] for r in slots.select("m.x").collect())
     rng, examples = random.Random(11), []
-    for t in texts:
-        # a span that the excerpt cuts off teaches nothing
-        spans = [s for s in base_spans(t) if s[0] > 0 and s[1] < len(t)]
+    for t, spans in sample(docs, text, excerpts, width):
         examples.append((t, spans))
         examples += variants(t, spans, rng)
     return train(examples) if any(spans for _, spans in examples) else None

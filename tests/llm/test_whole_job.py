@@ -2,7 +2,7 @@
 
 import random
 
-from statloom.llm import decontamination, ngram_quality
+from statloom.llm import decontamination, ngram_quality, pii_crf
 from tests.llm.conftest import prose
 from tests.llm.test_learned import brute_perplexity
 
@@ -32,3 +32,17 @@ def test_only_rows_whose_own_text_holds_an_item_are_contaminated(spark):
         assert order(left) == order([r for r in rows if r[1] != dirty])
         marked = [tuple(r) for r in decontamination.mark_documents(docs, bench, block_chars=size).collect()]
         assert order(marked) == order([(*r, r[1] == dirty, int(r[1] == dirty), "5" if r[1] == dirty else "") for r in rows])
+
+
+def test_the_field_learns_from_spans_anywhere_in_a_text(spark):
+    rng = random.Random(43)
+    years = lambda: " ".join(f"{prose(rng, 30)} page {rng.randint(1, 400)} of {rng.randint(1900, 2030)}." for _ in range(3))
+    texts = [f"{years()} Host 10.{i % 200}.{i % 90}.7 or joe{i}@mail.example.com here. {prose(rng, 30)}" for i in range(60)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *(years() for _ in range(300)), None, ""]], "text string").repartition(5)
+    found = pii_crf.sample(docs, excerpts=64)
+    assert found == pii_crf.sample(docs.repartition(2), excerpts=64)
+    held = [k for _, spans in found for k in {s[2] for s in spans}]
+    assert held.count("ip") >= 20 and held.count("email") >= 20 and sum(not spans for _, spans in found) >= 30
+    assert all(spans == [s for s in pii_crf.base_spans(x) if s[0] > 0 and s[1] < len(x)] for x, spans in found)
+    field = pii_crf.learn(docs, excerpts=64)
+    assert field is not None and {k for _, _, k in pii_crf.find_spans("Mail joe.doe [at] mail.example.com or see host 10[.]2[.]3[.]4 there.", field)[1]} == {"email", "ip"}
