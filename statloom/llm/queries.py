@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, preference, quality_rules, token_files, toxicity
+from statloom.llm import alignment, bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, preference, quality_rules, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -136,3 +136,9 @@ def _(t):
     """Every document with the benchmark items found in it."""
     marked = decontamination.mark_documents(t("documents").select("doc_id", "text"), t("benchmark"))
     return marked.select("doc_id", (~F.col("contaminated")).alias("kept"), "contaminated", "n_items", "items")
+
+
+@query("op11_alignment")
+def _(t):
+    """All documents aligned between two tokenizers, with the corpus counts of their links."""
+    return alignment.link_statistics(t("documents"), default_path(), alignment.default_pieces())

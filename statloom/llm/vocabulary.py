@@ -30,6 +30,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import tiktoken
 
+        self._path = path
         spec = json.load(open(path, encoding="utf-8"))
         step = spec["pre_tokenizer"] or {}
         if spec["model"]["type"] != "BPE" or step.get("type") != "ByteLevel" or step.get("add_prefix_space") or not step.get("use_regex", True) or spec["normalizer"]:
@@ -59,7 +60,29 @@ class Vocabulary:
         if not text:
             return np.empty(0, dtype=np.uint32)
         found = self._special if self._any_special and self._any_special.search(text) else set()
-        return self._encoding.encode_to_numpy(text, allowed_special=found, disallowed_special=())
+        return self._ids(text, found)
+
+    def encode_plain(self, text: str) -> np.ndarray:
+        """Ids of a text in which the strings of special tokens are ordinary text."""
+        return self._ids(text, set()) if text else np.empty(0, dtype=np.uint32)
+
+    def _ids(self, text: str, special: set[str]) -> np.ndarray:
+        try:
+            return self._encoding.encode_to_numpy(text, allowed_special=special, disallowed_special=())
+        except ValueError:
+            # a run of about a million blanks is more than its word pattern can track back over
+            return np.array(self._library(bool(special)).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    @functools.cache
+    def _library(self, special: bool):
+        """The tokenizers library with the same file, for texts the faster encoder refuses."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self._path)
+        library.encode_special_tokens = not special
+        library.no_truncation()
+        library.no_padding()
+        return library
 
     def special_spans(self, text: str) -> list[tuple[int, int]]:
         """Where special tokens stand in a text."""
