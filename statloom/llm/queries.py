@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import alignment, bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, preference, quality_rules, token_files, toxicity
+from statloom.llm import alignment, bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, preference, quality_rules, spelling, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -142,3 +142,25 @@ def _(t):
 def _(t):
     """All documents aligned between two tokenizers, with the corpus counts of their links."""
     return alignment.link_statistics(t("documents"), default_path(), alignment.default_pieces())
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, _b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)) AS t),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+u AS (SELECT k, run, count(*) AS m, hex(encode(k || ':' || run)) AS x FROM d GROUP BY k, run),
+c AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295::BIGINT) AS h FROM u, bits),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, m FROM c),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+p AS (SELECT DISTINCT a.word AS word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.rest = v.word UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, near)) AS near FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * n THEN near END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM v LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM f JOIN r ON f.word = r.word AND r.next IS NULL"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def _(t):
+    """All words of the documents with their near words, forms and roots."""
+    return spelling.group_variants(spelling.words(t("documents"), misspell=97))
