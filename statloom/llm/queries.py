@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import alignment, bpe_chunks, decontamination, language, minhash, ngram_quality, pii_crf, preference, quality_rules, spelling, token_files, toxicity
+from statloom.llm import alignment, bpe_chunks, decontamination, language, main_text, minhash, ngram_quality, pii_crf, preference, quality_rules, spelling, token_files, toxicity
 from statloom.llm.vocabulary import default_path
 from statloom.plans.registry import Tables
 from statloom.session import cut_lineage, work_path
@@ -144,6 +144,12 @@ def _(t):
     return alignment.link_statistics(t("documents"), default_path(), alignment.default_pieces())
 
 
+@query("op12_main_text")
+def _(t):
+    """The main text of all pages."""
+    return main_text.extract(t("pages"))
+
+
 SPELLING_SQL = r"""
 WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, _b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)) AS t),
 d AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
