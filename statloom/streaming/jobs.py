@@ -6,17 +6,20 @@ stops (``availableNow``), or keeps running with a trigger of the caller's choice
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructType
 
 from statloom.operators.ledger import ALERT_THRESHOLD, BUDGET_LIMIT, billed_cost, month_of
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def job_stream(spark: SparkSession, source_dir: str, schema: StructType, files: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
     """New files of a folder as a stream."""
@@ -59,26 +62,89 @@ def stream_budget_alerts(
 ) -> DataFrame:
     """One alert per user and month, at the job that crosses the threshold.
 
-    The stream's own state keeps the total of every (user, month). Jobs of a batch count in
-    the order of their start, ids deciding ties; batches count as they come.
+    The stream's own state keeps total and alert of every (user, month). Jobs of a batch
+    count in the order of their start (null first), ids deciding ties; batches count as they
+    come. The state lives in RocksDB: the session is set to that store where it names none.
     """
-    mark = float(limit) * threshold
+    session = jobs.sparkSession
+    if session.conf.get(STATE_STORE, "").rsplit(".", 1)[-1] != "RocksDBStateStoreProvider":
+        session.conf.set(STATE_STORE, ROCKSDB)
+    kinds = {c: jobs.schema[c].dataType for c in (user_column, id_column)}
+    blank = F.lit("") if isinstance(kinds[id_column], StringType) else F.lit(0)
+    # plain names and values without nulls: the rows reach the processor as pandas tuples
     records = jobs.select(
-        user_column, month_of(started_column).alias("month"), F.col(id_column), F.col(started_column).alias("_at"), billed_cost(jobs).alias("job_cost")
+        F.col(user_column).cast("string").alias("owner"),
+        month_of(started_column).alias("month"),
+        F.coalesce(F.col(started_column).cast("string"), F.lit("")).alias("at"),
+        F.col(id_column).isNotNull().alias("named"),
+        F.coalesce(F.col(id_column), blank.cast(kinds[id_column])).alias("job"),
+        billed_cost(jobs).alias("cost"),
     )
-    kinds = dict(records.dtypes)
-    out = f"`{user_column}` {kinds[user_column]}, month string, `{id_column}` {kinds[id_column]}, spend_before double, spend_after double"
-
-    def crossing(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spend = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values(["_at", id_column], kind="stable")
-        after = spend + rows["job_cost"].to_numpy().cumsum()
-        state.update((float(after[-1]),))
-        before = after - rows["job_cost"].to_numpy()
-        for i in ((before < mark) & (after >= mark)).nonzero()[0]:
-            yield pd.DataFrame([(*key, rows[id_column].iloc[i], before[i], after[i])], columns=[user_column, "month", id_column, "spend_before", "spend_after"])
-
-    return records.groupBy(user_column, "month").applyInPandasWithState(crossing, out, "spend double", "append", GroupStateTimeout.NoTimeout)
+    out = f"owner string, month string, named boolean, job {kinds[id_column].simpleString()}, spend_before double, spend_after double"
+    processor = BudgetCrossing(float(limit) * threshold)
+    alerts = records.groupBy("owner", "month").transformWithStateInPandas(processor, out, "append", "None")
+    job = F.when(F.col("named"), F.col("job")).alias(id_column)
+    return alerts.select(F.col("owner").cast(kinds[user_column]).alias(user_column), "month", job, "spend_before", "spend_after")
+
+
+class BudgetCrossing(StatefulProcessor):
+    """Finds the job with which the total of a key reaches a mark.
+
+    Chunks of a batch are taken one after the other. Until the alert, only the earliest
+    jobs that together reach the mark are held, which are at most the mark divided by the
+    smallest cost; afterwards, and for jobs without cost, only the total is kept.
+    """
+
+    def __init__(self, mark: float):
+        self._mark = mark
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._totals = handle.getValueState("totals", "spend double, alerted boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        spend, alerted = self._totals.get() if self._totals.exists() else (0.0, False)
+        first = Earliest(self._mark - spend)
+        # a total that starts at the mark, as for a mark of 0, has not crossed it by any job
+        open_to_alert = not alerted and spend < self._mark
+        added = 0.0
+        for chunk in rows:
+            added += float(chunk["cost"].sum())
+            if open_to_alert:
+                costly = chunk[chunk["cost"] > 0]
+                for at, named, job, cost in zip(costly["at"], costly["named"], costly["job"], costly["cost"]):
+                    first.add((at, bool(named), job), cost)
+        crossed = open_to_alert and first.reached()
+        self._totals.update((spend + added, alerted or crossed))
+        if crossed:
+            (_, named, job), before, cost = first.crossing()
+            yield pd.DataFrame([(*key, named, job, spend + before, spend + before + cost)], columns=["owner", "month", "named", "job", "spend_before", "spend_after"])
+
+    def close(self) -> None:
+        pass
+
+
+class Earliest:
+    """The earliest jobs whose costs reach a sum, whatever the order in which they come."""
+
+    def __init__(self, wanted: float):
+        self._wanted, self._total, self.held = wanted, 0.0, []
+
+    def add(self, place: tuple, cost: float) -> None:
+        """Takes a job; ``place`` orders the jobs."""
+        if self.reached() and self.held and place > self.held[-1][0]:
+            return
+        bisect.insort(self.held, (place, cost), key=lambda job: job[0])
+        self._total += cost
+        while self._total - self.held[-1][1] >= self._wanted:
+            self._total -= self.held.pop()[1]
+
+    def reached(self) -> bool:
+        return self._total >= self._wanted
+
+    def crossing(self) -> tuple[tuple, float, float]:
+        """The place of the last job held, the costs before it, and its own."""
+        *earlier, (place, cost) = self.held
+        return place, sum(job[1] for job in earlier), cost
 
 
 def stream_spend(

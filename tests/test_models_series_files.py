@@ -1,6 +1,7 @@
 """Series, forests, anomalies, item responses, files, streams and user functions."""
 
 import json
+import random
 
 import numpy as np
 import pandas as pd
@@ -280,6 +281,36 @@ def test_stream_alerts_over_several_files(spark, tmp_path):
     assert rows(got, "user_id", "job_id", "spend_after") == rows(want, "user_id", "job_id", "spend_after")
 
 
+def test_stream_alerts_of_a_hot_key_without_order(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i, "hot" if i % 3 else rng.choice(["a", None, "b"]), rng.choice([0.0, 0.25, 0.5, None]), rng.randrange(2_000_000)) for i in range(6000)]
+    data += [(7000 + i, "tie", 60.0, 5) for i in range(4)] + [(8000, "late", 90.0, None), (8001, "late", 1.0, 3)]
+    rng.shuffle(data)
+    jobs = spark.createDataFrame(data, "job_id int, user_id string, cost double, t int").withColumn("started_at", F.timestamp_seconds(F.lit(1704067200) + F.col("t")).cast("timestamp_ntz"))
+    jobs.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streams.job_stream(spark, str(tmp_path / "in"), jobs.schema)
+    streams.write_closed(streams.stream_budget_alerts(stream, 100.0), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = ledger.budget_alerts(jobs, 100.0).rows
+    assert rows(got, "user_id", "job_id", "spend_after") == rows(want, "user_id", "job_id", "spend_after")
+    assert got.count() >= 4
+
+
+def test_earliest_jobs_hold_few_rows_in_any_order():
+    rng = random.Random(4)
+    jobs = [(rng.randrange(50), i, rng.choice([0.5, 1.0, 2.0])) for i in range(20_000)]
+    first, most = streams.Earliest(40.0), 0
+    for job in jobs:
+        first.add(job[:2], job[2])
+        most = max(most, len(first.held))
+    total = 0.0
+    for at, name, cost in sorted(jobs):
+        total += cost
+        if total >= 40.0:
+            break
+    assert first.crossing() == ((at, name), total - cost, cost) and most <= 81
+
+
 def test_incremental_runs_take_new_files_only(spark, tmp_path):
     folder, seen = str(tmp_path / "in"), []
     op = lambda df: df.agg(F.count("*").alias("n"))
