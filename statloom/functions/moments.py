@@ -1,8 +1,4 @@
-"""Sums, means and cross-products for regressions, in one aggregation.
-
-Second moments come from ``covar_pop``, which merges centred partial results, so large
-offsets do not cancel. The k by k systems are solved on the driver.
-"""
+"""Sums of products for small regressions, in one aggregation."""
 
 from __future__ import annotations
 
@@ -10,35 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_SQL_COLUMNS = 30
-
-
-def centred_moments(df: DataFrame, cols: dict[str, Column]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means and centred cross-product matrix (sums of products) of expressions.
-
-    Rows are taken as given: filter to complete cases before.
-    """
-    names = list(cols)
-    aggs = [F.count("*").alias("n")]
-    aggs += [F.avg(cols[a]).alias(f"m{i}") for i, a in enumerate(names)]
-    aggs += [
-        F.covar_pop(cols[a], cols[b]).alias(f"c{i}_{j}")
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-        if i <= j
-    ]
-    row = df.agg(*aggs).first()
-    n = row["n"]
-    k = len(names)
-    mean = np.array([row[f"m{i}"] if row[f"m{i}"] is not None else np.nan for i in range(k)], dtype=float)
-    cross = np.full((k, k), np.nan)
-    for i in range(k):
-        for j in range(i, k):
-            v = row[f"c{i}_{j}"]
-            cross[i, j] = cross[j, i] = np.nan if v is None else v * n
-    return n, mean, cross
-
-
 def weighted_moments(
     df: DataFrame, xs: list[Column], y: Column, w: Column | None = None
 ) -> tuple[int, np.ndarray, np.ndarray, float]:

@@ -7,20 +7,22 @@ import math
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.dist import normal_two_sided
 from statloom.functions.missing import all_present, number
-from statloom.functions.moments import MAX_SQL_COLUMNS, centred_moments, linear, weighted_moments
+from statloom.functions.moments import linear
 from statloom.functions.ordered import average_ranks
+from statloom.functions.tall import solve, triangular
 from statloom.operators.relational import train_test_flag
 from statloom.result import ProfileResult, as_list, numeric_features, quoted, require_columns, require_count
 from statloom.session import cut_lineage
 
 COEFFICIENTS = "variable string, coefficient double, std_error double, z_score double, p_value double"
 PROBABILITY_FLOOR = 1e-10
+# A step whose squared length in standard errors is below this share of the rows is the last one.
+NEGLIGIBLE_GAIN = 2e-10
 
 
 def _prepare(df: DataFrame, target: str, features: list[str] | None) -> list[str]:
@@ -50,114 +52,87 @@ def _assembled(df: DataFrame, design: dict[str, Column], extra: dict[str, Column
     return VectorAssembler(inputCols=names, outputCol="_x").transform(flat).drop(*names)
 
 
+def _flat(work: DataFrame, design: dict[str, Column], y: Column) -> tuple[DataFrame, list[Column]]:
+    """The columns of the design and the outcome, written once for the passes over them."""
+    flat = cut_lineage(work.select(*[x.alias(f"_x{i}") for i, x in enumerate(design.values())], y.alias("_y")))
+    return flat, [F.col(c) for c in flat.columns]
+
+
 def _fit_linear(work: DataFrame, design: dict[str, Column], y: Column) -> dict:
-    """Least squares from one pass of centred moments (k ≤ 30), else the Spark ML solver."""
-    names, k = list(design), len(design) + 1
-    if len(names) <= MAX_SQL_COLUMNS:
-        n, mean, cross = centred_moments(work, {**design, "": y})
-        sxx, sxy, syy = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
-        inverse = np.linalg.pinv(sxx)
-        beta = inverse @ sxy
-        ssr = max(float(syy - beta @ sxy), 0.0)
-        scale = ssr / (n - k) if n > k else math.nan
-        errors = np.sqrt(np.maximum(scale * np.diag(inverse), 0))
-        intercept = float(mean[-1] - beta @ mean[:-1])
-        error0 = math.sqrt(max(scale * (1 / n + mean[:-1] @ inverse @ mean[:-1]), 0)) if n > k else math.nan
-    else:
-        data = _assembled(work, design, {"_y": y})
-        model = GeneralizedLinearRegression(family="gaussian", featuresCol="_x", labelCol="_y").fit(data)
-        s = model.summary
-        n, ssr, syy = s.numInstances, s.deviance, s.nullDeviance
-        beta, intercept = model.coefficients.toArray(), model.intercept
-        *errors, error0 = s.coefficientStandardErrors
+    """Least squares by one triangular factor of [1, X, y]."""
+
+    def step(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.hstack([np.ones((len(values), 1)), values]), np.array([float(len(values))])
+
+    r, totals = triangular(work, [*design.values(), y], step)
+    n, k = int(totals[0]) if len(totals) else 0, len(design) + 1
+    require_count(n, 10, "regression")
+    # behind its first row and column stands the factor of the centred table
+    slopes, inverse, ssr, _ = solve(r[1:, 1:])
+    means = r[0, 1:k] / r[0, 0]
+    intercept = float(r[0, k] / r[0, 0] - means @ slopes)
+    scale = ssr / (n - k) if n > k else math.nan
+    errors = np.sqrt(np.maximum(scale * np.diag(inverse), 0))
+    error0 = math.sqrt(max(scale * (1 / n + means @ inverse @ means), 0)) if n > k else math.nan
     return {
         "n": n,
         "intercept": intercept,
-        "beta": [float(b) for b in beta],
+        "beta": [float(b) for b in slopes],
         "errors": [error0, *[float(e) for e in errors]],
         "deviance": ssr,
-        "null_deviance": float(syy),
+        "null_deviance": float(r[1:, k] @ r[1:, k]),
         "aic": n * math.log(2 * math.pi * ssr / n) + n + 2 * k if ssr > 0 else -math.inf,
+        "converged": True,
     }
 
 
-def _scaling(work: DataFrame, design: list[Column], y: Column) -> tuple[list[float], list[float], Row]:
-    """Means and deviations of the regressors, and counts of the outcome, in one pass."""
-    row = work.agg(
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(design)],
-        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(design)],
-        F.count("*").alias("n"),
-        F.avg(y).alias("p"),
-        F.count_if(~y.isin(0.0, 1.0)).alias("other"),
-    ).first()
-    k = len(design)
-    return [row[f"m{i}"] or 0.0 for i in range(k)], [row[f"s{i}"] or 1.0 for i in range(k)], row
-
-
-def _newton(work: DataFrame, scaled: list[Column], y: Column, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
-    """Newton steps for a logistic model with intercept: coefficients and last X'WX.
+def _newton(flat: DataFrame, columns: list[Column], max_iter: int) -> dict:
+    """Newton steps for a logistic model with intercept, by the factor of the weighted design.
 
-    Each step is one aggregation of X'WX and X'(y-p); steps end once they change nothing.
+    ``columns`` end with the outcome, a share between 0 and 1. Every round is one pass that
+    gives the factor for the next step and the likelihood at the present coefficients; the
+    rounds end with a step far below the standard errors.
     """
-    design = [F.lit(1.0), *scaled]
-    beta, xwx = np.zeros(len(design)), np.zeros((len(design), len(design)))
-    for _ in range(max_iter):
-        p = _logit(linear(beta[0], beta[1:], scaled))
-        p = F.least(F.greatest(p, F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
-        w = p * (F.lit(1.0) - p)
-        _, xwx, right, _ = weighted_moments(work, design, (y - p) / w, w)
-        try:
-            step = np.linalg.solve(xwx, right)
-        except np.linalg.LinAlgError:
-            break
-        beta = beta + step
-        if np.max(np.abs(step)) < 1e-10:
-            break
-    return beta, xwx
+    beta, rounds, converged = np.zeros(len(columns)), 0, False
+    while True:
+        r, totals = triangular(flat, columns, _weighted(beta))
+        n = int(totals[0]) if len(totals) else 0
+        require_count(n, 10, "regression")
+        if totals[3]:
+            raise ValueError("the outcome of a logistic model has to lie between 0 and 1")
+        step, inverse, _, gain = solve(r)
+        if converged or rounds == max_iter:
+            return {"beta": beta, "inverse": inverse, "n": n, "share": totals[1] / n, "likelihood": totals[2], "converged": converged}
+        beta, rounds = beta + step, rounds + 1
+        converged = gain <= NEGLIGIBLE_GAIN * n
+
+
+def _weighted(beta: np.ndarray):
+    def step(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.hstack([np.ones((len(values), 1)), values[:, :-1]]), values[:, -1]
+        p = np.clip(1.0 / (1.0 + np.exp(-np.clip(x @ beta, -700, 700))), PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
+        root = np.sqrt(p * (1 - p))
+        likelihood = float(y @ np.log(p) + (1 - y) @ np.log1p(-p))
+        outside = float(np.count_nonzero((y < 0) | (y > 1)))
+        return np.hstack([x * root[:, None], ((y - p) / root)[:, None]]), np.array([float(len(y)), float(y.sum()), likelihood, outside])
+
+    return step
 
 
 def _fit_logistic(work: DataFrame, design: dict[str, Column], y: Column) -> dict:
-    """Newton steps over SQL sums (k ≤ 30, outcome 0/1), else the Spark ML solver."""
-    if len(design) <= MAX_SQL_COLUMNS:
-        flat = cut_lineage(work.select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(design.values())]))
-        xs, target = [F.col(f"_x{i}") for i in range(len(design))], F.col("_y")
-        means, scales, row = _scaling(flat, xs, target)
-        if row["other"] == 0:
-            scaled = [(x - F.lit(m)) / F.lit(s) for x, m, s in zip(xs, means, scales)]
-            beta, xwx = _newton(flat, scaled, target, 100)
-            back = np.diag([1.0, *[1.0 / s for s in scales]])
-            back[0, 1:] = [-m / s for m, s in zip(means, scales)]
-            raw = back @ beta
-            errors = np.sqrt(np.maximum(np.diag(back @ np.linalg.pinv(xwx) @ back.T), 0))
-            p = _logit(linear(beta[0], beta[1:], scaled))
-            likelihood = F.sum(F.log(F.when(target == 1, p).otherwise(F.lit(1.0) - p)))
-            deviance = -2.0 * flat.agg(likelihood.alias("l")).first()["l"]
-            n, share = row["n"], row["p"]
-            inside = 0 < share < 1
-            null = -2.0 * n * (share * math.log(share) + (1 - share) * math.log(1 - share)) if inside else 0.0
-            return {
-                "n": n,
-                "intercept": float(raw[0]),
-                "beta": [float(b) for b in raw[1:]],
-                "errors": [float(e) for e in errors],
-                "deviance": deviance,
-                "null_deviance": null,
-                "aic": deviance + 2 * len(beta),
-            }
-    data = _assembled(work, design, {"_y": y})
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=100, tol=1e-10
-    ).fit(data)
-    s = model.summary
-    *errors, error0 = s.coefficientStandardErrors
+    """Newton steps over the written design."""
+    found = _newton(*_flat(work, design, y), 100)
+    n, share, beta = found["n"], found["share"], found["beta"]
+    deviance = -2.0 * found["likelihood"]
     return {
-        "n": s.numInstances,
-        "intercept": model.intercept,
-        "beta": [float(b) for b in model.coefficients],
-        "errors": [error0, *errors],
-        "deviance": s.deviance,
-        "null_deviance": s.nullDeviance,
-        "aic": s.aic,
+        "n": n,
+        "intercept": float(beta[0]),
+        "beta": [float(b) for b in beta[1:]],
+        "errors": [float(e) for e in np.sqrt(np.maximum(np.diag(found["inverse"]), 0))],
+        "deviance": deviance,
+        "null_deviance": -2.0 * n * (share * math.log(share) + (1 - share) * math.log(1 - share)) if 0 < share < 1 else 0.0,
+        "aic": deviance + 2 * len(beta),
+        "converged": found["converged"],
     }
 
 
@@ -182,7 +157,6 @@ def regression_glm(
     work = df.filter(present)
     fit = _fit_linear(work, design, y) if model_type == "linear" else _fit_logistic(work, design, y)
     n, k = fit["n"], len(design) + 1
-    require_count(n, 10, "regression")
     score = linear(fit["intercept"], fit["beta"], list(design.values()))
     value = score if model_type == "linear" else _logit(score)
     rows = df.withColumn("predicted_value", F.when(present, value)).withColumn(
@@ -205,12 +179,11 @@ def regression_glm(
         [
             (
                 model_type, n, float(fit["aic"]), float(fit["deviance"] - (n - k) * math.log(n)), r2, pseudo, auc,
-                include_interactions and len(features) <= MAX_INTERACTION_FEATURES,
-                include_interactions and len(features) > MAX_INTERACTION_FEATURES,
+                include_interactions, fit["converged"],
             )
         ],
         "model_type string, rows_used long, aic double, bic double, r_squared double, pseudo_r_squared double, "
-        "auc double, interactions_applied boolean, interactions_skipped boolean",
+        "auc double, interactions_applied boolean, converged boolean",
     )
     return ProfileResult(rows, {"coefficients": spark.createDataFrame(coefficients, COEFFICIENTS)}, metrics)
 
@@ -218,22 +191,15 @@ def regression_glm(
 def logistic_irls(df: DataFrame, target: str, features: list[str], max_iter: int = 25) -> ProfileResult:
     """Plain Newton steps for a logistic model with intercept, starting from zero.
 
-    The features are standardised for the iteration and the coefficients unscaled at the
-    end, which leaves the fit the same and keeps the system well conditioned.
+    Every step is solved by the triangular factor of the weighted design, which keeps the
+    system well conditioned whatever the scales of the features.
     """
     require_columns(df, target=target, features=features)
     y, xs = number(df, target), [number(df, f) for f in features]
     present = all_present(df, [target, *features])
-    # the steps read these few columns many times
-    work = cut_lineage(df.filter(present).select(y.alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]))
-    columns = [F.col(f"_x{i}") for i in range(len(xs))]
-    means, scales, _ = _scaling(work, columns, F.col("_y"))
-    scaled = [(c - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, means, scales)]
-    beta, _ = _newton(work, scaled, F.col("_y"), max_iter)
-    raw = beta[1:] / np.array(scales)
-    intercept = float(beta[0] - raw @ np.array(means))
-    score = linear(beta[0], beta[1:], [(x - F.lit(m)) / F.lit(s) for x, m, s in zip(xs, means, scales)])
-    rows = df.withColumn("probability", F.when(all_present(df, features), _logit(score)))
+    found = _newton(*_flat(df.filter(present), dict(zip(features, xs)), y), max_iter)
+    intercept, raw = float(found["beta"][0]), found["beta"][1:]
+    rows = df.withColumn("probability", F.when(all_present(df, features), _logit(linear(intercept, raw, xs))))
     table = [("intercept", intercept), *[(f, float(b)) for f, b in zip(features, raw)]]
     coefficients = df.sparkSession.createDataFrame(table, "variable string, coefficient double")
     return ProfileResult(rows, {"coefficients": coefficients})

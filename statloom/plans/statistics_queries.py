@@ -199,6 +199,17 @@ def _(t):
     return rounded(result.tables["coefficients"].select("variable", "coefficient"), 4)
 
 
+@query("f1_linear_repeated_columns", """
+WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem)
+SELECT 'const' AS variable, round(i, 3) AS coefficient FROM b
+UNION ALL SELECT 'q' || lpad(k::VARCHAR, 2, '0'), round(s / 40, 3) FROM b, range(40) r(k)""")
+def _(t):
+    """Forty copies of one regressor share its effect, as two would."""
+    names = [f"q{k:02d}" for k in range(40)]
+    wide = t("lineitem").select("l_extendedprice", *[F.col("l_quantity").alias(c) for c in names])
+    return rounded(regression.regression_glm(wide, "l_extendedprice", names, "linear").tables["coefficients"].select("variable", "coefficient"), 3)
+
+
 @query("f2_logistic_predictions", """
 WITH r AS (SELECT l_linestatus, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) AS p FROM lineitem GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, round(p, 5) AS prediction_probability FROM lineitem JOIN r USING (l_linestatus)""")
