@@ -1,6 +1,7 @@
 """Near-duplicate documents: hash minima in bands, checked signatures, exact sets, components.
 
-Documents with equal shingle sets form one class, and only classes are compared. A class is
+Documents with equal shingle sets form one class, named by a digest of 128 bits of every
+shingle, and only classes are compared. A class is
 first checked against the smallest class of each band bucket. Where a bucket still holds
 several components, its other members are compared with each other by signature, block by
 block inside tasks. Whatever passes is confirmed on the full sets of the texts; pairs of a
@@ -26,53 +27,45 @@ BLOCK = 1024
 
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20260101)
-_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 64, HASHES, dtype=np.uint64)
 _MIX = _rng.integers(0, 1 << 64, 2, dtype=np.uint64) | np.uint64(1)
-_BASE = int(_rng.integers(0, 1 << 63)) * 2 + 1
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+CACHED_WORDS, CACHED_BYTES = 1 << 18, 64  # words kept with their digests, and how long they may be
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as far as a text is long."""
+class _Digests(dict):
+    """128-bit digests of words; emptied when full, and long words are not kept."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = digest
+        return digest
 
-    def to(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, dtype=np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)], dtype=np.uint64)
 
+_DIGESTS = _Digests()
 
-_POWERS = _Powers()
 
+def shingle_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit hashes of a text's shingles, ascending, and a second hash of each.
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's shingles, ascending.
-
-    Words are hashed by one running sum over the bytes, shingles from their words' hashes.
-    Fewer than ``WORDS`` words give the whole sequence as one shingle, no word gives none.
+    Words have 128-bit digests, and shingles mix those of their words: each half on its own
+    gives one of the hashes. Fewer than ``WORDS`` words give the whole sequence as one
+    shingle, no word gives none.
     """
-    raw = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(space.view(np.int8), prepend=1, append=1)
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(begin):
-        return np.empty(0, dtype=np.uint64)
-    _POWERS.to(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _POWERS.up[: len(raw)], out=total[1:])
-    words = (total[end] - total[begin]) * _POWERS.down[begin]
-    words = (words ^ (words >> np.uint64(31))) * _MIX[0]
+    listed = (text or "").encode().lower().split()  # white space of ASCII, like the lowered letters
+    if not listed:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    words = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, listed)), dtype="<u8").reshape(-1, 2)
     n = max(1, len(words) - WORDS + 1)
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.zeros((n, 2), dtype=np.uint64)
     for i in range(min(WORDS, len(words))):
         out = (out ^ (out >> np.uint64(29))) * _MIX[1] + words[i : i + n]
-    return np.unique((out ^ (out >> np.uint64(32))) * _MIX[0])
+    out = (out ^ (out >> np.uint64(32))) * _MIX[0]
+    first, at = np.unique(out[:, 0], return_index=True)
+    return first, out[at, 1]
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -94,9 +87,9 @@ def shingle_set(text: str | None) -> set:
 
 def _sketches(columns):
     for h1, h2, doc, text in zip(columns["h1"], columns["h2"], columns["doc"], columns["t"]):
-        shingles = shingle_hashes(text)
+        shingles, second = shingle_hashes(text)
         some = len(shingles) > 0
-        yield h1, h2, doc, len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if some else None, signature(shingles) if some else None
+        yield h1, h2, doc, len(shingles), hashlib.blake2b(shingles.tobytes() + second.tobytes(), digest_size=16).digest() if some else None, signature(shingles) if some else None
 
 
 def similar(a: set, b: set, similarity: int) -> bool:
