@@ -72,7 +72,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
             compressors.append(zstandard.ZstdCompressor(dict_data=prepared, compression_params=setting))
         for doc, value in zip(columns["k"], columns["t"]):
             plain = letters(value or "")
-            if not names or not plain:
+            if not names or not any(map(str.isalpha, plain)):
                 yield doc, UNDETERMINED, 0.0, 0.0, False
                 continue
             raw = memoryview(plain.encode())
