@@ -117,16 +117,19 @@ class Item:
 
 def matches(text: str, items: list[Item], automaton) -> Iterator[tuple[int, int, int, int]]:
     """(item number, start, end, distance) in a plain text, each occurrence once."""
-    taken: dict[int, list[tuple[int, int]]] = {}
+    # hits come in the order of their ends: only spans that reach beyond one can hold it
+    reaching: dict[int, list[tuple[int, int]]] = {}
+    taken: set[tuple[int, int, int]] = set()
     for last, owners in automaton.iter(text):
         for number, leaf in owners:
             item = items[number]
             start = last + 1 - len(item.pieces[leaf][1])
-            spans = taken.setdefault(number, [])
-            if any(a <= start and last < b for a, b in spans):
+            spans = reaching[number] = [s for s in reaching.get(number, ()) if last < s[1]]
+            if any(a <= start for a, _ in spans):
                 continue
             found = item.at(text, leaf, start)
-            if found and found[:2] not in spans:
+            if found and (number, *found[:2]) not in taken:
+                taken.add((number, *found[:2]))
                 spans.append(found[:2])
                 yield number, *found
 
