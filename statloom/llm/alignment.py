@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +54,6 @@ class Aligner:
         size = self._b.get_piece_size()
         self.b_pieces = [self._bytes(i) for i in range(size)]
         self.b_lengths = np.array([len(p) for p in self.b_pieces], dtype=np.int64)
-        self.b_decimals = [str(i) for i in range(size)]
 
     def _bytes(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
@@ -68,7 +66,8 @@ class Aligner:
         spaced = " " + text
         a, b = self.a.encode_plain(spaced), self._b.encode(text)
         raw = spaced.encode()
-        if b"".join([self.b_pieces[i] for i in b]) != raw or self.a.decode(a.tolist()) != raw:
+        # the bytes of A are those of the text: its ids stand for single bytes and joins of them
+        if b"".join([self.b_pieces[i] for i in b]) != raw:
             return None
         return a, np.array(b, dtype=np.int64)
 
@@ -202,31 +201,52 @@ def _digest(both: Aligner, text: str | None, size_b: int) -> tuple[tuple, np.nda
     if ids is None:
         return (0, 0, 0, 0, ""), np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = ids
-    digest, groups, separator, links = hashlib.sha256(), 0, "", Counter()
-    name_a, name_b = both.a.decimals, both.b_decimals
+    digest, groups, separator, links, names = hashlib.sha256(), 0, "", [], _names(both, size_b)
     for ia, ib, ends_a, ends_b, i, j in both.slices(a, b):
-        own_a, own_b = a[i : i + ia[-1]].tolist(), b[j : j + ib[-1]].tolist()
-        written, linked = [], []
-        for p, q, r, s in zip(ia, ia[1:], ib, ib[1:]):
-            if q - p == 1 and s - r == 1:
-                x, y = own_a[p], own_b[r]
-                written.append(f"{name_a[x]}|{name_b[y]}")
-                linked.append(x * size_b + y)
-            else:
-                written.append(",".join([name_a[x] for x in own_a[p:q]]) + "|" + ",".join([name_b[y] for y in own_b[r:s]]))
-                if q - p == 1:
-                    linked.extend([own_a[p] * size_b + y for y in own_b[r:s]])
-                elif s - r == 1:
-                    linked.extend([x * size_b + own_b[r] for x in own_a[p:q]])
-                else:
-                    linked.extend([own_a[x] * size_b + own_b[y] for x, y in both.linked(ends_a, ends_b, p, q, r, s)])
+        own_a, own_b = a[i : i + ia[-1]].astype(np.int64), b[j : j + ib[-1]]
+        cuts_a, cuts_b = np.array(ia), np.array(ib)
+        size_of_a, size_of_b = np.diff(cuts_a), np.diff(cuts_b)
+        # groups with one token on a side link it to all of the other side; the first pair of each stands for it here
+        first = own_a[cuts_a[:-1]] * size_b + own_b[cuts_b[:-1]]
+        one_sided = np.minimum(size_of_a, size_of_b) == 1
+        times = np.where(one_sided, np.maximum(size_of_a, size_of_b), 0)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        x = np.repeat(cuts_a[:-1], times) + step * np.repeat(size_of_a > 1, times)
+        y = np.repeat(cuts_b[:-1], times) + step * np.repeat(size_of_b > 1, times)
+        links.append(own_a[x] * size_b + own_b[y])
+        written = list(map(names.__getitem__, first.tolist()))
+        list_a, list_b, crossing = own_a.tolist(), own_b.tolist(), []
+        for g in np.flatnonzero((size_of_a > 1) | (size_of_b > 1)).tolist():
+            p, q, r, s = ia[g], ia[g + 1], ib[g], ib[g + 1]
+            written[g] = f"{','.join(map(str, list_a[p:q]))}|{','.join(map(str, list_b[r:s]))}"
+            if q - p > 1 and s - r > 1:
+                crossing.extend([list_a[x] * size_b + list_b[y] for x, y in both.linked(ends_a, ends_b, p, q, r, s)])
+        links.append(np.array(crossing, np.int64))
         digest.update((separator + ";".join(written)).encode())
         groups, separator = groups + len(written), ";"
-        links.update(linked)
-    found, uses = np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
+    found, uses = np.unique(np.concatenate(links), return_counts=True)
     return (len(a), len(b), groups, int(uses.sum()), digest.hexdigest()), found, uses
 
 
+class _Names(dict):
+    """How the group of an id pair is written; filled as pairs come up, and emptied when full."""
+
+    def __init__(self, size_b: int):
+        super().__init__()
+        self._size_b = size_b
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= 1 << 18:
+            self.clear()
+        name = self[pair] = f"{pair // self._size_b}|{pair % self._size_b}"
+        return name
+
+
+@functools.lru_cache(maxsize=2)
+def _names(both: Aligner, size_b: int) -> _Names:
+    return _Names(size_b)
+
+
 def _sum_links(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of one block with the counts of its pairs."""
     place = answers.column("pos").to_numpy()
