@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from statloom.operators import causal, regression, stats, survival
@@ -106,17 +108,17 @@ def test_glm_linear_matches_least_squares(spark):
     assert result.rows.filter("predicted_value is null").count() == 1
 
 
-def test_glm_with_many_columns_uses_the_solver(spark, monkeypatch):
+def test_glm_equals_the_library_solver(spark):
     rng = np.random.RandomState(2)
     pdf = pd.DataFrame({"x": rng.randn(50), "z": rng.randn(50)})
     pdf["y"] = 1 + 2 * pdf["x"] + rng.randn(50)
     df = spark.createDataFrame(pdf)
     direct = regression.regression_glm(df, "y", ["x", "z"], "linear")
-    monkeypatch.setattr(regression, "MAX_SQL_COLUMNS", 1)
-    solved = regression.regression_glm(df, "y", ["x", "z"], "linear")
-    for a, b in zip(direct.tables["coefficients"].collect(), solved.tables["coefficients"].collect()):
-        assert close(a["coefficient"], b["coefficient"], 1e-6) and close(a["std_error"], b["std_error"], 1e-6)
-    assert close(direct.metrics.first()["aic"], solved.metrics.first()["aic"], 1e-6)
+    data = VectorAssembler(inputCols=["x", "z"], outputCol="v").transform(df)
+    solved = GeneralizedLinearRegression(family="gaussian", featuresCol="v", labelCol="y").fit(data)
+    *errors, error0 = solved.summary.coefficientStandardErrors
+    for a, b, e in zip(direct.tables["coefficients"].collect(), [solved.intercept, *solved.coefficients], [error0, *errors]):
+        assert close(a["coefficient"], b, 1e-6) and close(a["std_error"], e, 1e-6)
 
 
 def _binary(spark, n=400):
