@@ -27,11 +27,11 @@ BASELINE_BYTES = 10 * 1024 * 1024
 SCALE_RANGE = (0.1, 10.0)
 
 
-def _clamp(value, low: int, high: int, default: int) -> int:
-    try:
-        return max(low, min(int(value), high))
-    except (TypeError, ValueError):
-        return default
+def _page_size(value: int, most: int) -> int:
+    """A page size from 1 to ``most``; any other is an error, not a shorter page."""
+    if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= most:
+        raise ValueError(f"limit has to be a whole number from 1 to {most}, not {value!r}")
+    return value
 
 
 def billed_cost(df: DataFrame, cost: str = "cost", estimate: str = "estimated_cost") -> Column:
@@ -66,7 +66,7 @@ def job_history(
     For one user it is a filter and a top-k; for all users a row number per user, which
     Spark limits inside each partition before the shuffle.
     """
-    limit = _clamp(limit, 1, HISTORY_LIMIT, 10)
+    limit = _page_size(limit, HISTORY_LIMIT)
     require_columns(ledger, user_column=user_column, started_column=started_column, id_column=id_column)
     newest = [F.col(started_column).desc(), F.col(id_column).desc()]
     rank = F.row_number().over(Window.partitionBy(user_column).orderBy(*newest))
@@ -103,7 +103,7 @@ def list_snapshots(
     completed_column: str = "completed_at",
 ) -> ProfileResult:
     """Labelled results of one user, newest first, 1 to 50 of them."""
-    limit = _clamp(limit, 1, SNAPSHOT_LIMIT, 20)
+    limit = _page_size(limit, SNAPSHOT_LIMIT)
     labelled = ledger.filter((F.col(user_column) == user) & (F.trim(F.col(label_column)) != ""))
     rows = labelled.orderBy(F.col(completed_column).desc(), F.col(label_column)).limit(limit)
     return ProfileResult(rows, {}, rows.agg(F.count("*").alias("count")))

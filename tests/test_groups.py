@@ -113,6 +113,11 @@ def test_history_pages(spark):
     assert [r["job_id"] for r in second.rows.orderBy("position").collect()] == [2, 1]
     assert second.metrics.first()["next_cursor"] is None
     assert ledger.job_history(jobs, "u", 2, "garbage").rows.count() == 2
+    for size in (0, 21, "5", None):
+        with pytest.raises(ValueError, match="1 to 20"):
+            ledger.job_history(jobs, "u", size)
+    with pytest.raises(ValueError, match="1 to 50"):
+        ledger.list_snapshots(jobs, "u", 51)
 
 
 def test_concurrent_jobs(spark):
