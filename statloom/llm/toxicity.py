@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -41,18 +42,34 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def known_terms(text: str | None, idf: dict[str, float], seen: dict[str, tuple]) -> dict[str, int]:
-    """The terms of a text that the model knows, and ``ALL``; ``seen`` keeps the answers for words."""
-    out = {ALL: 0}
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        out[ALL] += n
-        found = seen.get(word)
-        if found is None:
-            if len(seen) >= 200_000:
-                seen.clear()
-            found = seen[word] = tuple(t for t in (word, *(word[:size] + "*" for size in PREFIXES if len(word) >= size)) if t in idf)
-        for term in found:
-            out[term] = out.get(term, 0) + n
+def _known(word: str, idf: dict[str, float], seen: dict[str, tuple]) -> tuple:
+    """The terms of a word that the model knows; ``seen`` keeps the answers."""
+    found = seen.get(word)
+    if found is None:
+        if len(seen) >= 200_000:
+            seen.clear()
+        found = seen[word] = tuple(t for t in (word, *(word[:size] + "*" for size in PREFIXES if len(word) >= size)) if t in idf)
+    return found
+
+
+def passages(text: str | None, idf: dict[str, float], seen: dict[str, tuple], size: int) -> list[dict[str, int]]:
+    """The known terms and the number of words (``ALL``) of every passage of a text.
+
+    Passages have ``size`` words and start half a passage after the one before, the last one
+    ends with the text; so every run of up to half a passage stands whole in one of them. A
+    text that is no longer is one passage.
+    """
+    words = _WORD.findall((text or "").lower())
+    known = {w: found for w in set(words) if (found := _known(w, idf, seen))}
+    at = [i for i, w in enumerate(words) if w in known]
+    last = max(len(words) - size, 0)
+    out = []
+    for start in [*range(0, last, max(size // 2, 1)), last]:
+        counts = {ALL: min(size, len(words))}
+        for i in at[bisect_left(at, start) : bisect_left(at, start + size)]:
+            for term in known[words[i]]:
+                counts[term] = counts.get(term, 0) + 1
+        out.append(counts)
     return out
 
 
@@ -186,12 +203,15 @@ def vote(model: Model, found: list[tuple[float, int]], prior_weight: float) -> f
     return toxic / total if total else model.prior
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", k: int = 25, prior_weight: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", k: int = 25, prior_weight: float = 0.25, passage: int = 256) -> DataFrame:
     """(key, score, predicted, evidence, similarity) for every row, from its whole text.
 
-    The neighbours are all examples at least as similar as the ``k``-th; ties at that place
-    all vote. ``evidence`` has the known terms of the text, the heaviest first (at most
-    eight), ``similarity`` that of the nearest example. A NULL or empty text, and one without
+    A text is scored by its passages of ``passage`` words, each half a passage after the one
+    before, and has the score of the most toxic one (the first in order of terms, if several
+    are), so that the clean rest of a long text takes nothing away. The neighbours are all
+    examples at least as similar as the ``k``-th; ties at that place all vote. ``evidence`` has
+    the known terms of that passage, the heaviest first (at most eight), ``similarity`` that of
+    its nearest example. A NULL or empty text, and one without
     a known term, is nearest to the examples without such terms; without any example the
     score is the toxic share, 0. Repeated keys give one row each.
     """
@@ -202,13 +222,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         answers: dict = {}
         seen_words: dict[str, tuple] = {}
         for doc, value in zip(columns["k"], columns["t"]):
-            vector = unit(known_terms(value, m.idf, seen_words), m.idf)
-            seen = tuple(vector.items())
-            if seen not in answers:
-                found, _ = neighbours(m, vector, k)
-                answers[seen] = (vote(m, found, prior_weight), max((f[0] for f in found), default=0.0))
-            share, nearest = answers[seen]
-            why = ",".join([t for t in sorted(vector, key=lambda t: (-vector[t], t)) if t != ALL][:8])
+            best = None
+            for vector in sorted({tuple(unit(counts, m.idf).items()) for counts in passages(value, m.idf, seen_words, passage)}):
+                if vector not in answers:
+                    found, _ = neighbours(m, dict(vector), k)
+                    answers[vector] = (vote(m, found, prior_weight), max((f[0] for f in found), default=0.0))
+                if best is None or answers[vector][0] > best[0]:
+                    best = (*answers[vector], vector)
+            share, nearest, vector = best
+            why = ",".join([t for t, _ in sorted(vector, key=lambda x: (-x[1], x[0])) if t != ALL][:8])
             yield doc, share, int(share >= 0.5), why, nearest
 
     kind = dict(docs.dtypes)[key]

@@ -142,6 +142,37 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r["predicted"] for y, r in truth if y) >= 0.9 * sum(y for y, _ in truth)
 
 
+def test_passages_hold_every_word_and_every_short_run():
+    rng = random.Random(8)
+    idf = {f"w{c}": 1.0 for c in "abcdef"}
+    for n in (0, 1, 9, 10, 11, 15, 16, 97):
+        words = [rng.choice([*idf, "x", "y"]) for _ in range(n)]
+        found = toxicity.passages(" ".join(words), idf, {}, 10)
+        starts = sorted({*range(0, max(n - 10, 0), 5), max(n - 10, 0)})
+        brute = [{toxicity.ALL: min(n, 10)} | {t: words[s : s + 10].count(t) for t in idf if t in words[s : s + 10]} for s in starts]
+        assert found == brute
+        for run in range(n - 4):
+            assert any(s <= run and run + 5 <= s + 10 for s in starts)
+
+
+def test_toxic_passage_in_a_long_clean_text(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(documents, labels.filter(~out))
+    judged = documents.join(labels.select("doc_id", "toxic"), "doc_id").filter("lang = 'en' AND length(text) > 200")
+    clean = [r["text"] for r in judged.filter("toxic = 0").orderBy("doc_id").limit(400).collect()]
+    scores = toxicity.score(judged.filter("toxic = 1"), model).filter("score > 0.9").orderBy("doc_id").limit(5)
+    toxic = [r["text"] for r in scores.join(documents.select("doc_id", "text"), "doc_id").collect()]
+    words, texts = " ".join(clean).split()[:5000], []
+    assert len(words) == 5000 and toxic
+    for i, t in enumerate(toxic):
+        at = (0, 5000, 2500, 1290, 4930)[i % 5]
+        texts.append((i, " ".join([*words[:at], *t.split()[:120], *words[at:]])))
+    texts.append((99, " ".join(words)))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert found.pop(99) < 0.5 and all(s >= 0.5 for s in found.values()), found
+
+
 def test_neighbours_are_exact():
     rng = random.Random(3)
     names = [f"w{i}" for i in range(30)]
