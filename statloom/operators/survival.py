@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.dist import chi2_tail, normal_quantile
 from statloom.functions.missing import clean, number
-from statloom.functions.ordered import BUCKET, find_cuts, running_sums, with_buckets
+from statloom.functions.ordered import Cuts, find_cuts, running_sums
 from statloom.result import ProfileResult, require_columns, require_count
 from statloom.session import cut_lineage
 
 MIN_GROUP = 5
-# Times whose risk sets of all groups are held at once.
-TIMES_AT_ONCE = 1024
+# The log-rank system is solved when the squared remainder has shrunk by this factor.
+SOLVED, MAX_ROUNDS = 1e-20, 1000
 
 
 def _durations(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
@@ -127,9 +125,12 @@ def _logrank(per_group: DataFrame, confidence_level: float, rows_per_bucket: int
     """The test from (group, timeline, n, events) counts.
 
     Expected events of a group are its members' cumulative hazards, read off one running
-    sum over all times. The covariance comes from blocks of times, each of which adds up
-    the products of the groups' risk sets in one task. Only vectors and the matrix over
-    the groups, and the groups' risk sets where a block begins, reach the driver.
+    sum over all times. The statistic is z'x with Vx = z, where z are events beyond the
+    expected ones and V their covariance. V is never formed: it is a diagonal less the
+    weighted products of the risk sets, so V times a vector is two running sums over the
+    times (``_risk_products``), and x comes from conjugate gradients, whose vectors are
+    tables with a row per group. Groups that no event finds at risk have neither variance
+    nor surplus and take no part.
     """
     spark = per_group.sparkSession
     schema = "test_statistic double, degrees_of_freedom int, p_value double, significant boolean"
@@ -143,47 +144,49 @@ def _logrank(per_group: DataFrame, confidence_level: float, rows_per_bucket: int
     risk = running_sums(overall, [], ["timeline"], {"gone": F.col("n")}, inclusive=False, cuts=cuts)
     steps = risk.select("timeline", (d / r).alias("hazard"), (factor / r).alias("spread"), (factor / (r * r)).alias("w"))
     hazards = cut_lineage(running_sums(steps, [], ["timeline"], {"h": F.col("hazard"), "a": F.col("spread")}, cuts=cuts))
-    members = cut_lineage(with_buckets(per_group.join(hazards.select("timeline", "h", "a", "w"), "timeline"), ["timeline"], cuts))
-    found = members.groupBy("group").agg(
-        F.sum("events").alias("o"), F.sum(F.col("n") * F.col("h")).alias("e"), F.sum(F.col("n") * F.col("a")).alias("v"), F.sum("n").alias("size")
-    ).orderBy("group").collect()
-    if not sum(g["o"] for g in found):
-        return spark.createDataFrame([(0.0, len(found) - 1, 1.0, False)], schema)
-    k = len(found)
-    place = spark.createDataFrame([(g["group"], i) for i, g in enumerate(found)], "group " + per_group.schema["group"].dataType.simpleString() + ", g int")
-    placed = members.join(place, "group").select(BUCKET, "timeline", "w", "g", "n")
-    # who is still at risk where a block of times begins
-    inside = {}
-    for row in placed.groupBy(BUCKET, "g").agg(F.sum("n").alias("n")).collect():
-        inside.setdefault(row[BUCKET], np.zeros(k))[row["g"]] = row["n"]
-    at_start, left = {}, np.array([float(g["size"]) for g in found])
-    for bucket in sorted(inside):
-        at_start[bucket], left = left, left - inside[bucket]
-
-    def products(block: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(block[BUCKET].iloc[0])
-        risk, out = at_start[bucket].copy(), np.zeros((k, k))
-        times, where = np.unique(block["timeline"].to_numpy(), return_inverse=True)
-        w, g, n = np.zeros(len(times)), block["g"].to_numpy(), block["n"].to_numpy()
-        w[where] = block["w"].to_numpy()
-        order = np.argsort(where, kind="stable")
-        bounds = np.searchsorted(where[order], np.arange(0, len(times) + TIMES_AT_ONCE, TIMES_AT_ONCE))
-        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-            rows, first = order[lo:hi], i * TIMES_AT_ONCE
-            gone = np.zeros((min(TIMES_AT_ONCE, len(times) - first), k))
-            np.add.at(gone, (where[rows] - first, g[rows]), n[rows])
-            before = risk - (np.cumsum(gone, axis=0) - gone)
-            out += before.T @ (before * w[first : first + len(gone), None])
-            risk = risk - gone.sum(axis=0)
-        i, j = np.triu_indices(k)
-        return pd.DataFrame({"i": i, "j": j, "q": out[i, j]})
-
-    cells = placed.groupBy(BUCKET).applyInPandas(products, "i int, j int, q double").groupBy("i", "j").agg(F.sum("q").alias("q")).collect()
-    v = np.zeros((k, k))
-    for c in cells:
-        v[c["i"], c["j"]] = v[c["j"], c["i"]] = -c["q"]
-    v[np.diag_indices(k)] += [g["v"] for g in found]
-    z = np.array([g["o"] - g["e"] for g in found])[:-1]
-    statistic = float(z @ np.linalg.pinv(v[:-1, :-1]) @ z)
-    p = chi2_tail(statistic, k - 1)
-    return spark.createDataFrame([(statistic, k - 1, p, bool(p < 1 - confidence_level))], schema)
+    found = per_group.join(hazards.select("timeline", "h", "a"), "timeline").groupBy("group").agg(
+        (F.sum("events") - F.sum(F.col("n") * F.col("h"))).alias("z"), F.sum(F.col("n") * F.col("a")).alias("v"), F.sum("n").alias("size")
+    )
+    groups = cut_lineage(found.filter("v > 0"))
+    statistic = _solved_form(per_group, hazards.select("timeline", "w"), groups, cuts)
+    p = chi2_tail(statistic, total["k"] - 1)
+    return spark.createDataFrame([(statistic, total["k"] - 1, p, bool(p < 1 - confidence_level))], schema)
+
+
+def _risk_products(per_group: DataFrame, weights: DataFrame, state: DataFrame, cuts: Cuts) -> DataFrame:
+    """``state`` with ``q``, the covariance times the vector in its column ``p``.
+
+    The first running sum gives, at every time, the risk sets' product with the vector: all
+    groups' members less those who left before. The second adds these products up to the
+    time at which a member leaves, and a group's value is the sum over its members.
+    """
+    whole = state.agg(F.sum(F.col("size") * F.col("p")).alias("s")).first()["s"]
+    leaving = per_group.join(state.select("group", "p"), "group").groupBy("timeline").agg(F.sum(F.col("n") * F.col("p")).alias("m"))
+    moved = weights.join(leaving, "timeline", "left").select("timeline", "w", F.coalesce("m", F.lit(0.0)).alias("m"))
+    left = running_sums(moved, [], ["timeline"], {"gone": F.col("m")}, inclusive=False, cuts=cuts)
+    product = left.select("timeline", (F.col("w") * (F.lit(whole) - F.col("gone"))).alias("ws"))
+    summed = running_sums(product, [], ["timeline"], {"u": F.col("ws")}, cuts=cuts)
+    common = per_group.join(summed.select("timeline", "u"), "timeline").groupBy("group").agg(F.sum(F.col("n") * F.col("u")).alias("c"))
+    return state.join(common, "group").select(*state.columns, (F.col("v") * F.col("p") - F.col("c")).alias("q"))
+
+
+def _solved_form(per_group: DataFrame, weights: DataFrame, groups: DataFrame, cuts: Cuts) -> float:
+    """z'x for Vx = z by conjugate gradients, scaled by ``v``, the larger part of the diagonal.
+
+    Each round writes its vectors once and brings three numbers to the driver.
+    """
+    size = groups.agg(F.sum(F.col("z") * F.col("z") / F.col("v")).alias("s")).first()["s"] or 0.0
+    start, statistic = size, 0.0
+    state = groups.select("group", "size", "v", "z", F.col("z").alias("r"), (F.col("z") / F.col("v")).alias("p"))
+    for _ in range(MAX_ROUNDS):
+        if size <= SOLVED * start:
+            return statistic
+        done = cut_lineage(_risk_products(per_group, weights, state, cuts))
+        along = done.agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.sum(F.col("z") * F.col("p")).alias("zp")).first()
+        step = size / along["pq"]
+        statistic += step * along["zp"]
+        rest = F.col("r") - F.lit(step) * F.col("q")
+        before, size = size, done.agg(F.sum(rest * rest / F.col("v")).alias("s")).first()["s"]
+        turned = rest / F.col("v") + F.lit(size / before) * F.col("p")
+        state = done.select("group", "size", "v", "z", rest.alias("r"), turned.alias("p"))
+    raise RuntimeError(f"the log-rank covariance was not solved in {MAX_ROUNDS} rounds")

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,14 +124,50 @@ def test_every_class_keeps_its_share(spark):
     assert rows(flagged.repartition(7)) == rows(relational.train_test_flag(df.repartition(5), ["id"], 0.2, stratify="c"))
 
 
-def test_logrank_of_many_groups_in_blocks(spark, monkeypatch):
+def test_logrank_of_many_groups_in_blocks(spark):
     df = spark.createDataFrame([(i % 40, float(i * 7 % 90), int(i % 3 != 0)) for i in range(2000)], "g int, t double, e int")
     whole = survival.logrank(df, "t", "e", "g").first()
-    monkeypatch.setattr(survival, "TIMES_AT_ONCE", 7)
     cut = survival.logrank(df, "t", "e", "g", rows_per_bucket=300).first()
     assert whole["degrees_of_freedom"] == 39 and abs(whole["test_statistic"] - cut["test_statistic"]) < 1e-8
 
 
+def direct_logrank(t, e, g):
+    """The statistic by the whole covariance matrix, and its degrees of freedom."""
+    names, at = np.unique(g, return_inverse=True)
+    k = len(names)
+    z, v = np.zeros(k), np.zeros((k, k))
+    for u in np.unique(t[e == 1]):
+        risk = np.bincount(at[t >= u], minlength=k).astype(float)
+        dead = np.bincount(at[(t == u) & (e == 1)], minlength=k).astype(float)
+        n, d = risk.sum(), dead.sum()
+        z += dead - d * risk / n
+        if n > 1:
+            v += d * (n - d) / (n - 1) * (np.diag(risk / n) - np.outer(risk, risk) / n**2)
+    return z @ np.linalg.pinv(v, rcond=1e-12) @ z, k - 1
+
+
+@pytest.mark.parametrize("size", [None, 60])
+def test_logrank_equals_the_direct_form(spark, size):
+    rng = np.random.RandomState(4)
+    n = 900
+    g = rng.randint(0, 20, n)
+    # groups differ in length and censoring; group 20 leaves before the first event, group 21 stays alone to the end
+    t = np.concatenate([1 + np.floor(rng.exponential(5 + g * 3)), [0.5] * 6, [500.0] * 5])
+    e = np.concatenate([(rng.rand(n) < 0.3 + g / 40).astype(int), [0] * 6, [1] * 5])
+    g = np.concatenate([g, [20] * 6, [21] * 5])
+    want, df = direct_logrank(t, e, g)
+    table = spark.createDataFrame(list(zip(g.tolist(), t.tolist(), e.tolist())), "g int, t double, e int")
+    got = survival.logrank(table, "t", "e", "g", rows_per_bucket=size).first()
+    assert got["degrees_of_freedom"] == df == 21 and abs(got["test_statistic"] - want) < 1e-8 * want
+
+
+def test_logrank_without_events_or_with_one_group(spark):
+    calm = spark.createDataFrame([(i % 3, float(i % 7), 0) for i in range(60)], "g int, t double, e int")
+    row = survival.logrank(calm, "t", "e", "g").first()
+    assert (row["test_statistic"], row["degrees_of_freedom"], row["significant"]) == (0.0, 2, False) and row["p_value"] == 1.0
+    assert survival.logrank(calm.withColumn("g", F.lit(1)), "t", "e", "g").count() == 0
+
+
 def test_isolation_forest_ignores_the_layout(spark):
     df = spark.createDataFrame([(i, float(i % 97), float(i * i % 31)) for i in range(3000)], "id int, a double, b double")
     found = [rows(anomaly.isolation_forest(df.repartition(n), ["a", "b"]).rows, "id", "is_anomaly") for n in (2, 7)]
