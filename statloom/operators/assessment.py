@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,18 +14,31 @@ from statloom.functions.missing import all_present, number
 from statloom.result import ProfileResult, as_list, quoted, require_columns, require_rows
 from statloom.session import cut_lineage
 
-# Ability grid with standard normal weights, and the points of the information curve.
+# Ability grid with standard normal weights (other priors stretch and shift it), and the points of the information curve.
 GRID = np.linspace(-4.0, 4.0, 41)
 PRIOR = np.exp(-GRID * GRID / 2) / np.exp(-GRID * GRID / 2).sum()
 INFORMATION_POINTS = [-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0]
 MAX_ROUNDS, TOLERANCE = 60, 1e-4
 DISCRIMINATION_RANGE = (0.25, 4.0)
 DIFFICULTY_RANGE = (-6.0, 6.0)
+STANDARD = "normal(0,1)"
 ITEM_SCHEMA = "item string, difficulty double, discrimination double, info_at_zero double"
 
 
-def _probability(a: float, b: float) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-a * (GRID - b)))
+def prior_scale(prior: str) -> tuple[float, float]:
+    """Mean and deviation of a prior written ``normal(mean,deviation)``."""
+    found = re.fullmatch(r"\s*normal\(([^,()]+),([^,()]+)\)\s*", prior)
+    try:
+        mean, deviation = (float(v) for v in found.groups()) if found else (math.nan, math.nan)
+    except ValueError:
+        mean = deviation = math.nan
+    if not (math.isfinite(mean) and 0 < deviation < math.inf):
+        raise ValueError(f"ability_prior must read normal(mean,deviation) with a positive deviation, not {prior!r}")
+    return mean, deviation
+
+
+def _probability(a: float, b: float, grid: np.ndarray = GRID) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-a * (grid - b)))
 
 
 def information(a: float, b: float, theta: float) -> float:
@@ -65,14 +79,19 @@ def _improve(a: float, b: float, right: np.ndarray, persons: np.ndarray) -> tupl
     return slope, float(np.clip(-offset / slope, *DIFFICULTY_RANGE))
 
 
-def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None = None, max_rounds: int = MAX_ROUNDS) -> ProfileResult:
+def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None = None, max_rounds: int = MAX_ROUNDS, ability_prior: str = STANDARD) -> ProfileResult:
     """Item difficulty and discrimination by marginal maximum likelihood, and abilities.
 
+    ``ability_prior``, as ``normal(mean,deviation)``, is the distribution of abilities, and
+    so the scale of abilities, difficulties and discriminations: items are fitted under the
+    standard one and moved to it, which gives the same likelihood. The metrics say in
+    ``converged`` whether the last round moved no value by the tolerance.
+
     Persons with the same answers collapse to one pattern. Each round folds the patterns
     to expected counts per item and grid point on the executors; the two-parameter updates
     work on those counts.
     """
-    items = as_list(item_columns)
+    items, (mean, deviation) = as_list(item_columns), prior_scale(ability_prior)
     if len(items) < 5:
         raise ValueError("an item response model needs five or more items")
     require_columns(df, item_columns=items)
@@ -84,43 +103,46 @@ def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None
     ).first()
     start = np.clip([share[f"p{i}"] for i in range(len(items))], 0.01, 0.99)
     a, b = np.ones(len(items)), -np.log(start / (1 - start))
-    for _ in range(max_rounds):
+    rounds, converged = 0, False
+    while rounds < max_rounds and not converged:
         folded = patterns.mapInPandas(_expected(a, b), "item int, counts array<double>")
         summed = folded.groupBy("item").agg(*[F.sum(F.get("counts", F.lit(j))).alias(f"c{j}") for j in range(len(GRID))])
         counts = {r["item"]: np.array(r[1:], dtype=float) for r in summed.collect()}  # items + 1 rows
         new = [_improve(a[i], b[i], counts[i], counts[-1]) for i in range(len(items))]
         na, nb = np.array([p[0] for p in new]), np.array([p[1] for p in new])
         change = max(np.abs(na - a).max(), np.abs(nb - b).max())
-        a, b = na, nb
-        if change < TOLERANCE:
-            break
+        a, b, rounds, converged = na, nb, rounds + 1, bool(change < TOLERANCE)
+    a, b = a / deviation, mean + deviation * b
     spark = df.sparkSession
     parameters = spark.createDataFrame(
         [(c, float(b[i]), float(a[i]), float(information(a[i], b[i], 0.0))) for i, c in enumerate(items)], ITEM_SCHEMA
     )
-    abilities = eap_abilities(df, {c: (float(a[i]), float(b[i])) for i, c in enumerate(items)}, person_id_column)
-    return ProfileResult(abilities, {"item_parameters": parameters, "person_abilities": abilities, "item_information": item_information(parameters)}, parameters)
+    metrics = spark.createDataFrame([(len(items), rounds, converged)], "items int, rounds int, converged boolean")
+    abilities = eap_abilities(df, {c: (float(a[i]), float(b[i])) for i, c in enumerate(items)}, person_id_column, ability_prior)
+    return ProfileResult(abilities, {"item_parameters": parameters, "person_abilities": abilities, "item_information": item_information(parameters)}, metrics)
 
 
-def eap_abilities(df: DataFrame, items: dict[str, tuple[float, float]], person_id_column: str | None = None) -> DataFrame:
+def eap_abilities(df: DataFrame, items: dict[str, tuple[float, float]], person_id_column: str | None = None, ability_prior: str = STANDARD) -> DataFrame:
     """Posterior mean ability and its deviation per person for known items.
 
     ``items`` maps a column to (discrimination, difficulty). Everything is one
     expression over literal log-probabilities; missing answers are skipped.
     """
     require_columns(df, item_columns=list(items))
+    mean, deviation = prior_scale(ability_prior)
+    grid = mean + deviation * GRID
     indices = F.sequence(F.lit(0), F.lit(len(GRID) - 1))
 
     def log_likelihood(i: Column) -> Column:
         total = F.lit(0.0)
         for c, (a, b) in items.items():
-            p = _probability(a, b)
+            p = _probability(a, b, grid)
             right, wrong = F.lit([float(v) for v in np.log(p)]), F.lit([float(v) for v in np.log1p(-p)])
             x = number(df, c)
             total = total + F.when(x.isNull(), 0.0).when(x > 0, F.get(right, i)).otherwise(F.get(wrong, i))
         return total
 
-    prior, nodes = F.lit([float(v) for v in PRIOR]), F.lit([float(v) for v in GRID])
+    prior, nodes = F.lit([float(v) for v in PRIOR]), F.lit([float(v) for v in grid])
     scored = df.withColumn("_like", F.transform(indices, log_likelihood)).withColumn("_top", F.array_max("_like"))
     weights = F.transform("_like", lambda v, i: F.exp(v - F.col("_top")) * F.get(prior, i))
     weighed = scored.withColumn("_w", weights).withColumn("_sum", _total("_w"))

@@ -21,9 +21,11 @@ SEED = 42
 
 
 def _task(df: DataFrame, target: str) -> str:
-    """Text, boolean and integer targets are classes, others are values."""
+    """Text and boolean targets are classes, decimals are values; whole numbers may be either."""
     kind = df.schema[target].dataType
-    return "classify" if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType)) else "regress"
+    if isinstance(kind, T.IntegralType):
+        raise ValueError(f"{target} has whole numbers: say with task='classify' or task='regress' whether they are classes or values")
+    return "classify" if isinstance(kind, (T.StringType, T.BooleanType)) else "regress"
 
 
 def random_forest(
@@ -41,7 +43,8 @@ def random_forest(
     """Forest trained on the train rows, scoring all complete rows, evaluated on the test rows.
 
     Adds ``predicted_class`` with one probability column per class, or
-    ``predicted_value``. The type of the target decides the task unless ``task`` names it.
+    ``predicted_value``. The type of the target decides the task unless ``task`` names it;
+    for whole numbers it has to.
     Trees grow as deep as the library lets them, 30 levels, unless ``max_depth`` is given.
     Classes keep their share among the test rows.
     """

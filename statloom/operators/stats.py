@@ -13,7 +13,7 @@ from statloom.functions.dist import chi2_tail_col, f_tail_col, t_two_sided, t_tw
 from statloom.functions.missing import all_present, number
 from statloom.functions.ordered import average_ranks
 from statloom.functions.totals import attach_totals
-from statloom.result import ProfileResult, as_list, numeric_features, quoted, require_columns, require_count
+from statloom.result import ProfileResult, as_list, numeric_features, quoted, require_columns, require_count, require_rows
 
 METHODS = ("pearson", "spearman", "mutual_info")
 MAX_PAIR_EXPRESSIONS = 435
@@ -158,6 +158,9 @@ def anova(
     work = df.filter(all_present(df, needed)).select(
         F.col(quoted(group_column)).alias("group"), number(df, metric_column).alias("x")
     )
+    require_rows(work, 10, "analysis of variance")
+    if work.filter(F.col("group") != F.lit(work.first()["group"])).isEmpty():
+        raise ValueError(f"{group_column} has one group only; analysis of variance compares two or more")
     summary = work.groupBy("group").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("_v")
     )
@@ -235,16 +238,17 @@ def chi_square(
     work = df.filter(all_present(df, needed)).select(
         F.col(quoted(row_column)).alias("row_value"), F.col(quoted(col_column)).alias("col_value"), weight.alias("w")
     )
-    cells = work.groupBy("row_value", "col_value").agg(F.sum("w").alias("observed"), F.count("*").alias("_rows"))
+    require_rows(work, 5, "a chi-square test")
+    cells = work.groupBy("row_value", "col_value").agg(F.sum("w").alias("observed"))
     by_row = cells.groupBy("row_value").agg(F.sum("observed").alias("_r"))
     by_col = cells.groupBy("col_value").agg(F.sum("observed").alias("_c"))
-    totals = cells.agg(F.sum("observed").alias("_n"), F.sum("_rows").alias("_rows"))
+    totals = cells.agg(F.sum("observed").alias("_n"))
     inverse = lambda c: F.sum(F.try_divide(F.lit(1.0), F.col(c)))
     shape = by_row.agg(F.count("*").alias("_nr"), inverse("_r").alias("_ir")).crossJoin(
         by_col.agg(F.count("*").alias("_nc"), inverse("_c").alias("_ic"))
     )  # one row each
     # every combination of the margins is a cell of the result
-    grid = by_row.crossJoin(by_col).join(cells.drop("_rows"), ["row_value", "col_value"], "left")
+    grid = by_row.crossJoin(by_col).join(cells, ["row_value", "col_value"], "left")
     full = attach_totals(attach_totals(grid, totals), shape).withColumns(
         {
             "observed": F.coalesce(F.col("observed"), F.lit(0.0)),
@@ -253,7 +257,7 @@ def chi_square(
     )
     # the statistic needs the observed cells only: an empty cell adds its expected count, and
     # the four cells of a 2×2 table are all off by the same amount
-    seen = attach_totals(attach_totals(cells.drop("_rows").join(by_row, "row_value").join(by_col, "col_value"), totals), shape)
+    seen = attach_totals(attach_totals(cells.join(by_row, "row_value").join(by_col, "col_value"), totals), shape)
     seen = seen.withColumn("expected", F.try_divide(F.col("_r") * F.col("_c"), F.col("_n")))
     gap = F.abs(F.col("observed") - F.col("expected"))
     two_by_two = (F.max("_nr") == 2) & (F.max("_nc") == 2)
@@ -264,13 +268,11 @@ def chi_square(
     v = F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.least("_nr", "_nc") - 1)))
     test = (
         seen.agg(
-            F.max("_rows").alias("_rows"),
             F.max("_nr").alias("_nr"),
             F.max("_nc").alias("_nc"),
             F.floor(F.max("_n")).alias("n"),
             chi2.alias("chi2"),
         )
-        .filter("_rows >= 5")
         .withColumn("degrees_of_freedom", (F.col("_nr") - 1) * (F.col("_nc") - 1))
         .withColumn("p_value", chi2_tail_col("chi2", F.col("degrees_of_freedom").cast("double")))
         .withColumn("cramers_v", F.coalesce(v, F.lit(0.0)))

@@ -21,7 +21,7 @@ def _(t):
 @query("f9_forest_report")
 def _(t):
     part = t("part").withColumn("big", (F.col("p_size") > 25).cast("int"))
-    result = forest.random_forest(part, "big", ["p_size", "p_retailprice"], id_columns=["p_partkey"])
+    result = forest.random_forest(part, "big", ["p_size", "p_retailprice"], task="classify", id_columns=["p_partkey"])
     return result.tables["classification_report"]
 
 
@@ -29,7 +29,7 @@ def _(t):
 @query("f9_forest_learns_rule", "SELECT p_partkey, CASE WHEN p_size > 25 THEN '1' ELSE '0' END AS predicted_class FROM part")
 def _(t):
     part = t("part").withColumn("big", (F.col("p_size") > 25).cast("int"))
-    result = forest.random_forest(part, "big", ["p_size"], id_columns=["p_partkey"])
+    result = forest.random_forest(part, "big", ["p_size"], task="classify", id_columns=["p_partkey"])
     return result.rows.select("p_partkey", "predicted_class")
 
 

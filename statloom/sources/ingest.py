@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.ordered import numbered
-from statloom.result import ProfileResult, as_list, quoted, require_columns
+from statloom.result import ProfileResult, as_list, quoted, require_columns, require_rows
 from statloom.session import cut_lineage
 
 # Nesting depth of the coordinates of each geometry type (fixed values).
@@ -170,7 +170,10 @@ def ingest_pages(
     include_page_numbers: bool = True,
     keep: list[str] | None = None,
 ) -> ProfileResult:
-    """One row per page of a document text; short pages drop out but count in the numbers."""
+    """One row per page of a document text; short pages drop out but count in the numbers.
+
+    Where no page at all is long enough, that is an error.
+    """
     require_columns(df, text_column=text_column)
     kept = [quoted(c) for c in as_list(keep)]
     pages = df.select(
@@ -179,6 +182,7 @@ def ingest_pages(
     ).withColumn("char_count", F.length("text"))
     long_enough = F.col("char_count") >= min_page_length
     rows = pages.filter(long_enough).withColumn("page_number", F.col("_pos") + 1)
+    require_rows(rows, 1, f"pages of {min_page_length} or more characters")
     columns = [*kept, *(["page_number"] if include_page_numbers else []), "text", "char_count"]
     metrics = pages.agg(
         F.count("*").alias("total_pages"),

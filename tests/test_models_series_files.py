@@ -119,6 +119,8 @@ def test_forest_profiles(spark):
     assert row["predicted_class"] is None and row["predicted_prob_pass"] is None
     assert result.rows.filter("abs(predicted_prob_pass + predicted_prob_fail - 1) < 1e-9").count() == 199
     assert result.tables["feature_importances"].first()["feature"] == "x"
+    with pytest.raises(ValueError, match="task"):
+        forest.random_forest(df.withColumn("w", F.col("id").cast("long")), "w", ["x", "z"])
     values = forest.random_forest(df, "y", ["x", "z"], n_estimators=10, id_columns=["id"])
     assert values.metrics.first()["task"] == "regress" and values.metrics.first()["r_squared"] > 0.8
 
@@ -181,8 +183,20 @@ def test_item_response_recovers_parameters(spark):
     found = result.tables["person_abilities"].orderBy("person_id").toPandas()
     assert np.corrcoef(found["theta"], theta)[0, 1] > 0.65 and (found["se"] > 0).all()
     assert result.tables["item_information"].count() == 42
+    assert result.metrics.first()["converged"] is True
+    # another prior is another scale: the same fit, moved and stretched
+    moved = assessment.irt_2pl(spark.createDataFrame(pdf), [f"item_{i}" for i in range(6)], "who", ability_prior="normal(50, 10)")
+    for r, m in zip(result.tables["item_parameters"].collect(), moved.tables["item_parameters"].collect()):
+        assert close(m["difficulty"], 50 + 10 * r["difficulty"]) and close(m["discrimination"], r["discrimination"] / 10)
+    there = moved.tables["person_abilities"].orderBy("person_id").toPandas()
+    assert np.allclose(there["theta"], 50 + 10 * found["theta"]) and np.allclose(there["se"], 10 * found["se"])
+    early = assessment.irt_2pl(spark.createDataFrame(pdf), [f"item_{i}" for i in range(6)], "who", max_rounds=1)
+    assert tuple(early.metrics.first()) == (6, 1, False)
     with pytest.raises(ValueError):
         assessment.irt_2pl(spark.createDataFrame(pdf), ["item_0"])
+    for prior in ("uniform(0,1)", "normal(0,0)", "normal(a,1)", "normal(0,-1)"):
+        with pytest.raises(ValueError, match="ability_prior"):
+            assessment.irt_2pl(spark.createDataFrame(pdf), [f"item_{i}" for i in range(6)], ability_prior=prior)
 
 
 # --- files ------------------------------------------------------------------------------
@@ -253,6 +267,8 @@ def test_pages_keep_their_numbers(spark):
     result = ingest.ingest_pages(df, "t")
     assert rows(result.rows, "page_number", "char_count") == [(1, 60), (3, 50)]
     assert result.metrics.first()["avg_chars_per_page"] == 55.0
+    with pytest.raises(ValueError):
+        ingest.ingest_pages(df, "t", min_page_length=61)
 
 
 def test_grid_flattening(spark):

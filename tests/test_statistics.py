@@ -77,6 +77,17 @@ def test_anova_of_equal_values(spark):
     assert row["f_statistic"] is None and row["eta_squared"] == 0.0
 
 
+def test_too_few_rows_or_groups_are_errors(spark):
+    df = spark.createDataFrame([(float(i), "ab"[i % 2], "x", None if i < 8 else "p") for i in range(12)], "x double, g string, one string, few string")
+    for group in ("one", "few"):
+        with pytest.raises(ValueError):
+            stats.anova(df, "x", group)
+    with pytest.raises(ValueError):
+        stats.anova(df.filter("x < 9"), "x", "g")
+    with pytest.raises(ValueError):
+        stats.chi_square(df, "few", "g")
+
+
 def test_chi_square_two_by_two_has_the_correction(spark):
     data = [("yes", 1)] * 30 + [("yes", 0)] * 10 + [("no", 1)] * 50 + [("no", 0)] * 10
     row = stats.chi_square(spark.createDataFrame(data, "pell string, kept int"), "pell", "kept").metrics.first()
