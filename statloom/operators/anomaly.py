@@ -126,14 +126,16 @@ def isolation_forest(
 ) -> ProfileResult:
     """Flag the share of rows that random trees isolate fastest.
 
-    The threshold is the exact contamination quantile of all scores.
+    The threshold is the exact contamination quantile of all scores. Rows are written once
+    with their scores, so that the trees, by far the dearest part, see every row once.
     """
     features = as_list(features) or numeric_features(df)
     require_columns(df, features=features)
     if df.filter(all_present(df, features)).isEmpty():
         return _no_scores(df, return_scores)
     n, scored = isolation_scores(df, features, seed=seed)
-    scores = cut_lineage(scored.select("anomaly_score"))
+    scored = cut_lineage(scored)
+    scores = scored.select("anomaly_score")
     threshold = exact_quantile(scores, "anomaly_score", q=contamination, out="t").first()["t"]
     flag = F.when(F.col("anomaly_score").isNotNull(), F.col("anomaly_score") < F.lit(threshold))
     keep = [quoted(c) for c in df.columns]
