@@ -56,8 +56,12 @@ def pelt(x: np.ndarray, model: str, min_size: int, penalty: float, jump: int = J
     return sorted(cuts)
 
 
-def _loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Local linear fits of an evenly spaced series at given positions, tricube weights."""
+def _loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray, whole: int) -> np.ndarray:
+    """Local linear fits of an evenly spaced series at given positions, tricube weights.
+
+    ``whole`` is the length of the series that ``y`` is a piece of: fits without slope are
+    decided by it.
+    """
     n = len(y)
     q = min(span, n)
     left = np.clip(np.floor(at).astype(int) - q // 2 + (0 if q % 2 else 1), 0, n - q)
@@ -73,7 +77,7 @@ def _loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray) -> np.
     w = w / safe[:, None]
     mean = (w * gap).sum(1)
     spread = (w * (gap - mean[:, None]) ** 2).sum(1)
-    slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), -mean / np.where(spread > 0, spread, 1.0), 0.0)
+    slope = np.where(np.sqrt(spread) > 0.001 * (whole - 1), -mean / np.where(spread > 0, spread, 1.0), 0.0)
     w = w * (1 + slope[:, None] * (gap - mean[:, None]))
     return np.where(total > 0, (w * y[idx]).sum(1), np.nan)
 
@@ -89,6 +93,8 @@ def _odd_above(v: float) -> int:
 
 
 SEASONAL_SPAN, INNER, OUTER = 7, 2, 15
+# Residuals of this many medians and more have no weight in the next round.
+OUTLIER_SCALE = 6
 
 
 def trend_span(period: int) -> int:
@@ -99,40 +105,56 @@ def low_pass_span(period: int) -> int:
     return period + 1 if period % 2 == 0 else period + 2
 
 
-def stl(y: np.ndarray, period: int, phase: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Robust seasonal-trend decomposition by loess: trend, seasonal and residual.
+def stl_reach(period: int) -> int:
+    """Rows on each side that a value depends on within one round of ``stl_round``."""
+    step = (SEASONAL_SPAN + 1) * period // 2 + low_pass_span(period) // 2 + trend_span(period) // 2 + period + 4
+    return INNER * step
+
 
-    ``phase`` is the position of the first value within the period, so pieces of one
-    series use the same sub-series.
+def stl_round(
+    y: np.ndarray, trend: np.ndarray, rho: np.ndarray, period: int, phase: int, whole: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasonal part after one round of smoothing with given weights of the rows.
+
+    ``phase`` is the position of the first value within the period and ``whole`` the length
+    of the series, so that a piece of a series has the values of the whole one wherever it
+    goes on for ``stl_reach`` rows to both sides.
     """
     n = len(y)
-    trend, seasonal, rho = np.zeros(n), np.zeros(n), np.ones(n)
     positions, t_span, l_span = np.arange(n, dtype=float), trend_span(period), low_pass_span(period)
+    for _ in range(INNER):
+        free = y - trend
+        cycle = np.zeros(n + 2 * period)
+        for k in range(period):
+            part = slice((k - phase) % period, n, period)
+            sub = free[part]
+            if not len(sub):
+                continue
+            at = np.arange(-1, len(sub) + 1, dtype=float)
+            fitted = _loess(sub, SEASONAL_SPAN, at, rho[part], (whole - k + period - 1) // period)
+            fitted = np.where(np.isnan(fitted), np.concatenate([[sub[0]], sub, [sub[-1]]]), fitted)
+            cycle[part.start : part.start + period * len(fitted) : period] = fitted
+        low = _average(_average(_average(cycle, period), period), 3)
+        low = _loess(low, l_span, positions, np.ones(n), whole)
+        seasonal = cycle[period : period + n] - low
+        trend = _loess(y - seasonal, t_span, positions, rho, whole)
+        trend = np.where(np.isnan(trend), y - seasonal, trend)
+    return trend, seasonal
+
+
+def stl(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust seasonal-trend decomposition by loess: trend, seasonal part and residual."""
+    n = len(y)
+    trend, rho = np.zeros(n), np.ones(n)
     for _ in range(OUTER + 1):
-        for _ in range(INNER):
-            free = y - trend
-            cycle = np.zeros(n + 2 * period)
-            for k in range(period):
-                part = slice((k - phase) % period, n, period)
-                sub = free[part]
-                if not len(sub):
-                    continue
-                at = np.arange(-1, len(sub) + 1, dtype=float)
-                fitted = _loess(sub, SEASONAL_SPAN, at, rho[part])
-                fitted = np.where(np.isnan(fitted), np.concatenate([[sub[0]], sub, [sub[-1]]]), fitted)
-                cycle[part.start : part.start + period * len(fitted) : period] = fitted
-            low = _average(_average(_average(cycle, period), period), 3)
-            low = _loess(low, l_span, positions, np.ones(n))
-            seasonal = cycle[period : period + n] - low
-            trend = _loess(y - seasonal, t_span, positions, rho)
-            trend = np.where(np.isnan(trend), y - seasonal, trend)
+        trend, seasonal = stl_round(y, trend, rho, period, 0, n)
         residual = y - trend - seasonal
-        scale = 6 * np.median(np.abs(residual))
+        scale = OUTLIER_SCALE * np.median(np.abs(residual))
         if scale <= 0:
             break
         u = np.abs(residual) / scale
         rho = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
-    return trend, seasonal, y - trend - seasonal
+    return trend, seasonal, residual
 
 
 def design(t: np.ndarray, days: np.ndarray, knots: int, yearly: np.ndarray, weekly: np.ndarray) -> np.ndarray:

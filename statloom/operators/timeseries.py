@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.functions.missing import epoch_seconds, moment, number
-from statloom.functions.ordered import BUCKET, Cuts, find_cuts, previous_row, running_sums, with_buckets
-from statloom.functions.series import JUMP, design, low_pass_span, pelt, stl, trend_span
+from statloom.functions.ordered import BUCKET, Cuts, exact_quantile, find_cuts, previous_row, running_sums, with_buckets
+from statloom.functions.series import JUMP, OUTER, OUTLIER_SCALE, design, pelt, stl, stl_reach, stl_round
 from statloom.operators.relational import union_all
 from statloom.result import ProfileResult, quoted, require_columns
 from statloom.session import cut_lineage
@@ -270,19 +270,46 @@ def segment_ids(df: DataFrame, flag: str, order: list[str], keys: list[str] = ()
 # --- decomposition ----------------------------------------------------------------------
 
 
-def _decompose_piece(piece: pd.DataFrame) -> pd.DataFrame:
+PARTS = "trend double, seasonal double, residual double"
+
+
+def _decompose_whole(series: pd.DataFrame) -> pd.DataFrame:
+    series = series.sort_values("_pos")
+    trend, seasonal, residual = stl(series["_f"].to_numpy(dtype=float), int(series["_period"].iloc[0]))
+    return pd.DataFrame({"_series": series["_series"], "_pos": series["_pos"], "trend": trend, "seasonal": seasonal, "residual": residual})
+
+
+def _round_of_piece(piece: pd.DataFrame) -> pd.DataFrame:
+    """One round of smoothing on the rows of a piece; a series without residuals is left as it is."""
     piece = piece.sort_values("_pos")
-    period = int(piece["_period"].iloc[0])
-    trend, seasonal, residual = stl(piece["_f"].to_numpy(dtype=float), period, int(piece["_pos"].iloc[0]) % period)
-    out = pd.DataFrame(
-        {"_series": piece["_series"], "_pos": piece["_pos"], "trend": trend, "seasonal": seasonal, "residual": residual}
-    )
-    return out[piece["_core"].to_numpy()]
+    if not piece["_fits"].iloc[0]:
+        y, start = piece["_f"].to_numpy(dtype=float), int(piece["_pos"].iloc[0])
+        period, whole = int(piece["_period"].iloc[0]), int(piece["_n"].iloc[0])
+        trend, seasonal = stl_round(y, piece["trend"].to_numpy(dtype=float), piece["_rho"].to_numpy(dtype=float), period, start % period, whole)
+        piece = piece.assign(trend=trend, seasonal=seasonal)
+    return piece.loc[piece["_core"], ["_series", "_pos", "_f", "_period", "_n", "trend", "seasonal", "_fits"]]
+
 
+def _decompose_rounds(values: DataFrame, piece: int, reach: int, rows_per_bucket: int | None) -> DataFrame:
+    """The decomposition of series of any length, a round at a time.
 
-def _stl_overlap(period: int) -> int:
-    """Rows that reach a value within a few rounds of all three smoothers."""
-    return 4 * (4 * period + trend_span(period) // 2 + low_pass_span(period) // 2 + period + 2)
+    A round runs on pieces with the rows that their values depend on, so it gives what the
+    whole series would. The scale that decides what an outlier is, is the exact median of
+    the whole series' residuals, found between the rounds.
+    """
+    state = values.withColumns({"trend": F.lit(0.0), "seasonal": F.lit(0.0), "_rho": F.lit(1.0), "_fits": F.lit(False)})
+    shape = "_series string, _pos long, _f double, _period int, _n long, trend double, seasonal double, _fits boolean"
+    residual = F.col("_f") - F.col("trend") - F.col("seasonal")
+    for step in range(OUTER + 1):
+        pieces = _piece_rows(state, piece, reach)
+        smoothed = cut_lineage(pieces.groupBy("_series", "_piece").applyInPandas(_round_of_piece, shape))
+        if step == OUTER:
+            return smoothed.select("_series", "_pos", "trend", "seasonal", residual.alias("residual"))
+        left = smoothed.select("_series", F.abs(residual).alias("_left"))
+        scales = exact_quantile(left, "_left", ["_series"], out="_scale", rows_per_bucket=rows_per_bucket)
+        u = F.try_divide(F.abs(residual), OUTLIER_SCALE * F.col("_scale"))
+        weight = F.when(u <= 0.001, 1.0).when(u <= 0.999, (1 - u * u) * (1 - u * u)).otherwise(0.0)
+        state = smoothed.join(cut_lineage(scales), "_series").withColumns({"_rho": weight, "_fits": F.col("_scale") <= 0}).drop("_scale")
 
 
 def decompose(
@@ -298,10 +325,10 @@ def decompose(
 ) -> ProfileResult:
     """Trend, seasonal part and residual per series.
 
-    Additive: robust loess decomposition. Its smoothers are local, so long series run in
-    pieces whose overlap covers several rounds of smoothing, each with its own scale for
-    down-weighting outliers. Multiplicative: centred
-    moving averages and mean ratios by phase. Series shorter than two periods stay NULL.
+    Additive: robust loess decomposition. A series up to ``piece`` rows is one group; a
+    longer one goes through its rounds in pieces, with the same values. Multiplicative:
+    centred moving averages and mean ratios by phase. Series shorter than two periods stay
+    NULL.
     """
     if model not in ("additive", "multiplicative"):
         raise ValueError("model must be 'additive' or 'multiplicative'")
@@ -318,13 +345,17 @@ def decompose(
     fit = sizes.filter((F.col("_n") >= 2 * F.col("_period")) & (F.col("_known") > 0)).drop("_known")
     rows = cut_lineage(_neighbours(placed, cuts).withColumn("_f", _filled(True)).drop("_prev", "_next"))
     values = rows.select("_series", "_pos", "_f").join(fit, "_series")
-    periods = [r[0] for r in fit.select("_period").distinct().collect()]  # one given, or at most five inferred
+    # one period given, or at most five inferred
+    found = fit.agg(F.collect_set("_period").alias("periods"), F.coalesce(F.max("_n"), F.lit(0)).alias("longest")).first()
+    periods, longest = sorted(found["periods"]), found["longest"]
     if model == "additive" or not periods:
-        overlap = _stl_overlap(max(periods, default=2))
-        pieces = _piece_rows(values, max(piece, overlap), overlap)
-        parts = pieces.groupBy("_series", "_piece").applyInPandas(
-            _decompose_piece, "_series string, _pos long, trend double, seasonal double, residual double"
-        )
+        reach = stl_reach(max(periods, default=2))
+        length = max(piece, reach)
+        short = values.filter(F.col("_n") <= length)
+        parts = short.groupBy("_series").applyInPandas(_decompose_whole, f"_series string, _pos long, {PARTS}")
+        if longest > length:
+            long = values.filter(F.col("_n") > length)
+            parts = parts.unionByName(_decompose_rounds(long, length, reach, rows_per_bucket))
     else:
         parts = _classical(values, periods)
     out = rows.join(parts, ["_series", "_pos"], "left").select(*[quoted(c) for c in df.columns], "trend", "seasonal", "residual")
