@@ -114,7 +114,8 @@ def _classify(df, vectors, target, features, common, class_weight) -> ProfileRes
 
 def _regress(df, vectors, target, features, common, _class_weight) -> ProfileResult:
     labelled = vectors.withColumn("_y", number(df, target))
-    model = RandomForestRegressor(**common, predictionCol="_p").fit(labelled.filter("_ok and not _test"))
+    # every cut of a regression tree may use any feature; classification trees draw some per cut
+    model = RandomForestRegressor(**common, predictionCol="_p", featureSubsetStrategy="all").fit(labelled.filter("_ok and not _test"))
     rows = model.transform(labelled).withColumn("predicted_value", F.when(F.col("_ok"), F.col("_p")))
     error = F.col("_y") - F.col("predicted_value")
     metrics = (
