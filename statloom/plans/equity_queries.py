@@ -146,6 +146,17 @@ def _(t):
     return _aid(t).tables["regression_summary"]
 
 
+# At the maximum of the likelihood the gaps between outcome and probability, alone and times
+# each regressor, add up to nothing; probabilities are rounded to four places.
+@query("j11_score_equations", "SELECT unnest(['one', 'net_price', 'total_grants', 'total_loans']) AS regressor, true AS met FROM (SELECT count(*) FROM orders)")
+def _(t):
+    gap = F.col("persistence_flag") - F.col("predicted_persistence_prob")
+    rows = _aid(t).rows.withColumn("one", F.lit(1.0))
+    names = ["one", "net_price", "total_grants", "total_loans"]
+    pulls = rows.agg(*[(F.avg(gap * F.col(c)) / F.avg(F.abs(F.col(c)))).alias(c) for c in names])
+    return pulls.unpivot([], names, "regressor", "pull").select("regressor", (F.abs("pull") < 1e-4).alias("met"))
+
+
 @query("j11_persistence_rows")
 def _(t):
     return _aid(t).rows.select("student_id", "aid_year", "aid_band", "net_price", "predicted_persistence_prob", "unmet_need")

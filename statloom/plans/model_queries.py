@@ -45,6 +45,24 @@ def _(t):
     return result.tables["feature_importances"]
 
 
+# A target that is a step of one feature: every tree cuts there, whatever rows it drew.
+def _step(t):
+    part = t("part").select("p_partkey", (F.col("p_size") % 16).alias("slot"), F.lit(1.0).alias("same"))
+    target = F.when(F.col("slot") >= 8, 10.0).otherwise(2.5)
+    return forest.random_forest(part.withColumn("level", target), "level", ["slot", "same"], id_columns=["p_partkey"], n_estimators=30)
+
+
+@query("f10_forest_finds_step", "SELECT p_partkey, CASE WHEN p_size % 16 >= 8 THEN 10.0 ELSE 2.5 END::DOUBLE AS predicted_value FROM part")
+def _(t):
+    return rounded(_step(t).rows.select("p_partkey", "predicted_value"), 6)
+
+
+@query("f12_importance_of_step", """
+SELECT 'slot' AS feature, CASE WHEN count(DISTINCT p_size % 16 >= 8) = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM part UNION ALL SELECT 'same', 0.0""")
+def _(t):
+    return _step(t).tables["feature_importances"]
+
+
 def _customers(t):
     totals = t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spend"), F.count("*").alias("orders"))
     return t("customer").join(totals, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_acctbal", "spend", "orders")
@@ -131,6 +149,17 @@ def _(t):
     return result.rows
 
 
+@query("g5_planted_anomalies_explained", """
+SELECT o_orderkey, true AS is_anomaly,
+ CASE o_orderpriority WHEN '5-LOW' THEN 'novel_candidate' WHEN '1-URGENT' THEN 'instrument_error' WHEN '2-HIGH' THEN 'known_noise' WHEN '4-NOT SPECIFIED' THEN 'novel_candidate' ELSE 'reported_effect' END AS anomaly_class,
+ CASE o_orderpriority WHEN '5-LOW' THEN 0.5 WHEN '1-URGENT' THEN 0.8 WHEN '2-HIGH' THEN 0.7 WHEN '4-NOT SPECIFIED' THEN 0.6 ELSE 0.75 END::DOUBLE AS confidence
+FROM orders WHERE o_orderkey % 500 = 0 AND o_totalprice > 50000""")
+def _(t):
+    result = anomaly.anomaly_hypothesis(_planted(t), ["price"], "behavioral", literature=_literature(t), literature_keys=["o_orderpriority"])
+    planted = result.rows.filter("o_orderkey % 500 = 0 and price > 5000000")
+    return planted.select("o_orderkey", "is_anomaly", "anomaly_class", "confidence")
+
+
 @query("g6_classify_anomalies", """
 WITH o AS (SELECT o_orderkey, o_orderpriority AS p, o_totalprice > 400000 AS f FROM orders)
 SELECT o_orderkey, f AS is_anomaly,
@@ -161,6 +190,34 @@ def _(t):
     return assessment.irt_2pl(_responses(t), ITEMS, "person").tables["item_parameters"]
 
 
+def _drawn_responses(t):
+    """Answers of orders whose ability and luck are hashes of their keys."""
+    share = lambda *salt: F.pmod(F.xxhash64("o_orderkey", *map(F.lit, salt)), F.lit(100_003)) / 100_003
+    ability = sum((share("ability", i) for i in range(12)), F.lit(-6.0))  # twelve uniforms: mean 0, deviation 1
+    right = {i: 1 / (1 + F.exp(-a * (F.col("ability") - b))) for i, (a, b) in PARAMETERS.items()}
+    answers = [(share("luck", i) < p).cast("int").alias(i) for i, p in right.items()]
+    return t("orders").withColumn("ability", ability).select(F.col("o_orderkey").alias("person"), *answers)
+
+
+# At the maximum of the likelihood the answers expected of all persons, and their products
+# with ability, are the observed ones: both gaps are 0 per person, for every item.
+@query("j7_likelihood_equations", f"SELECT unnest({ITEMS}) AS item, true AS level_met, true AS slope_met FROM (SELECT count(*) FROM orders)")
+def _(t):
+    answers = _drawn_responses(t)
+    fitted = assessment.irt_2pl(answers, ITEMS, "person", max_rounds=400).tables["item_parameters"].collect()  # one row per item
+    x = F.col("x")
+    right = {r["item"]: 1 / (1 + F.exp(-r["discrimination"] * (x - r["difficulty"]))) for r in fitted}
+    said = {i: F.log(F.when(F.col(i) == 1, right[i]).otherwise(1 - right[i])) for i in ITEMS}
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda g: -4 + 0.2 * g))
+    patterns = answers.groupBy(*ITEMS).agg(F.count("*").alias("n")).withColumn("x", grid)
+    weighed = patterns.withColumn("w", F.exp(sum(said.values(), -x * x / 2)))
+    shares = weighed.groupBy(*ITEMS).agg(F.sum("w").alias("all_w")).join(weighed, ITEMS).withColumn("w", F.col("n") * F.col("w") / F.col("all_w"))
+    gaps = F.array(*[F.struct(F.lit(i).alias("item"), ((F.col(i) - right[i]) * F.col("w")).alias("gap")) for i in ITEMS])
+    spread = shares.select("x", "w", F.explode(gaps).alias("g"))
+    met = lambda v: F.abs(F.sum(v) / F.sum("w")) < 1e-3
+    return spread.groupBy("g.item").agg(met(F.col("g.gap")).alias("level_met"), met(F.col("g.gap") * x).alias("slope_met"))
+
+
 def _log_sum() -> str:
     parts = []
     for c, (a, b) in PARAMETERS.items():

