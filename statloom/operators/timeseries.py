@@ -401,16 +401,27 @@ def _features(batch: pd.DataFrame) -> np.ndarray:
 
 
 def _partial_sums(batches):
-    """X'X, X'y and y'y per series of one batch, flattened (n rows per date weigh in)."""
+    """X'X, X'y and y'y per series, flattened (n rows per date weigh in).
+
+    Rows come sorted by series, so sums of the series at hand go on into the next batch and a
+    task writes one record per series.
+    """
+    at, total, rows = None, None, 0.0
     for batch in batches:
         x, y, w = _features(batch), batch["y"].to_numpy(float), batch["n"].to_numpy(float)
         z = np.column_stack([x, y])
-        for key, idx in batch.groupby("series").indices.items():
+        found = batch.groupby("series", sort=False).indices
+        for key, idx in found.items():
             part = z[idx]
             sums = (part * w[idx, None]).T @ part
             # squares of y within a date come apart from the mean
             sums[-1, -1] += batch["within"].to_numpy(float)[idx].sum()
-            yield pd.DataFrame({"series": [key], "n": [float(w[idx].sum())], "sums": [sums.ravel()]})
+            if at is not None and key != at:
+                yield pd.DataFrame({"series": [at], "n": [rows], "sums": [total.ravel()]})
+                total, rows = None, 0.0
+            at, total, rows = key, sums if total is None else total + sums, rows + float(w[idx].sum())
+    if at is not None:
+        yield pd.DataFrame({"series": [at], "n": [rows], "sums": [total.ravel()]})
 
 
 def _solve(batches):
@@ -425,8 +436,9 @@ def _solve(batches):
             penalty[2 : 2 + KNOTS] = 1e-4 * max(n, 1.0)
             beta = np.linalg.lstsq(xx + np.diag(penalty), xy, rcond=None)[0]
             error = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0) / max(n - 2, 1.0)
-            out.append((beta, float(error**0.5)))
-        yield pd.DataFrame({"series": batch["series"], "beta": [b for b, _ in out], "sigma": [s for _, s in out]})
+            out.append((beta, float(error**0.5), float(np.abs(beta[2 : 2 + KNOTS]).mean())))
+        beta, sigma, bend = zip(*out) if out else ((), (), ())
+        yield pd.DataFrame({"series": batch["series"], "beta": beta, "sigma": sigma, "bend": bend})
 
 
 def _predict(batches):
@@ -436,11 +448,24 @@ def _predict(batches):
         trend = (x[:, :cut] * beta[:, :cut]).sum(1)
         yearly = (x[:, cut:waves] * beta[:, cut:waves]).sum(1)
         weekly = (x[:, waves:] * beta[:, waves:]).sum(1)
+        spread = _spread(batch["sigma"].to_numpy(float), batch["bend"].to_numpy(float), batch["t"].to_numpy(float))
         yield pd.DataFrame(
-            {"series": batch["series"], "ds": batch["ds"], "fit": trend + yearly + weekly, "trend": trend, "yearly": yearly, "sigma": batch["sigma"], "is_forecast": batch["is_forecast"]}
+            {"series": batch["series"], "ds": batch["ds"], "fit": trend + yearly + weekly, "trend": trend, "yearly": yearly, "spread": spread, "is_forecast": batch["is_forecast"]}
         )
 
 
+def _spread(sigma: np.ndarray, bend: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Deviation of the values around the forecast, the training time being 0 to 1.
+
+    The trend goes on bending as often as there are hinges, by changes of slope whose mean
+    size is that of the fitted ones (double exponential, variance twice its square). A change
+    at s has moved the trend by its size times t - s: the sum has a variance with the cube of
+    the time since the last date.
+    """
+    ahead = np.maximum(t - 1.0, 0.0)
+    return np.sqrt(sigma**2 + KNOTS * 2.0 * bend**2 * ahead**3 / 3.0)
+
+
 def forecast(
     df: DataFrame,
     date_column: str,
@@ -452,6 +477,9 @@ def forecast(
 ) -> ProfileResult:
     """Trend with hinges plus yearly and weekly waves per series, with 80 % intervals.
 
+    Intervals widen after the last date, since the trend may bend again. The table ``series``
+    has the frequency and the first and last forecast date of every series.
+
     Rows of one date are folded to count, mean and spread before the fit; normal
     equations are summed over all tasks and solved per series. The multiplicative mode
     fits the logarithm of (positive) values.
@@ -492,30 +520,34 @@ def forecast(
         )
 
     columns = ["series", "t", "days", "yearly", "weekly"]
-    partial = placed(train).select(*columns, "y", "n", "within").mapInPandas(_partial_sums, "series string, n double, sums array<double>")
+    ordered = placed(train).select(*columns, "y", "n", "within").sortWithinPartitions("series")
+    partial = ordered.mapInPandas(_partial_sums, "series string, n double, sums array<double>")
     summed = partial.withColumn("v", array_to_vector("sums")).groupBy("series").agg(
         Summarizer.sum(F.col("v")).alias("v"), F.sum("n").alias("n")
     )
     model = cut_lineage(
-        summed.select("series", "n", vector_to_array("v").alias("sums")).mapInPandas(_solve, "series string, beta array<double>, sigma double")
+        summed.select("series", "n", vector_to_array("v").alias("sums")).mapInPandas(_solve, "series string, beta array<double>, sigma double, bend double")
     )
     points = train.select("series", "ds").unionByName(future) if include_history else future
     scored = (
         placed(points)
         .join(model, "series")
-        .select(*columns, "ds", "is_forecast", "beta", "sigma")
-        .mapInPandas(_predict, "series string, ds timestamp_ntz, fit double, trend double, yearly double, sigma double, is_forecast boolean")
+        .select(*columns, "ds", "is_forecast", "beta", "sigma", "bend")
+        .mapInPandas(_predict, "series string, ds timestamp_ntz, fit double, trend double, yearly double, spread double, is_forecast boolean")
     )
     back = F.exp if log_scale else (lambda c: c)
     rows = scored.select(
         "series",
         "ds",
         back(F.col("fit")).alias("yhat"),
-        back(F.col("fit") - INTERVAL_Z * F.col("sigma")).alias("yhat_lower"),
-        back(F.col("fit") + INTERVAL_Z * F.col("sigma")).alias("yhat_upper"),
+        back(F.col("fit") - INTERVAL_Z * F.col("spread")).alias("yhat_lower"),
+        back(F.col("fit") + INTERVAL_Z * F.col("spread")).alias("yhat_upper"),
         back(F.col("trend")).alias("trend"),
         "yearly",
         "is_forecast",
     )
-    metrics = flags.select("series", F.col("rows").alias("training_rows"), F.col("last").alias("training_end"))
-    return ProfileResult(rows, {"series": metrics}, flags.agg(F.count("*").alias("n_series"), F.sum("rows").alias("training_rows")))
+    ends = future.groupBy("series").agg(F.min("ds").alias("forecast_start"), F.max("ds").alias("forecast_end"))
+    frequency = infer_frequency(train, "ds", "series").select("series", "frequency")
+    about = flags.select("series", F.col("rows").alias("training_rows"), F.col("last").alias("training_end"))
+    about = about.join(frequency, "series", "left").join(ends, "series", "left")
+    return ProfileResult(rows, {"series": about}, flags.agg(F.count("*").alias("n_series"), F.sum("rows").alias("training_rows")))

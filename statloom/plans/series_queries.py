@@ -46,6 +46,30 @@ def _(t):
     return ts.forecast(_monthly(t), "month", "orders", "priority", 12, "multiplicative").rows.select("series", "ds", "is_forecast")
 
 
+# What the interval of a future date has beyond that of a known one, squared, is as the cube
+# of the time ahead: here against that of the twelfth month.
+@query("h1_intervals_widen", """
+WITH l AS (SELECT o_orderpriority AS series, max(date_trunc('month', o_orderdate))::DATE AS last FROM orders GROUP BY 1)
+SELECT series, CAST(i AS INTEGER) AS i,
+  round((date_diff('day', last, (last + to_months(CAST(i AS INTEGER)))::DATE) / date_diff('day', last, (last + INTERVAL 12 MONTH)::DATE)::DOUBLE) ** 3, 5) AS share
+FROM l, (SELECT unnest(range(1, 13)) AS i)""")
+def _(t):
+    rows = ts.forecast(_monthly(t), "month", "revenue", "priority", 12).rows.withColumn("wide", F.pow(F.col("yhat_upper") - F.col("yhat_lower"), 2))
+    known = rows.groupBy("series").agg(
+        F.max(F.when(~F.col("is_forecast"), F.col("wide"))).alias("base"), F.max("wide").alias("most"), F.max(F.when(~F.col("is_forecast"), F.col("ds"))).alias("last")
+    )
+    ahead = F.months_between(F.trunc("ds", "month"), F.trunc("last", "month")).cast("int")
+    share = F.round((F.col("wide") - F.col("base")) / (F.col("most") - F.col("base")), 5)
+    return rows.filter("is_forecast").join(known, "series").select("series", ahead.alias("i"), share.alias("share"))
+
+
+@query("h1_forecast_range", """
+WITH m AS (SELECT o_orderpriority AS series, count(DISTINCT date_trunc('month', o_orderdate)) AS training_rows, max(date_trunc('month', o_orderdate))::TIMESTAMP AS training_end FROM orders GROUP BY 1)
+SELECT series, training_rows, training_end, 'MS' AS frequency, (training_end + INTERVAL 1 MONTH)::TIMESTAMP AS forecast_start, (training_end + INTERVAL 12 MONTH)::TIMESTAMP AS forecast_end FROM m""")
+def _(t):
+    return ts.forecast(_monthly(t), "month", "revenue", "priority", 12).tables["series"]
+
+
 FREQ = """CASE WHEN m IS NULL THEN 'MS' WHEN m <= 1.5 THEN 'D' WHEN m <= 8 THEN 'W' WHEN m <= 35 THEN 'MS' WHEN m <= 100 THEN 'QS' ELSE 'YS' END"""
 
 

@@ -106,10 +106,25 @@ def test_forecast_recovers_line_and_wave(spark):
     want = 100 + 0.05 * z + 8 * np.sin(2 * np.pi * z / 365.25) + 3 * np.cos(2 * np.pi * z / 7)
     assert len(future) == 30 and np.abs(future["yhat"] - want).max() < 1.0
     assert (future["yhat_lower"] <= future["yhat"]).all()
+    wide = (future["yhat_upper"] - future["yhat_lower"]).to_numpy()
+    assert (np.diff(wide) > 0).all()
+    about = result.tables["series"].filter("series = 'a'").first()
+    assert about["frequency"] == "D" and str(about["forecast_start"]) == "2021-04-15 00:00:00" and str(about["forecast_end"]) == "2021-05-14 00:00:00"
     only = ts.forecast(spark.createDataFrame(pdf), "d", "v", "g", 5, "multiplicative", include_history=False).rows
     assert only.count() == 10 and only.filter("yhat <= 0").count() == 0
 
 
+def test_sums_of_a_series_go_on_over_batches():
+    rng = np.random.RandomState(4)
+    frame = pd.DataFrame({"series": ["a"] * 30 + ["b"] * 5 + ["c"] * 25, "t": rng.rand(60), "days": rng.rand(60) * 900, "yearly": 1.0, "weekly": 1.0})
+    frame = frame.assign(y=rng.randn(60), n=1 + rng.randint(0, 3, 60), within=rng.rand(60))
+    whole = pd.concat(ts._partial_sums([frame]))
+    split = pd.concat(ts._partial_sums([frame[:12], frame[12:12], frame[12:33], frame[33:]]))
+    assert list(split["series"]) == list(whole["series"]) == ["a", "b", "c"]
+    assert np.allclose(np.stack(split["sums"]), np.stack(whole["sums"])) and np.allclose(split["n"], whole["n"])
+    assert list(ts._partial_sums([])) == []
+
+
 def test_forest_profiles(spark):
     rng = np.random.RandomState(0)
     pdf = pd.DataFrame({"id": range(200), "x": rng.randn(200), "z": rng.randn(200)})
