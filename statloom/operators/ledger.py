@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ HISTORY_LIMIT = 20
 SNAPSHOT_LIMIT = 50
 BUDGET_LIMIT = 50.0
 ALERT_THRESHOLD = 0.80
+# Running totals of costs are decimals: the same in whatever order parts are added, so a total
+# that equals the alert mark to the cent reaches it.
+MONEY = "decimal(38,12)"
 # Price of a job: GB-seconds at 3 GB (fixed values).
 MEMORY_GB = 3.0
 PRICE_PER_GB_SECOND = 0.0000166667
@@ -40,6 +44,11 @@ def billed_cost(df: DataFrame, cost: str = "cost", estimate: str = "estimated_co
     return F.greatest(F.coalesce(*parts, F.lit(0.0)), F.lit(0.0))
 
 
+def alert_mark(limit: float, threshold: float) -> Decimal:
+    """The total at which a budget alerts."""
+    return Decimal(str(limit)) * Decimal(str(threshold))
+
+
 def month_of(started_at: str) -> Column:
     return F.date_format(F.col(started_at), "yyyy-MM")
 
@@ -167,17 +176,18 @@ def budget_alerts(
         month_of(started_column).alias("month"),
         billed_cost(ledger, cost, estimate).alias("job_cost"),
     )
+    money = F.col("job_cost").cast(MONEY)
     total = running_sums(
         jobs,
         [user_column, "month"],
         [started_column, id_column],
-        {"spend_before": F.col("job_cost")},
+        {"spend_before": money},
         inclusive=False,
         rows_per_bucket=rows_per_bucket,
-    ).withColumn("spend_after", F.col("spend_before") + F.col("job_cost"))
-    mark = F.lit(float(limit))
-    rows = total.filter(
-        (F.col("spend_after") / mark >= F.lit(threshold)) & (F.col("spend_before") / mark < F.lit(threshold))
+    ).withColumn("spend_after", F.col("spend_before") + money)
+    mark = F.lit(str(alert_mark(limit, threshold))).cast(MONEY)
+    rows = total.filter((F.col("spend_after") >= mark) & (F.col("spend_before") < mark)).withColumns(
+        {c: F.col(c).cast("double") for c in ("spend_before", "spend_after")}
     )
     return ProfileResult(rows)
 

@@ -120,6 +120,15 @@ def test_history_pages(spark):
         ledger.list_snapshots(jobs, "u", 51)
 
 
+def test_alerts_at_a_total_that_equals_the_mark(spark):
+    data = [(i, "u", i, 0.1) for i in range(10)]  # eight times 0.1 is less than 0.8 in doubles
+    jobs = spark.createDataFrame(data, "job_id int, user_id string, t int, cost double").withColumn(
+        "started_at", F.timestamp_seconds(F.lit(1704067200) + F.col("t")).cast("timestamp_ntz")
+    )
+    for size in (None, 2, 3):
+        assert rows(ledger.budget_alerts(jobs, 1.0, rows_per_bucket=size).rows, "job_id", "spend_before", "spend_after") == [(7, 0.7, 0.8)]
+
+
 def test_concurrent_jobs(spark):
     data = [("u", 0, 10), ("u", 5, 15), ("u", 10, 20), ("u", 12, None)]
     jobs = spark.createDataFrame(data, "user_id string, s int, e int").select(
