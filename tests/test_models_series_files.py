@@ -331,6 +331,16 @@ def test_stream_alerts_of_a_hot_key_without_order(spark, tmp_path):
     assert got.count() >= 4
 
 
+def test_stream_alerts_at_a_total_that_equals_the_mark(spark, tmp_path):
+    data = [(i, "u", 0.1, i * 3600) for i in range(10)]  # eight times 0.1 is less than 0.8 in doubles
+    jobs = spark.createDataFrame(data, "job_id int, user_id string, cost double, t int").withColumn("started_at", F.timestamp_seconds(F.lit(1704067200) + F.col("t")).cast("timestamp_ntz"))
+    for part in ("job_id < 3", "job_id >= 3"):
+        jobs.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.job_stream(spark, str(tmp_path / "in"), jobs.schema, per_batch=1)
+        streams.write_closed(streams.stream_budget_alerts(stream, 1.0), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "job_id", "spend_before", "spend_after") == [(7, 0.7, 0.8)]
+
+
 def test_earliest_jobs_hold_few_rows_in_any_order():
     rng = random.Random(4)
     jobs = [(rng.randrange(50), i, rng.choice([0.5, 1.0, 2.0])) for i in range(20_000)]
