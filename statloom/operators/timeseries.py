@@ -134,8 +134,9 @@ def _neighbours(placed: DataFrame, cuts: Cuts) -> DataFrame:
     known = F.when(F.col("_y").isNotNull(), F.struct("_pos", "_y"))
     cut = with_buckets(placed, ["_ds", "_id"], cuts)
     forward = Window.partitionBy("_series", BUCKET).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy("_series", BUCKET).orderBy("_pos").rowsBetween(0, Window.unboundedFollowing)
-    prev, after = F.last(known, ignorenulls=True).over(forward), F.first(known, ignorenulls=True).over(backward)
+    # from the end backwards: a frame up to the last row would be read again for every row
+    backward = Window.partitionBy("_series", BUCKET).orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    prev, after = F.last(known, ignorenulls=True).over(forward), F.last(known, ignorenulls=True).over(backward)
     out = cut.withColumns({"_prev": prev, "_next": after})
     if not cuts.single:
         ends = cut.filter("_y is not null").groupBy("_series", BUCKET).agg(
@@ -143,12 +144,12 @@ def _neighbours(placed: DataFrame, cuts: Cuts) -> DataFrame:
         )
         buckets = cut.select("_series", BUCKET).distinct().join(ends, ["_series", BUCKET], "left")
         before = Window.partitionBy("_series").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        behind = Window.partitionBy("_series").orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
+        behind = Window.partitionBy("_series").orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
         carry = buckets.select(
             "_series",
             BUCKET,
             F.last("_last", ignorenulls=True).over(before).alias("_cp"),
-            F.first("_first", ignorenulls=True).over(behind).alias("_cn"),
+            F.last("_first", ignorenulls=True).over(behind).alias("_cn"),
         )
         out = out.join(carry, ["_series", BUCKET], "left").withColumns(
             {"_prev": F.coalesce("_prev", "_cp"), "_next": F.coalesce("_next", "_cn")}

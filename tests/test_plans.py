@@ -45,6 +45,12 @@ def test_aggregates_are_partial_and_windows_absent(spark, name):
     assert "partial_" in text and "Window" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("name", ["h10_fill_forward", "h10_fill_linear"])
+def test_no_row_reads_the_rest_of_its_series(spark, name):
+    text = plan(entry.queries()[name](spark, SMALL)).lower()
+    assert "window" in text and "unboundedfollowing" not in text
+
+
 def test_running_totals_are_partitioned_by_bucket(spark):
     text = plan(entry.queries()["d5_budget_alerts"](spark, SMALL))
     assert "_bucket" in text or "month" in text
