@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.missing import all_present, number
 from statloom.result import ProfileResult, as_list, numeric_features, require_columns, require_count
+from statloom.session import cut_lineage
 
 
 def scaled_columns(df: DataFrame, features: list[str], standardize: bool = True) -> tuple[int, list[Column]]:
@@ -76,9 +77,10 @@ def kmeans(
     require_count(n, k, f"{k} clusters")
     present = all_present(df, features)
     names = [f"_x{i}" for i in range(len(xs))]
-    data = VectorAssembler(inputCols=names, outputCol="_v").transform(
-        df.filter(present).select([x.alias(c) for c, x in zip(names, xs)])
-    )
+    # The library caches what it is given; sorts of a join or aggregate below the cache would
+    # compete with it for memory in one task, so it gets a written copy of the features.
+    copy = cut_lineage(df.filter(present).select([x.alias(c) for c, x in zip(names, xs)]))
+    data = VectorAssembler(inputCols=names, outputCol="_v").transform(copy)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="_p").fit(data.select("_v"))
     centers = [[float(v) for v in c] for c in model.clusterCenters()]
     rows = assign_centers(df, xs, centers, present)

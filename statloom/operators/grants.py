@@ -11,6 +11,7 @@ from statloom.functions.missing import clean, moment, number
 from statloom.functions.totals import attach_totals
 from statloom.operators.cluster import kmeans
 from statloom.result import ProfileResult, quoted, require_columns
+from statloom.session import cut_lineage
 
 ENDING_SOON_DAYS = 60
 CHECKPOINTS = 12
@@ -95,7 +96,7 @@ def grant_portfolio(
             )
         )
     if research_area_column:
-        filled = awards.na.fill(0.0, ["burn_rate", "pct_expended"])
+        filled = cut_lineage(awards.na.fill(0.0, ["burn_rate", "pct_expended"]))
         clustered = kmeans(filled, ["burn_rate", "pct_expended"], k=n_clusters, standardize=False).rows
         tables["area_clusters"] = clustered.select(
             F.col("_award").alias("award_id"), F.col("_area").alias("research_area"), F.col("cluster_id").alias("award_cluster")

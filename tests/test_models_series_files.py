@@ -156,6 +156,16 @@ def test_kmeans_separates_and_keeps_incomplete_rows(spark):
         cluster.kmeans(spark.createDataFrame(pdf), ["a"], k=2)
 
 
+def test_kmeans_is_given_no_join_or_aggregate_below_its_cache(spark, monkeypatch):
+    seen, fit = [], cluster.KMeans.fit
+    monkeypatch.setattr(cluster.KMeans, "fit", lambda self, data: (seen.append(data._jdf.queryExecution().executedPlan().toString()), fit(self, data))[1])
+    base = spark.range(40)
+    joined = base.groupBy("id").agg(F.sum("id").cast("double").alias("a")).join(base.select("id", (F.col("id") % 2 * 90.0).alias("b")), "id")
+    result = cluster.kmeans(joined, ["a", "b"], k=2)
+    assert result.rows.filter("cluster_id is not null").count() == 40
+    assert not any(word in seen[0] for word in ("Join", "Aggregate", "Exchange"))
+
+
 def test_isolation_forest_flags_planted_rows(spark):
     rng = np.random.RandomState(0)
     pdf = pd.DataFrame({"id": range(1000), "a": rng.randn(1000), "b": rng.randn(1000)})
