@@ -4,8 +4,10 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from statloom.operators import network
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,6 +53,22 @@ def test_no_row_reads_the_rest_of_its_series(spark, name):
     assert "window" in text and "unboundedfollowing" not in text
 
 
+def test_meetings_of_planted_communities_do_not_grow_with_the_orders(spark, monkeypatch):
+    seen = []
+
+    def edges(entries):
+        sizes = entries.groupBy("publication_id").agg(F.count("*").alias("n"))
+        seen.append(sizes.agg(F.max("n"), F.sum("n")).first())
+        raise StopIteration
+
+    monkeypatch.setattr(network, "coauthor_edges", edges)
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        with pytest.raises(StopIteration):
+            entry.queries()["l12_planted_communities"](spark, folder)
+    (_, few), (largest, many) = seen
+    assert largest < 50 and many > 9 * few
+
+
 def test_running_totals_are_partitioned_by_bucket(spark):
     text = plan(entry.queries()["d5_budget_alerts"](spark, SMALL))
     assert "_bucket" in text or "month" in text
