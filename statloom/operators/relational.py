@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.missing import all_present, number
 from statloom.functions.ordered import exact_quantile
+from statloom.functions.totals import few_or_joined
 from statloom.result import ProfileResult, as_list, quoted, require_columns
 
 JOIN_TYPES = ("inner", "left", "right", "full")
@@ -192,7 +193,7 @@ def train_test_flag(
         return df.withColumn(flag, F.pmod(mark, F.lit(1_000_000)) < int(test_size * 1_000_000))
     share = F.pmod(mark, F.lit(1 << 52))  # exact as a double
     marks = df.select(F.col(quoted(stratify)).alias("_class"), share.alias("_mark")).filter("_class IS NOT NULL")
-    limits = exact_quantile(marks, "_mark", ["_class"], test_size, "_limit")
+    limits = few_or_joined(exact_quantile(marks, "_mark", ["_class"], test_size, "_limit"))
     joined = df.withColumn("_mark", share).join(limits, F.col(quoted(stratify)) == F.col("_class"), "left")
     return joined.withColumn(flag, F.coalesce(F.col("_mark") < F.col("_limit"), F.lit(False))).drop("_mark", "_class", "_limit")
 

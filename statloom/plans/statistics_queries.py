@@ -312,7 +312,7 @@ def _(t):
     scale = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
     train = train_test_flag(result.rows, ids, 0.2, 42, "held", "returned").filter("not held")
     sizes = train.groupBy("returned").agg(F.count("*").alias("_class")).join(train.agg(F.count("*").alias("_all")))
-    weighed = train.join(sizes, "returned").join(scale).withColumn("gap", F.col("_all") / (2 * F.col("_class")) * (F.col("returned") - F.col("predicted_prob")))
+    weighed = train.join(F.broadcast(sizes), "returned").join(F.broadcast(scale)).withColumn("gap", F.col("_all") / (2 * F.col("_class")) * (F.col("returned") - F.col("predicted_prob")))
     pulls = weighed.agg(*[F.avg(F.col("gap") * (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in features], F.count("*").alias("n"))
     long = pulls.unpivot(["n"], features, "feature", "pull")
     gap = F.col("pull") - F.col("coefficient") / F.col("n")
