@@ -47,20 +47,20 @@ def median_gap_days(series: DataFrame, distinct_days: bool, rows_per_bucket: int
     one counted value, so a date of any weight stays one row.
     """
     dates = series.groupBy("series", "ds").agg(F.count("*").alias("n"))
-    linked = previous_row(dates, ["series"], ["ds"], {"before": "ds"}, rows_per_bucket)
+    linked = cut_lineage(previous_row(dates, ["series"], ["ds"], {"before": "ds"}, rows_per_bucket))  # read four times
     seconds = epoch_seconds(F.col("ds")) - epoch_seconds(F.col("before"))
     days = F.floor(seconds / DAY).cast("double") if distinct_days else seconds / DAY
     gaps = linked.select("series", days.alias("gap"), F.lit(1).alias("n")).filter("gap is not null")
     if not distinct_days:
         zeros = linked.filter("n > 1").select("series", F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n"))
         gaps = gaps.unionByName(zeros)
-    counted = gaps.groupBy("series", "gap").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(gaps.groupBy("series", "gap").agg(F.sum("n").alias("n")))
     below = running_sums(counted, ["series"], ["gap"], {"below": F.col("n")}, inclusive=False, rows_per_bucket=rows_per_bucket)
     total = counted.groupBy("series").agg(F.sum("n").alias("total"))
     lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     at = lambda p: F.max(F.when((F.col("below") <= p) & (p < F.col("below") + F.col("n")), F.col("gap")))
     median = below.join(total, "series").groupBy("series").agg(at(lo).alias("_lo"), at(hi).alias("_hi"))
-    every = dates.select("series").distinct()
+    every = linked.select("series").distinct()
     return every.join(median, "series", "left").select("series", ((F.col("_lo") + F.col("_hi")) / 2).alias("median_days"))
 
 
