@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.missing import all_present, number
+from statloom.functions.missing import number
 from statloom.result import ProfileResult, as_list, quoted, require_columns, require_rows
 from statloom.session import cut_lineage
 
@@ -19,6 +19,8 @@ GRID = np.linspace(-4.0, 4.0, 41)
 PRIOR = np.exp(-GRID * GRID / 2) / np.exp(-GRID * GRID / 2).sum()
 INFORMATION_POINTS = [-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0]
 MAX_ROUNDS, TOLERANCE = 60, 1e-4
+# Patterns whose counts are brought together once; more are folded on the executors in every round.
+FEW_PATTERNS = 4096
 DISCRIMINATION_RANGE = (0.25, 4.0)
 DIFFICULTY_RANGE = (-6.0, 6.0)
 STANDARD = "normal(0,1)"
@@ -63,6 +65,16 @@ def _expected(a: np.ndarray, b: np.ndarray):
     return fold
 
 
+def _rows(folded: pd.DataFrame) -> dict[int, np.ndarray]:
+    return dict(zip(folded["item"], folded["counts"]))
+
+
+def _counts(patterns: DataFrame, a: np.ndarray, b: np.ndarray) -> dict[int, np.ndarray]:
+    folded = patterns.mapInPandas(_expected(a, b), "item int, counts array<double>")
+    summed = folded.groupBy("item").agg(*[F.sum(F.get("counts", F.lit(j))).alias(f"c{j}") for j in range(len(GRID))])
+    return {r["item"]: np.array(r[1:], dtype=float) for r in summed.collect()}  # items + 1 rows
+
+
 def _improve(a: float, b: float, right: np.ndarray, persons: np.ndarray) -> tuple[float, float]:
     """Newton steps for one item's slope and intercept given the expected counts."""
     slope, offset = a, -a * b
@@ -88,8 +100,9 @@ def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None
     ``converged`` whether the last round moved no value by the tolerance.
 
     Persons with the same answers collapse to one pattern. Each round folds the patterns
-    to expected counts per item and grid point on the executors; the two-parameter updates
-    work on those counts.
+    to expected counts per item and grid point; the two-parameter updates work on those
+    counts. Up to ``FEW_PATTERNS`` pattern counts, whatever the number of persons, are a
+    table the size of the model and are read once; more are folded on the executors.
     """
     items, (mean, deviation) = as_list(item_columns), prior_scale(ability_prior)
     if len(items) < 5:
@@ -97,17 +110,17 @@ def irt_2pl(df: DataFrame, item_columns: list[str], person_id_column: str | None
     require_columns(df, item_columns=items)
     require_rows(df, 100, "item response analysis")
     answers = F.array(*[(number(df, c) > 0).cast("int") for c in items])
-    patterns = cut_lineage(df.filter(all_present(df, items)).groupBy(answers.alias("x")).agg(F.count("*").alias("n")))
+    # incomplete patterns go after the grouping: a filter of the rows would work out every answer once more
+    patterns = cut_lineage(df.groupBy(answers.alias("x")).agg(F.count("*").alias("n"))).filter(F.forall("x", lambda v: v.isNotNull()))
     share = patterns.agg(
         *[(F.sum(F.get("x", F.lit(i)) * F.col("n")) / F.sum("n")).alias(f"p{i}") for i in range(len(items))]
     ).first()
     start = np.clip([share[f"p{i}"] for i in range(len(items))], 0.01, 0.99)
     a, b = np.ones(len(items)), -np.log(start / (1 - start))
+    few = patterns.limit(FEW_PATTERNS + 1).toPandas()
     rounds, converged = 0, False
     while rounds < max_rounds and not converged:
-        folded = patterns.mapInPandas(_expected(a, b), "item int, counts array<double>")
-        summed = folded.groupBy("item").agg(*[F.sum(F.get("counts", F.lit(j))).alias(f"c{j}") for j in range(len(GRID))])
-        counts = {r["item"]: np.array(r[1:], dtype=float) for r in summed.collect()}  # items + 1 rows
+        counts = _counts(patterns, a, b) if len(few) > FEW_PATTERNS else _rows(*_expected(a, b)([few]))
         new = [_improve(a[i], b[i], counts[i], counts[-1]) for i in range(len(items))]
         na, nb = np.array([p[0] for p in new]), np.array([p[1] for p in new])
         change = max(np.abs(na - a).max(), np.abs(nb - b).max())

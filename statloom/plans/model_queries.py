@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import anomaly, assessment, cluster, custom, forest
 from statloom.plans.registry import query, rounded
+from statloom.session import cut_lineage
 from statloom.plans.relational_queries import COST, jobs
 from statloom.plans.source_queries import scratch
 from statloom.streaming import jobs as streams
@@ -209,7 +210,8 @@ def _(t):
     right = {r["item"]: 1 / (1 + F.exp(-r["discrimination"] * (x - r["difficulty"]))) for r in fitted}
     said = {i: F.log(F.when(F.col(i) == 1, right[i]).otherwise(1 - right[i])) for i in ITEMS}
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda g: -4 + 0.2 * g))
-    patterns = answers.groupBy(*ITEMS).agg(F.count("*").alias("n")).withColumn("x", grid)
+    # written first: the join below would ask every order for answers that are not null
+    patterns = cut_lineage(answers.groupBy(*ITEMS).agg(F.count("*").alias("n"))).withColumn("x", grid)
     weighed = patterns.withColumn("w", F.exp(sum(said.values(), -x * x / 2)))
     shares = weighed.groupBy(*ITEMS).agg(F.sum("w").alias("all_w")).join(weighed, ITEMS).withColumn("w", F.col("n") * F.col("w") / F.col("all_w"))
     gaps = F.array(*[F.struct(F.lit(i).alias("item"), ((F.col(i) - right[i]) * F.col("w")).alias("gap")) for i in ITEMS])

@@ -211,6 +211,26 @@ def test_hypothesis_thresholds(spark):
     assert alone["anomaly_class"] == "novel_candidate" and alone["confidence"] == 0.5
 
 
+def test_rounds_over_few_patterns_start_no_jobs(spark, monkeypatch):
+    items = [f"i{j}" for j in range(5)]
+    answers = [F.when(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(9)) < 3 + F.col("id") % 4, 1).otherwise(0).alias(i) for i in items]
+    df = spark.range(2000).select("id", *answers)
+
+    def fitted():
+        return assessment.irt_2pl(df, items, "id", max_rounds=25)
+
+    spark.sparkContext.setJobGroup("few patterns", "fit")
+    try:
+        few = fitted()
+        started = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few patterns"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert few.metrics.first()["rounds"] > 15 > started
+    monkeypatch.setattr(assessment, "FEW_PATTERNS", 4)
+    for x, y in zip(few.tables["item_parameters"].collect(), fitted().tables["item_parameters"].collect()):
+        assert np.allclose(x[1:], y[1:], rtol=1e-9)
+
+
 def test_item_response_recovers_parameters(spark):
     rng = np.random.RandomState(0)
     theta = rng.randn(3000)
