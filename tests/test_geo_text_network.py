@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,25 @@ def test_topics_separate_two_vocabularies(spark, method):
         topics.text_topics(df, "t", 2, min_doc_frequency=0.001)
 
 
+@pytest.mark.parametrize("method", ["lda", "nmf"])
+def test_topics_do_not_hang_on_the_partitions(spark, method):
+    rnd = random.Random(5)
+    names = [f"word{c}" for c in "abcdefghijklmnop"]
+    docs = [(i, " ".join(rnd.choice(names[: 4 + i % 12]) for _ in range(20))) for i in range(80)] * 2
+    df = spark.createDataFrame(docs, "id int, t string")
+    first, second = (
+        topics.text_topics(df.repartition(n), "t", 3, method, max_iter=4).tables["topic_terms"].orderBy("topic_id", "position").collect() for n in (1, 5)
+    )
+    assert [r["term"] for r in first] == [r["term"] for r in second]
+    assert np.allclose([r["weight"] for r in first], [r["weight"] for r in second], rtol=1e-6)
+
+
+def test_equal_documents_are_one_vector(spark):
+    df = spark.createDataFrame([(["a", "b", "a", "z"],), (["b", "a", "a"],), (["b"],), (["z"],), ([],), (None,)], "_terms array<string>")
+    got = {(tuple(np.frombuffer(r["ids"], "<i4")), tuple(np.frombuffer(r["tf"], "<i4"))): r["copies"] for r in topics._vectors(df, ["a", "b"], 6).collect()}
+    assert got == {((0, 1), (2, 1)): 2, ((1,), (1,)): 1}
+
+
 # --- networks ---------------------------------------------------------------------------
 
 
