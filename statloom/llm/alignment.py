@@ -67,7 +67,7 @@ class Aligner:
         a, b = self.a.encode_plain(spaced), self._b.encode(text)
         raw = spaced.encode()
         # the bytes of A are those of the text: its ids stand for single bytes and joins of them
-        if b"".join([self.b_pieces[i] for i in b]) != raw:
+        if b"".join(map(self.b_pieces.__getitem__, b)) != raw:
             return None
         return a, np.array(b, dtype=np.int64)
 
@@ -86,7 +86,7 @@ class Aligner:
             window_b = ends_b[j : int(np.searchsorted(ends_b, window_a[-1], side="right"))].tolist()
             index_a = dict(zip(window_a, range(1, len(window_a) + 1)))
             index_b = dict(zip(window_b, range(1, len(window_b) + 1)))
-            common = sorted(index_a.keys() & index_b.keys())
+            common = list(filter(index_a.__contains__, window_b))  # ends rise, so they are in order
             if not common:
                 width *= 2
                 continue
