@@ -1,9 +1,9 @@
 """Tokens of two tokenizers aligned by the byte offsets where both end one.
 
 A text is encoded with a byte-level BPE vocabulary (A) and a sentencepiece model (B). The
-cumulative ends of the tokens of each side key a dictionary from end to index; the ends in
-both key sets, sorted, cut the two id lists into groups that cover the same bytes. Inside a
-group every A token is linked to the B tokens whose bytes it shares.
+cumulative ends of the tokens of one side are looked up among those of the other; the ends
+that both have cut the two id lists into groups that cover the same bytes. Inside a group
+every A token is linked to the B tokens whose bytes it shares.
 
 Corpus counts: every task packs its documents into blocks and lists the different id pairs
 of a block once, with their number of documents. Pairs are counted over the blocks, the
@@ -54,6 +54,9 @@ class Aligner:
         size = self._b.get_piece_size()
         self.b_pieces = [self._bytes(i) for i in range(size)]
         self.b_lengths = np.array([len(p) for p in self.b_pieces], dtype=np.int64)
+        # decimal ids with what follows them: inside a list and, in the second half, at its end
+        width = len(str(max(size, len(self.a.pieces)))) + 1
+        self._written_a, self._written_b = (np.array([f"{i}{after}" for after in ("," + last) for i in range(n)], dtype=f"S{width}") for n, last in ((len(self.a.pieces), "|"), (size, ";")))
 
     def _bytes(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
@@ -71,35 +74,51 @@ class Aligner:
             return None
         return a, np.array(b, dtype=np.int64)
 
-    def slices(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[list[int], list[int], list[int], list[int], int, int]]:
-        """Windows of groups: bounds of the groups in both lists, the ends of the tokens, and where the window begins.
-
-        Group ``g`` of a window is A tokens ``ia[g]`` to ``ia[g + 1]`` and B tokens ``ib[g]`` to
-        ``ib[g + 1]``, counted from the window. A window ends at a common end; one without
-        any is widened.
+    def written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
+        """Groups as ``a1,a2|b1;a3|b2``, from the ids of a window and the last position of every group in both lists."""
+        sizes_a, sizes_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        out = np.empty(len(a) + len(b), dtype=self._written_a.dtype)
+        # before a token stand those of its own list, and of the other list those of earlier groups or, for B, of its own too
+        half = np.zeros(len(a), dtype=np.int64)
+        half[last_a] = len(self._written_a) // 2
+        out[np.arange(len(a)) + np.repeat(last_b + 1 - sizes_b, sizes_a)] = self._written_a[a + half]
+        half = np.zeros(len(b), dtype=np.int64)
+        half[last_b] = len(self._written_b) // 2
+        out[np.arange(len(b)) + np.repeat(last_a + 1, sizes_b)] = self._written_b[b + half]
+        raw = out.view(np.uint8)
+        return raw[raw != 0].tobytes()[:-1]
+
+    def slices(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+        """Windows of whole groups: the ends of the tokens of both lists, the A token at or behind every end of B, which ends of B are common, and where the window begins.
+
+        A window ends at a common end; one without any is widened.
         """
         ends_a, ends_b = self.a.lengths[a].cumsum(), self.b_lengths[b].cumsum()
         i = j = 0
         width = WINDOW
         while i < len(a):
-            window_a = ends_a[i : i + width].tolist()
-            window_b = ends_b[j : int(np.searchsorted(ends_b, window_a[-1], side="right"))].tolist()
-            index_a = dict(zip(window_a, range(1, len(window_a) + 1)))
-            index_b = dict(zip(window_b, range(1, len(window_b) + 1)))
-            common = list(filter(index_a.__contains__, window_b))  # ends rise, so they are in order
-            if not common:
+            window_a = ends_a[i : i + width]
+            window_b = ends_b[j : int(np.searchsorted(ends_b, window_a[-1], side="right"))]
+            at = np.searchsorted(window_a, window_b)
+            common = window_a[at] == window_b
+            found = np.flatnonzero(common)
+            if not len(found):
                 width *= 2
                 continue
-            yield [0, *map(index_a.__getitem__, common)], [0, *map(index_b.__getitem__, common)], window_a, window_b, i, j
-            i, j, width = i + index_a[common[-1]], j + index_b[common[-1]], WINDOW
+            size_b = int(found[-1]) + 1
+            size_a = int(at[size_b - 1]) + 1
+            yield window_a[:size_a], window_b[:size_b], at[:size_b], common[:size_b], i, j
+            i, j, width = i + size_a, j + size_b, WINDOW
 
     @staticmethod
-    def linked(ends_a: list[int], ends_b: list[int], p: int, q: int, r: int, s: int) -> Iterator[tuple[int, int]]:
-        """Positions of the A tokens ``p`` to ``q`` and B tokens ``r`` to ``s`` of one group that share bytes."""
-        while p < q:
-            yield p, r
-            x, y = ends_a[p], ends_b[r]
-            p, r = p + (x <= y), r + (y <= x)
+    def linked(ends_a: np.ndarray, ends_b: np.ndarray, at: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the A and B tokens of a window that share bytes.
+
+        Two tokens share bytes exactly if the one that ends first, or both, is the last to
+        end before any other does: every different end of either side is one link.
+        """
+        own = np.flatnonzero(~common)
+        return np.concatenate([np.arange(len(ends_a)), at[own]]), np.concatenate([np.searchsorted(ends_b, ends_a), own])
 
 
 def align(docs: DataFrame, tokenizer: str, pieces: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -118,11 +137,14 @@ def align(docs: DataFrame, tokenizer: str, pieces: str, text: str = "text", key:
             groups, links, start = [], [], 0
             if ids is not None:
                 a, b = ids
-                for ia, ib, ends_a, ends_b, i, j in both.slices(a, b):
-                    for p, q, r, s in zip(ia, ia[1:], ib, ib[1:]):
-                        groups.append({"start": start, "end": ends_a[q - 1], "a": a[i + p : i + q].tolist(), "b": b[j + r : j + s].tolist()})
-                        links.extend({"a": i + x, "b": j + y} for x, y in both.linked(ends_a, ends_b, p, q, r, s))
-                        start = ends_a[q - 1]
+                for ends_a, ends_b, at, common, i, j in both.slices(a, b):
+                    p = r = 0
+                    for q, s, end in zip((at[common] + 1).tolist(), (np.flatnonzero(common) + 1).tolist(), ends_b[common].tolist()):
+                        groups.append({"start": start, "end": end, "a": a[i + p : i + q].tolist(), "b": b[j + r : j + s].tolist()})
+                        p, r, start = q, s, end
+                    x, y = both.linked(ends_a, ends_b, at, common)
+                    order = np.argsort(x + y)  # from one link to the next, either side goes on or both
+                    links.extend({"a": i + p, "b": j + r} for p, r in zip(x[order].tolist(), y[order].tolist()))
             yield k, ids is not None, groups, links
 
     kind = docs.schema[key].dataType.simpleString()
@@ -201,52 +223,17 @@ def _digest(both: Aligner, text: str | None, size_b: int) -> tuple[tuple, np.nda
     if ids is None:
         return (0, 0, 0, 0, ""), np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = ids
-    digest, groups, separator, links, names = hashlib.sha256(), 0, "", [], _names(both, size_b)
-    for ia, ib, ends_a, ends_b, i, j in both.slices(a, b):
-        own_a, own_b = a[i : i + ia[-1]].astype(np.int64), b[j : j + ib[-1]]
-        cuts_a, cuts_b = np.array(ia), np.array(ib)
-        size_of_a, size_of_b = np.diff(cuts_a), np.diff(cuts_b)
-        # groups with one token on a side link it to all of the other side; the first pair of each stands for it here
-        first = own_a[cuts_a[:-1]] * size_b + own_b[cuts_b[:-1]]
-        one_sided = np.minimum(size_of_a, size_of_b) == 1
-        times = np.where(one_sided, np.maximum(size_of_a, size_of_b), 0)
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        x = np.repeat(cuts_a[:-1], times) + step * np.repeat(size_of_a > 1, times)
-        y = np.repeat(cuts_b[:-1], times) + step * np.repeat(size_of_b > 1, times)
+    digest, groups, separator, links = hashlib.sha256(), 0, b"", []
+    for ends_a, ends_b, at, common, i, j in both.slices(a, b):
+        own_a, own_b = a[i : i + len(ends_a)].astype(np.int64), b[j : j + len(ends_b)]
+        x, y = both.linked(ends_a, ends_b, at, common)
         links.append(own_a[x] * size_b + own_b[y])
-        written = list(map(names.__getitem__, first.tolist()))
-        list_a, list_b, crossing = own_a.tolist(), own_b.tolist(), []
-        for g in np.flatnonzero((size_of_a > 1) | (size_of_b > 1)).tolist():
-            p, q, r, s = ia[g], ia[g + 1], ib[g], ib[g + 1]
-            written[g] = f"{','.join(map(str, list_a[p:q]))}|{','.join(map(str, list_b[r:s]))}"
-            if q - p > 1 and s - r > 1:
-                crossing.extend([list_a[x] * size_b + list_b[y] for x, y in both.linked(ends_a, ends_b, p, q, r, s)])
-        links.append(np.array(crossing, np.int64))
-        digest.update((separator + ";".join(written)).encode())
-        groups, separator = groups + len(written), ";"
+        digest.update(separator + both.written(own_a, own_b, at[common], np.flatnonzero(common)))
+        groups, separator = groups + int(common.sum()), b";"
     found, uses = np.unique(np.concatenate(links), return_counts=True)
     return (len(a), len(b), groups, int(uses.sum()), digest.hexdigest()), found, uses
 
 
-class _Names(dict):
-    """How the group of an id pair is written; filled as pairs come up, and emptied when full."""
-
-    def __init__(self, size_b: int):
-        super().__init__()
-        self._size_b = size_b
-
-    def __missing__(self, pair: int) -> str:
-        if len(self) >= 1 << 18:
-            self.clear()
-        name = self[pair] = f"{pair // self._size_b}|{pair % self._size_b}"
-        return name
-
-
-@functools.lru_cache(maxsize=2)
-def _names(both: Aligner, size_b: int) -> _Names:
-    return _Names(size_b)
-
-
 def _sum_links(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of one block with the counts of its pairs."""
     place = answers.column("pos").to_numpy()

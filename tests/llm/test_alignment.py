@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -130,3 +131,19 @@ def test_millions_of_blanks_equal_the_library(libraries):
         assert vocabulary(default_path()).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
     spaced = "<|endoftext|>" + " " * 1_100_000
     assert vocabulary(default_path()).encode_plain(spaced).tolist() == libraries[0].encode(spaced, add_special_tokens=False).ids
+
+
+def test_links_and_hash_cost_less_than_the_two_encoders():
+    both, rng = alignment.aligner(default_path(), alignment.default_pieces()), random.Random(6)
+    texts = [prose(rng, 400) for _ in range(150)]
+
+    def seconds(work):
+        took = []
+        for _ in range(5):
+            begin = time.process_time()
+            for text in texts:
+                work(text)
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    assert seconds(lambda text: alignment._digest(both, text, 1 << 24)) < 2 * seconds(both.encode)
