@@ -1,14 +1,19 @@
 """Text quality as perplexity under a Kneser-Ney model of trusted text.
 
 The model is interpolated modified Kneser-Ney over character n-grams, which need no list of
-words. Counts live in tables keyed by the n-gram. To score, documents are dealt into blocks,
-each block asks for the probability of its distinct n-grams, and equi-joins of the requests
-with the count tables, order by order, answer them; no table is held whole anywhere.
+words. Counts live in tables keyed by the n-gram. Equi-joins give the probabilities of the
+shorter n-grams that occur. To score, documents are dealt into blocks, and each block asks
+for its distinct full n-grams. Requests travel as packed lists, dealt by the characters
+before the last one, and meet there the counts and shorter probabilities with the same
+characters; the answers go back to the blocks. No table is held whole anywhere.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +24,12 @@ from statloom.session import cut_lineage
 
 PAD = "\x02"
 PIECE = 1 << 18  # characters worked on at once
-HELD = 1 << 18  # n-grams summed up in a task before they become rows
+HELD = 1 << 24  # characters whose n-grams are summed up in a task before they become rows
+MERGE = 1 << 20  # n-grams of several pieces held before equal ones are put together
 
 
 class Pieces:
-    """Parts of documents laid end to end, each behind its context, with the n-gram that ends at every character."""
+    """Parts of documents laid end to end, each behind its context."""
 
     def __init__(self, parts: list[tuple[int, str, str]], order: int):
         self.text = "".join(context + text for _, context, text in parts)
@@ -31,38 +37,94 @@ class Pieces:
         lengths = np.array([len(text) for _, _, text in parts], dtype=np.int64)
         self.docs = np.repeat([n for n, _, _ in parts], lengths)
         # behind each context of order - 1 characters come the characters of the part
-        ends = np.arange(lengths.sum()) + np.repeat((np.arange(len(parts)) + 1) * (order - 1), lengths)
-        points = np.frombuffer(self.text.encode("utf-32-le"), dtype="<u4")
-        present = np.bincount(points) if len(points) else np.zeros(0, dtype=np.int64)
-        self._alphabet = np.flatnonzero(present)
-        size = len(self._alphabet)
-        place = np.zeros(len(present), dtype=np.int64)
-        place[self._alphabet] = np.arange(size)
-        letters = place[points]
-        #: n-grams as numbers in the base of the alphabet, which can be read back
-        self._exact = size**order < 1 << 63
-        codes = np.zeros(len(ends), dtype=np.int64)
-        for back in range(order - 1, -1, -1):
-            if not self._exact and back:
-                # too many characters for that: shorter n-grams are numbered first
-                codes = np.unique(codes * size + letters[ends - back], return_inverse=True)[1]
-            else:
-                codes = codes * size + letters[ends - back]
-        self._ends, self._codes = ends, codes
-
-    def distinct(self):
-        """(distinct n-grams, how often each occurs, which of them ends at every character, when called)."""
-        n = self.order
-        if self._exact:
-            ordered = np.sort(self._codes)
-            first = np.flatnonzero(np.diff(ordered, prepend=-1))
-            found, counts = ordered[first], np.diff(first, append=len(ordered))
-            digits = found[:, None] // len(self._alphabet) ** np.arange(n - 1, -1, -1) % max(len(self._alphabet), 1) if len(found) else np.zeros((0, n), int)
-            text, at = self._alphabet[digits].astype("<u4").tobytes().decode("utf-32-le"), range(0, n * len(found), n)
-        else:
-            found, first, counts = np.unique(self._codes, return_index=True, return_counts=True)
-            text, at = self.text, (self._ends[first] - n + 1).tolist()
-        return [text[i : i + n] for i in at], counts, lambda: np.searchsorted(found, self._codes)
+        self._begins = np.arange(lengths.sum()) + np.repeat(np.arange(len(parts)) * (order - 1), lengths)
+        self._points = np.frombuffer(self.text.encode("utf-32-le"), dtype="<u4")
+
+    def codes(self, letters: Letters) -> np.ndarray:
+        """The n-gram that ends at every character of the parts, as a number in the base of the alphabet."""
+        at, n = letters.place[self._points], len(self._points) - self.order + 1
+        codes = at[:n].copy()
+        for k in range(1, self.order):
+            codes *= letters.size
+            codes += at[k : n + k]
+        return codes[self._begins]
+
+    def grams(self) -> list[str]:
+        """The n-gram that ends at every character of the parts."""
+        return [self.text[i : i + self.order] for i in self._begins.tolist()]
+
+
+class Letters:
+    """The characters of some texts in order, and their places in it."""
+
+    def __init__(self, present: np.ndarray):
+        self.points = np.flatnonzero(present)
+        self.size = len(self.points)
+        self.place = np.zeros(len(present), dtype=np.int64)
+        self.place[self.points] = np.arange(self.size)
+
+    @staticmethod
+    def of(texts: list[str]) -> Letters:
+        present = np.zeros(0x110000, dtype=bool)
+        present[ord(PAD)] = True
+        for text in texts:
+            for i in range(0, len(text), PIECE):
+                present[np.frombuffer(text[i : i + PIECE].encode("utf-32-le"), dtype="<u4")] = True
+        return Letters(present)
+
+    def numbers(self, order: int) -> bool:
+        """Whether n-grams fit into numbers."""
+        return max(self.size, 2) ** order < 1 << 63
+
+    def spelled(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """The characters of n-grams, a row each."""
+        out = np.empty((len(codes), order), dtype="<u4")
+        for k in range(order - 1, -1, -1):
+            codes, at = np.divmod(codes, self.size)
+            out[:, k] = self.points[at]
+        return out
+
+
+def tally(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of whole texts in order, the characters of each in a row, and how often each occurs."""
+    letters = Letters.of(texts)
+    if not letters.numbers(order):
+        total: Counter[str] = Counter()
+        for part in pieces(texts, order):
+            total.update(part.grams())
+        listed = sorted(total)
+        return _points(listed, order), np.array([total[g] for g in listed], dtype=np.int64)
+    found, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    held = 0
+    for part in pieces(texts, order):
+        codes = np.sort(part.codes(letters))
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        found.append(codes[first])
+        counts.append(np.diff(first, append=len(codes)))
+        held += len(first)
+        if held > MERGE:
+            merged, added = _merged(np.concatenate(found), np.concatenate(counts))
+            found, counts, held = [merged], [added], 0
+    merged, added = _merged(np.concatenate(found), np.concatenate(counts))
+    return letters.spelled(merged, order), added
+
+
+def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _points(grams: list[str], order: int) -> np.ndarray:
+    """N-grams with the characters of each in a row."""
+    return np.frombuffer("".join(grams).encode("utf-32-le"), dtype="<u4").reshape(len(grams), order)
+
+
+def _strings(points: np.ndarray) -> list[str]:
+    text, n = points.astype("<u4").tobytes().decode("utf-32-le"), points.shape[1]
+    return [text[i : i + n] for i in range(0, n * len(points), n)]
 
 
 def pieces(texts: list[str], order: int):
@@ -106,34 +168,98 @@ def packed(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return map_rows(df.select(*columns, text), run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", z binary", 256, 256)
 
 
+def frames(df: DataFrame, text: str, columns: list[str], block: str) -> DataFrame:
+    """Rows of one block behind each other: lists of ``columns`` and of the texts' sizes, and ``z``, the texts as one zstandard frame."""
+    kinds = dict(df.dtypes)
+
+    def run(found):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        together: dict[int, list[int]] = {}
+        for i, b in enumerate(found[block]):
+            together.setdefault(b, []).append(i)
+        for b, rows in together.items():
+            texts = [found[text][i] or "" for i in rows]
+            yield b, *([found[c][i] for i in rows] for c in columns), [len(t) for t in texts], packer.compress("".join(texts).encode())
+
+    kept = "".join(f"`{c}` array<{kinds[c]}>, " for c in columns)
+    return map_rows(df.select(block, *columns, text), run, f"`{block}` int, {kept}size array<int>, z binary", 64)
+
+
+def _unframed(table: pa.Table) -> list[str]:
+    texts = []
+    for sizes, z in zip(table.column("size").to_pylist(), table.column("z")):
+        whole, at = plain(z.as_py()), 0
+        for n in sizes:
+            texts.append(whole[at : at + n])
+            at += n
+    return texts
+
+
+def _packed_grams(points: np.ndarray) -> bytes:
+    import zstandard
+
+    # one column behind the other: those of n-grams in order hardly change at the front
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(points.T, dtype="<u4").tobytes())
+
+
+def _unpacked_grams(z: bytes, order: int) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<u4").reshape(order, -1).T
+
+
+def _buckets(points: np.ndarray, back: int, buckets: int) -> np.ndarray:
+    """Where n-grams meet: by a hash of the ``back`` characters before the last one."""
+    h = np.zeros(len(points), dtype=np.uint64)
+    n = points.shape[1]
+    for k in range(n - 1 - back, n - 1):
+        h = (h + points[:, k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(points: np.ndarray, back: int, buckets: int):
+    """(bucket, which rows) for every bucket that is met; rows keep their order."""
+    to = _buckets(points, back, buckets)
+    order = np.argsort(to, kind="stable")
+    ends = np.cumsum(np.bincount(to, minlength=0))
+    for b in np.unique(to).tolist():
+        yield b, order[ends[b - 1] if b else 0 : ends[b]]
+
+
 def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """(gram, c) over whole texts, packed or not; each batch sums its own n-grams before they become rows."""
+    """(gram, c) over whole texts, packed or not; each task sums its own n-grams before they become rows."""
 
     schema = pa.schema([("gram", pa.string()), ("c", pa.int64())])
 
+    def rows(texts):
+        points, counts = tally(texts, order)
+        for at in range(0, len(counts), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(_strings(points[at : at + 20_000]), pa.string()), pa.array(counts[at : at + 20_000])], schema=schema)
+
     def run(batches):
-        total: dict[str, int] = {}
+        held, size = [], 0
         for batch in batches:
-            # texts are unpacked a few at a time
-            for at in range(0, batch.num_rows, 64):
-                texts = [plain(t) for t in batch.column(0).slice(at, 64).to_pylist() if t]
-                for part in pieces(texts, order):
-                    grams, counts, _ = part.distinct()
-                    for gram, n in zip(grams, counts.tolist()):
-                        total[gram] = total.get(gram, 0) + n
-                if len(total) > HELD:
-                    yield from in_batches(total.items(), schema, 20_000)
-                    total = {}
-        yield from in_batches(total.items(), schema, 20_000)
+            for value in batch.column(0):
+                held.append(plain(value.as_py()))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield from rows(held)
+                    held, size = [], 0
+        if size:
+            yield from rows(held)
 
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 class Model:
-    """Count tables per order: ``grams[n]`` (gram, c) and ``contexts[n]`` (context, total, n1, n2, n3), the discounts, and the alphabet's size."""
+    """Count tables per order: ``grams[n]`` (gram, c), the discounts, and the alphabet's size; ``contexts[n]`` (context, total, n1, n2, n3) up to ``base``, the longest n-grams whose probabilities are joined."""
 
     def __init__(self, counts: DataFrame, order: int):
         self.order = order
+        self.base = order - (2 if order > 4 else 1)
         self.grams: dict[int, DataFrame] = {order: cut_lineage(counts)}
         self.contexts: dict[int, DataFrame] = {}
         self.discounts: dict[int, tuple[float, float, float]] = {}
@@ -142,20 +268,21 @@ class Model:
             if n > 1:
                 # how many different characters stand before the shorter n-gram
                 self.grams[n - 1] = cut_lineage(table.groupBy(F.substr("gram", F.lit(2)).alias("gram")).agg(F.count("*").alias("c")))
-            first = F.substr("gram", F.lit(1), F.lit(n - 1)) if n > 1 else F.lit("")
-            many = [F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") > 2).alias("n3")]
-            self.contexts[n] = cut_lineage(table.groupBy(first.alias("context")).agg(F.sum("c").alias("total"), *many))
+            if n <= self.base:
+                first = F.substr("gram", F.lit(1), F.lit(n - 1)) if n > 1 else F.lit("")
+                many = [F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") > 2).alias("n3")]
+                self.contexts[n] = cut_lineage(table.groupBy(first.alias("context")).agg(F.sum("c").alias("total"), *many))
             seen = table.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).head()
             self.discounts[n] = _discounts(*seen)
         self.alphabet = self.grams[1].count() + 1 if order > 0 else 1
 
     def probabilities(self, wanted: DataFrame) -> DataFrame:
-        """(gram, p) of distinct n-grams of the full order, by joins with the tables of every order."""
-        needs = {self.order: cut_lineage(wanted)}
-        for n in range(self.order - 1, 0, -1):
+        """(gram, p) of distinct n-grams of ``base`` characters, by joins with the tables of every order up to it."""
+        needs = {self.base: cut_lineage(wanted)}
+        for n in range(self.base - 1, 0, -1):
             needs[n] = needs[n + 1].select(F.substr("gram", F.lit(2)).alias("gram")).distinct()
         lower = None
-        for n in range(1, self.order + 1):
+        for n in range(1, self.base + 1):
             d1, d2, d3 = self.discounts[n]
             rows = needs[n].join(self.grams[n], "gram", "left").withColumn("c", F.coalesce("c", F.lit(0)))
             if n == 1:
@@ -169,6 +296,86 @@ class Model:
             lower = cut_lineage(rows.select("gram", p.alias("p")))
         return lower
 
+    def dealt(self, docs: DataFrame, text: str, buckets: int) -> DataFrame:
+        """(bucket, grams, counts, ps): packed counts of the full order, or packed probabilities of ``base`` for all that occurs in ``docs``."""
+        back = max(self.base - 1, 0)
+
+        def deal(order: int, value: str):
+            schema = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("ps", pa.binary())])
+
+            def run(batches):
+                for batch in batches:
+                    points, values = _points(batch.column(0).to_pylist(), order), batch.column(1).to_numpy()
+                    listed = ((b, _packed_grams(points[at]), *(values[at].tobytes() if value == v else None for v in ("c", "p"))) for b, at in _dealt(points, back, buckets))
+                    yield from in_batches(listed, schema)
+
+            return run
+
+        kinds = "bucket int, grams binary, counts binary, ps binary"
+        out = self.grams[self.order].select("gram", "c").mapInArrow(deal(self.order, "c"), kinds)
+        if self.base < 1:
+            return out
+        known = self.probabilities(count_grams(docs, text, self.base).select("gram"))
+        return out.unionByName(known.select("gram", "p").mapInArrow(deal(self.base, "p"), kinds))
+
+
+class _Rules:
+    """The numbers of a model, without its tables, as the tasks take them."""
+
+    def __init__(self, model: Model):
+        self.order, self.base, self.discounts, self.alphabet = model.order, model.base, model.discounts, model.alphabet
+
+    def replies(self, wanted: list[np.ndarray], counted: np.ndarray, counts: np.ndarray, shorter: np.ndarray, ps: np.ndarray) -> np.ndarray:
+        """Probabilities of full n-grams, from all counts and all shorter probabilities with the characters before their last one."""
+        n, asked = self.order, np.concatenate(wanted)
+        numbered = _Numbers(counted, asked, shorter)
+        if self.base:
+            p = _found(numbered.codes(shorter, 0, self.base), ps, numbered.codes(asked, n - self.base, n))
+        else:
+            p = np.full(len(asked), 1.0 / self.alphabet)
+        tables = {n: (counted, counts)}
+        for m in range(n - 1, self.base, -1):
+            longer = tables[m + 1][0]
+            _, first, c = np.unique(numbered.codes(longer, 1, m + 1), return_index=True, return_counts=True)
+            tables[m] = (longer[first, 1:], c)
+        for m in range(self.base + 1, n + 1):
+            known, c = tables[m]
+            d1, d2, d3 = self.discounts[m]
+            have = _found(numbered.codes(known, 0, m), c, numbered.codes(asked, n - m, n))
+            contexts, at = np.unique(numbered.codes(known, 0, m - 1), return_inverse=True)
+            context = numbered.codes(asked, n - m, n - 1)
+            total, n1, n2, n3 = (_found(contexts, np.bincount(at, w, len(contexts)), context) for w in (c, c == 1, c == 2, c > 2))
+            discount = np.select([have == 0, have == 1, have == 2], [0.0, d1, d2], d3)
+            some = np.where(total > 0, total, 1.0)
+            p = np.where(total > 0, (have - discount) / some + (d1 * n1 + d2 * n2 + d3 * n3) / some * p, p)
+        return p
+
+
+class _Numbers:
+    """Parts of n-grams as numbers that are equal where the parts are."""
+
+    def __init__(self, *points: np.ndarray):
+        present = np.zeros(0x110000, dtype=bool)
+        for p in points:
+            present[p] = True
+        self._letters = Letters(present)
+
+    def codes(self, points: np.ndarray, begin: int, end: int) -> np.ndarray:
+        size, place = max(self._letters.size, 1), self._letters.place
+        codes = np.zeros(len(points), dtype=np.int64)
+        if self._letters.numbers(end - begin):
+            for k in range(begin, end):
+                codes = codes * size + place[points[:, k]]
+            return codes
+        # too many characters for that: the rows themselves, compared as bytes
+        return np.ascontiguousarray(points[:, begin:end], dtype=">u4").view(f"V{4 * (end - begin)}").ravel().astype(object)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of every wanted key, 0 for others."""
+    at = pd.Index(keys).get_indexer(wanted)
+    return np.append(values, 0).astype(np.float64)[at]
+
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Discounts for counts of one, two, and three or more, from how many n-grams occur so often."""
@@ -185,53 +392,78 @@ def train(docs: DataFrame, text: str = "text", order: int = 5) -> Model:
     return Model(count_grams(docs, text, order), order)
 
 
-def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1 << 23) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 1 << 24) -> DataFrame:
     """The columns ``keep`` with n_chars and perplexity per character of every row's whole text.
 
     A block holds about ``block_chars`` characters. NULL and empty texts have no perplexity.
     """
     total = docs.agg(F.sum(F.length(text))).head()[0] or 0
-    blocks = total // block_chars + 1
+    blocks, buckets = total // block_chars + 1, total // (1 << 25) + 32
     kinds = dict(docs.dtypes)
     names = [f"k{i}" for i in range(len(keep))]
-    order = model.order
-
+    order, back = model.order, max(model.base - 1, 0)
     dealt = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep)), F.pmod(F.xxhash64(*keep, text), F.lit(blocks)).cast("int").alias("block"), F.col(text).alias("t"))
     kept = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, keep))
+    tables = model.dealt(docs, text, buckets)
+    rules = _Rules(model)
 
     def ask(table: pa.Table) -> pa.Table:
-        wanted: set[str] = set()
-        for part in pieces(_unpacked(table), order):
-            wanted.update(part.distinct()[0])
+        points, _ = tally(_unframed(table), order)
         block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(wanted), pa.int32()), "gram": pa.array(sorted(wanted), pa.string())})
+        rows = [(block, b, _packed_grams(points[at])) for b, at in _dealt(points, back, buckets)]
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate((("block", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary())))})
+
+    def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
+        sides = []
+        for column, size, kind in (("counts", order, "<i8"), ("ps", rules.base, "<f8")):
+            part = known.filter(known.column(column).is_valid())
+            points = [_unpacked_grams(z, size) for z in part.column("grams").to_pylist()] if size else []
+            values = [np.frombuffer(v, kind) for v in part.column(column).to_pylist()]
+            sides += [np.concatenate([np.empty((0, size), "<u4"), *points]), np.concatenate([np.empty(0, kind), *values])]
+        out, held, size = [], [], 0
+        grams = asked.column("grams").to_pylist()
+        for i, z in enumerate(grams):
+            held.append(_unpacked_grams(z, order))
+            size += len(held[-1])
+            if size > MERGE or i == len(grams) - 1:
+                p = rules.replies(held, *sides)
+                ends = np.cumsum([len(h) for h in held])
+                out.extend(part.astype("<f8").tobytes() for part in np.split(p, ends[:-1]))
+                held, size = [], 0
+        return pa.table({"block": asked.column("block"), "grams": asked.column("grams"), "p": pa.array(out, pa.binary())})
 
     def answer(docs_of: pa.Table, known: pa.Table) -> pa.Table:
-        log = dict(zip(known.column("gram").to_pylist(), np.log(known.column("p").to_numpy()).tolist()))
-        texts = _unpacked(docs_of)
+        points = np.concatenate([np.empty((0, order), "<u4"), *(_unpacked_grams(z, order) for z in known.column("grams").to_pylist())])
+        log = np.log(np.concatenate([np.empty(0), *(np.frombuffer(p, "<f8") for p in known.column("p").to_pylist())]))
+        texts = _unframed(docs_of)
+        letters = Letters.of(texts)
+        if letters.numbers(order):
+            codes = np.zeros(len(points), dtype=np.int64)
+            for k in range(order):
+                codes = codes * letters.size + letters.place[points[:, k]]
+            index = pd.Index(codes)
+        else:
+            index = pd.Index(_strings(points), dtype=object)
         sums = np.zeros(len(texts))
         for part in pieces(texts, order):
-            grams, _, which = part.distinct()
-            values = np.array([log[g] for g in grams])
-            sums += np.bincount(part.docs, values[which()], len(texts))
-        out = {c: docs_of.column(c) for c in names}
+            at = index.get_indexer(part.codes(letters) if letters.numbers(order) else pd.Index(part.grams(), dtype=object))
+            if (at < 0).any():
+                raise RuntimeError("a block got no answer to one of its n-grams")
+            sums += np.bincount(part.docs, log[at], len(texts))
+        out = {c: docs_of.column(c).combine_chunks().flatten() for c in names}
         size = [len(t) for t in texts]
         out["n_chars"] = pa.array(size, pa.int64())
         out["perplexity"] = pa.array([float(np.exp(-s / n)) if n else None for s, n in zip(sums, size)], pa.float64())
         return pa.table(out)
 
-    grouped = packed(dealt, "t", [*names, "block"]).groupBy("block")
-    known = model.probabilities(count_grams(docs, text, order).select("gram"))
+    grouped = frames(dealt, "t", names, "block").groupBy("block")
+    requests = grouped.applyInArrow(ask, "block int, bucket int, grams binary")
     # requests and scoring share one exchange of the packed texts
-    answers = grouped.applyInArrow(ask, "block int, gram string").join(known, "gram")
+    answers = requests.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(reply, "block int, grams binary, p binary")
     found = grouped.cogroup(answers.groupBy("block")).applyInArrow(answer, f"{kept}, n_chars long, perplexity double")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "n_chars", "perplexity")
 
 
-def _unpacked(table: pa.Table) -> list[str]:
-    return [plain(z) for z in table.column("z").to_pylist()]
-
-
 def thresholds(scored: DataFrame, lang: str, spread: float) -> DataFrame:
     """(lang, limit): per language the upper quartile of trusted log-perplexity plus ``spread`` × the distance of its quartiles."""
     log = F.log("perplexity")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 import re
 import zlib
 
@@ -266,6 +267,30 @@ def test_one_exchange_serves_requests_and_scores(spark, documents):
     assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_perplexity_with_more_characters_than_numbers_hold(spark):
+    rng = random.Random(44)
+    trusted = ["".join(map(chr, range(0x4E00, 0x4E00 + 7000))), *(prose(rng, 20) for _ in range(5)), "".join(chr(0x4E00 + rng.randrange(60)) for _ in range(900))]
+    texts = [trusted[-1][100:300], prose(rng, 30), "".join(map(chr, range(0x4E10, 0x4E10 + 6800))), "日本語 \U0001f600 é"]
+    model = ngram_quality.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    got = ngram_quality.perplexities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(texts) and all(math.isclose(r["perplexity"], brute_perplexity(trusted, texts[r["doc_id"]], 5), rel_tol=1e-9) for r in got)
+
+
+def test_scoring_writes_hardly_more_than_the_texts(spark):
+    rng = random.Random(45)
+    texts = [(i, prose(rng, rng.randint(20, 500))) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4).cache()
+    model = ngram_quality.train(docs.filter("doc_id % 50 = 0"))
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def written():
+        return sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*"))
+
+    before = written()
+    assert len(ngram_quality.perplexities(docs, model).collect()) == len(texts)
+    assert written() - before < 1.1 * sum(len(t) for _, t in texts)
+
+
 def test_classifier_on_odd_rows(spark, odd, empty):
     keys = spark.createDataFrame([(1,), (5,), (6,), (7,), (None,), (77,)], "doc_id long")
     found = ngram_quality.classify(odd, keys).collect()
