@@ -154,20 +154,6 @@ def plain(value: str | bytes | None) -> str:
     return value or ""
 
 
-def packed(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The columns and ``z``, the text as a zstandard frame (NULL where empty), for a shuffle."""
-    kinds = dict(df.dtypes)
-
-    def run(found):
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=3)
-        for *held, value in zip(*(found[c] for c in columns), found[text]):
-            yield *held, packer.compress(value.encode()) if value else None
-
-    return map_rows(df.select(*columns, text), run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", z binary", 256, 256)
-
-
 def frames(df: DataFrame, text: str, columns: list[str], block: str) -> DataFrame:
     """Rows of one block behind each other: lists of ``columns`` and of the texts' sizes, and ``z``, the texts as one zstandard frame."""
     kinds = dict(df.dtypes)

@@ -2,9 +2,10 @@
 
 import math
 import random
-from pathlib import Path
 import re
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -276,6 +277,18 @@ def test_perplexity_with_more_characters_than_numbers_hold(spark):
     assert len(got) == len(texts) and all(math.isclose(r["perplexity"], brute_perplexity(trusted, texts[r["doc_id"]], 5), rel_tol=1e-9) for r in got)
 
 
+def test_replies_are_the_same_without_numbers(monkeypatch):
+    rng = random.Random(46)
+    texts = ["".join(rng.choice("abcde ") for _ in range(400)) for _ in range(4)]
+    (known, counts), (asked, _), (shorter, _) = ngram_quality.tally(texts[:2], 5), ngram_quality.tally(texts, 5), ngram_quality.tally(texts, 3)
+    rules = ngram_quality._Rules(SimpleNamespace(order=5, base=3, discounts=dict.fromkeys(range(1, 6), (0.5, 0.9, 1.2)), alphabet=7))
+    sides = known, counts, shorter, np.linspace(0.1, 0.9, len(shorter))
+    expected = rules.replies([asked[:50], asked[50:]], *sides)
+    monkeypatch.setattr(ngram_quality.Letters, "numbers", lambda self, order: False)
+    assert (rules.replies([asked], *sides) == expected).all()
+    assert all((x == y).all() for x, y in zip(ngram_quality.tally(texts[:2], 5), (known, counts)))
+
+
 def test_scoring_writes_hardly_more_than_the_texts(spark):
     rng = random.Random(45)
     texts = [(i, prose(rng, rng.randint(20, 500))) for i in range(3000)]
