@@ -6,6 +6,9 @@ its positional grams, shifted by at most one place. Common beginnings and ending
 make such a join quadratic, so the other half, which holds the edit, is cut into two chunks
 once more, and the join key is the whole half with the whole chunk of the other. Joined
 pairs are verified.
+
+Tables with a row or more per word are joined by sorting (``merge``): Spark sizes them by
+their compressed files and without the rows an explode adds, and would send them to the driver.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def near_pairs(listed: DataFrame) -> DataFrame:
     """
     chunks = _inline(listed, _chunks(F.col("word"))).toDF("x", "x_n", "key")
     grams = _inline(listed, _grams(F.col("word"))).toDF("y", "y_n", "key")
-    joined = chunks.join(grams, "key").filter((F.length("y") > F.length("x")) | (F.col("x") < F.col("y")))
+    joined = chunks.join(grams.hint("merge"), "key").filter((F.length("y") > F.length("x")) | (F.col("x") < F.col("y")))
     found = joined.filter(_one_edit(F.col("x"), F.col("y"))).select("x", "x_n", "y", "y_n").distinct()
     one, other = (F.struct(*(F.col(c).alias(a) for c, a in zip(side, ("word", "n", "near", "near_n")))) for side in (("x", "x_n", "y", "y_n"), ("y", "y_n", "x", "x_n")))
     return found.select(F.inline(F.array(one, other)))
@@ -121,7 +124,7 @@ def group_variants(listed: DataFrame, ratio: int = 2) -> DataFrame:
     listed = cut_lineage(listed)
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("near")))
     near = near_pairs(listed).groupBy(F.col("word").alias("of")).agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    joined = listed.join(near, F.col("word") == F.col("of"), "left").drop("of")
+    joined = listed.join(near.hint("merge"), F.col("word") == F.col("of"), "left").drop("of")
     enough = -F.col("best.m") >= ratio * F.col("n")
     formed = joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.m")).alias("form_n"))
     formed = cut_lineage(formed)
@@ -129,9 +132,9 @@ def group_variants(listed: DataFrame, ratio: int = 2) -> DataFrame:
     chains = formed.filter("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for _ in range(ROUNDS):
         ahead = chains.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = cut_lineage(chains.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = cut_lineage(chains.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         chains = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             break
     ends = chains.withColumnRenamed("word", "of")
-    return formed.join(ends, F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(ends.hint("merge"), F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -88,3 +88,10 @@ def test_long_texts_and_empty_tables(spark, empty):
     assert spelling.group_variants(spelling.words(empty)).count() == 0
     with pytest.raises(ValueError):
         spelling.group_variants(spelling.words(empty), ratio=1)
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    listed = spark.createDataFrame([("harbour", 9), ("harbor", 3), ("garden", 5)], "word string, n long")
+    for found in (spelling.near_pairs(listed), spelling.group_variants(listed)):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
