@@ -233,6 +233,18 @@ def test_equal_documents_are_one_vector(spark):
     assert got == {((0, 1), (2, 1)): 2, ((1,), (1,)): 1}
 
 
+def test_a_row_packs_many_term_lists(spark, monkeypatch):
+    df = spark.createDataFrame([(["a", "b", "a", "z"],), (["b", "a", "a"],), (["b"],), (["z"],), ([],), (None,), (["c", "b", "a"],)], "_terms array<string>")
+    vectors = topics._vectors(df, ["a", "b", "c"], 7)
+    assert topics._packs(vectors.coalesce(1)).count() == 1
+    monkeypatch.setattr(topics, "PACK_ENTRIES", 2)
+    packs = list(topics._packed(vectors.toArrow().to_batches()))
+    assert sum(b.num_rows for b in packs) > 1
+    lists = [x for b in packs for x in topics._opened(b, 2)]
+    got = {(tuple(x.ids[s : s + n]), tuple(x.tf[s : s + n])): c for x in lists for s, n, c in zip(x.starts, x.sizes, x.copies)}
+    assert got == {((0, 1), (2, 1)): 2, ((1,), (1,)): 1, ((0, 1, 2), (1, 1, 1)): 1}
+
+
 # --- networks ---------------------------------------------------------------------------
 
 
