@@ -69,6 +69,21 @@ def test_meetings_of_planted_communities_do_not_grow_with_the_orders(spark, monk
     assert largest < 50 and many > 9 * few
 
 
+def test_the_network_has_every_pair_of_authors_of_a_publication(spark, monkeypatch, tmp_path):
+    items = [(1, 10), (1, 11), (2, 11), (2, 12), (2, 12), (3, 10), (3, 11), (4, 13)]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = []
+
+    def between(vertices, edges, **_):
+        seen.extend((r["a"], r["b"], r["weight"]) for r in edges.collect())
+        raise StopIteration
+
+    monkeypatch.setattr(network, "betweenness", between)
+    with pytest.raises(StopIteration):
+        entry.queries()["l12_coauthor_network"](spark, str(tmp_path))
+    assert sorted(seen) == [("S10", "S11", 2), ("S11", "S12", 1)]
+
+
 def test_running_totals_are_partitioned_by_bucket(spark):
     text = plan(entry.queries()["d5_budget_alerts"](spark, SMALL))
     assert "_bucket" in text or "month" in text
